@@ -100,6 +100,22 @@ DATE_FORMATS = (
     "MMM d yyyy",
 )
 
+#: Shape each date format can accept (a superset of its successful parses).
+#: Used only to skip parse attempts that are certain to fail; a format
+#: without an entry is always tried.
+DATE_FORMAT_SHAPES = {
+    "yyyy-M-d": r"^\d{4,}-\d{1,2}-\d{1,2}$",
+    "yyyy-M-d H:m:s": r"^\d{4,}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$",
+    "yyyy/M/d": r"^\d{4,}/\d{1,2}/\d{1,2}$",
+    "yyyyMMdd": r"^\d{8}$",
+    "M/d/yyyy": r"^(0?[1-9]|1[0-2])/\d{1,2}/\d{4,}$",
+    "d/M/yyyy": r"^\d{1,2}/(0?[1-9]|1[0-2])/\d{4,}$",
+    "M-d-yyyy": r"^(0?[1-9]|1[0-2])-\d{1,2}-\d{4,}$",
+    "d-M-yyyy": r"^\d{1,2}-(0?[1-9]|1[0-2])-\d{4,}$",
+    "M/d/yy": r"^(0?[1-9]|1[0-2])/\d{1,2}/\d{2}$",
+    "MMM d yyyy": r"^[A-Za-z]{3} \d{1,2} \d{4,}$",
+}
+
 #: Season tags in the order they are listed for dashboard filters.
 SEASONS = ("Holiday", "Shoulder", "Peak", "Off")
 

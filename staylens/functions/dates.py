@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from staylens.config import DATE_FORMATS
+from staylens.config import DATE_FORMAT_SHAPES, DATE_FORMATS
 
 
 def parse_mixed_date(col: Column | str, formats: Sequence[str] = DATE_FORMATS) -> Column:
@@ -18,6 +18,15 @@ def parse_mixed_date(col: Column | str, formats: Sequence[str] = DATE_FORMATS) -
     ``25/12/2023`` (month > 12) falls through to the day-first format.
     Values no format accepts become null (``try_to_timestamp`` never raises,
     which matters because ANSI mode is on).
+
+    A failed parse is signalled inside the JVM by an exception, which is far
+    dearer than a regex test; each attempt is therefore guarded by the shape
+    the format can accept, so values only reach the parsers that may succeed.
     """
     c = F.trim(F.col(col) if isinstance(col, str) else col)
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(c, F.lit(fmt))) for fmt in formats])
+    attempts = []
+    for fmt in formats:
+        parsed = F.to_date(F.try_to_timestamp(c, F.lit(fmt)))
+        shape = DATE_FORMAT_SHAPES.get(fmt)
+        attempts.append(F.when(c.rlike(shape), parsed) if shape else parsed)
+    return F.coalesce(*attempts)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from staylens.config import DEFAULT_CONFIG, Config
+from staylens.config import CANONICAL_SEGMENTS, DEFAULT_CONFIG, Config
 from staylens.functions import ratio, segment_name
 
 
@@ -40,7 +40,10 @@ def apply_filters(
     """
     cond: Column = F.lit(True)
     if segment is not None:
-        cond = cond & (F.col("segment_name") == segment)
+        # A canonical name equals the stored label, so test the stored column:
+        # that predicate reaches the Parquet scan; the derived name cannot.
+        seg_col = "segment" if "segment" in fs.columns and segment in CANONICAL_SEGMENTS else "segment_name"
+        cond = cond & (F.col(seg_col) == segment)
     if start_date is not None:
         cond = cond & (F.col("check_in_date") >= F.to_date(F.lit(start_date)))
     if end_date is not None:
