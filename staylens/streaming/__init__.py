@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The original pipeline is batch-only by design (real-time ingestion is an
+explicit non-goal), so no streaming operator is provided.  Every operator in
+``staylens.operators`` is a lazy ``DataFrame -> DataFrame`` function without
+actions, so it can be applied inside ``foreachBatch`` should a caller need
+to; no streaming-specific logic is needed for that.
+"""
