@@ -30,7 +30,7 @@ def fact_typed(fact: DataFrame, dim: DataFrame, cfg: Config = DEFAULT_CONFIG) ->
     return typed.select(*FACT_TYPED_COLUMNS)
 
 
-def row_count_audit(fs: DataFrame, dim: DataFrame) -> DataFrame:
+def row_count_audit(fs: DataFrame, dim: DataFrame, daily: DataFrame | None = None) -> DataFrame:
     """``(object_name, object_type, n_rows)`` for the dimension, fact and views."""
     parts = [
         dim.agg(F.count(F.lit(1)).alias("n_rows")).select(
@@ -38,8 +38,9 @@ def row_count_audit(fs: DataFrame, dim: DataFrame) -> DataFrame:
         fs.agg(F.count(F.lit(1)).alias("n_rows")).select(
             F.lit("fact_bookings_enriched").alias("object_name"), F.lit("table").alias("object_type"), "n_rows"),
     ]
+    daily = daily if daily is not None else V.segment_daily(fs)
     for name, fn in V.VIEWS.items():
-        parts.append(fn(fs).agg(F.count(F.lit(1)).alias("n_rows")).select(
+        parts.append(fn(daily).agg(F.count(F.lit(1)).alias("n_rows")).select(
             F.lit(name).alias("object_name"), F.lit("view").alias("object_type"), "n_rows"))
     out = parts[0]
     for p in parts[1:]:

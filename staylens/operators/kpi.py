@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from staylens.config import DEFAULT_CONFIG, Config
 from staylens.functions import ratio
 from staylens.operators import metrics as M
-from staylens.operators import views as V
 
 
 def kpi_cards(
@@ -20,21 +19,17 @@ def kpi_cards(
     """K1/O2: one row — mean daily occupancy, total revenue at risk, the segment
     with the largest volatility share and the one with the highest cancellation rate.
 
-    Everything is reduced to at most one row per segment first; a single
-    aggregate then picks the arg-max segments (``min_by`` over
-    ``(-value, name)`` so ties go to the alphabetically first name).
+    Everything is reduced to one row per segment first (the same profile as
+    the summary); a single aggregate then picks the arg-max segments
+    (``min_by`` over ``(-value, name)``, so ties go to the alphabetically
+    first name).
     """
-    dates = {"start_date": start_date, "end_date": end_date}
-    occ = M.occupancy_series(fs, cfg, **dates).groupBy("segment_name").agg(
-        F.sum("booked_room_nights").alias("__brn"), F.count(F.lit(1)).alias("__days")
-    )
-    rar = V.v_revenue_at_risk(fs).select("segment_name", F.round("revenue_at_risk", 2).alias("__rar"))
-    summ = M.segment_summary(fs, cfg, **dates).select("segment_name", "volatility_contribution", "cancellation_rate")
-    per_seg = summ.join(F.broadcast(occ), "segment_name", "left").join(F.broadcast(rar), "segment_name", "left")
+    per_seg = M._summary_columns(M.segment_profile(fs, cfg, start_date, end_date), cfg)
     contrib, cancel = F.col("volatility_contribution"), F.col("cancellation_rate")
     return per_seg.agg(
-        F.round(ratio(F.sum("__brn"), F.sum("__days") * F.lit(cfg.capacity)), 4).alias("overall_occupancy_rate"),
-        F.coalesce(F.sum("__rar"), F.lit(0)).cast("double").alias("total_revenue_at_risk"),
+        F.round(ratio(F.sum("occupancy_room_nights"), F.sum("occupancy_days") * F.lit(cfg.capacity)), 4)
+        .alias("overall_occupancy_rate"),
+        F.coalesce(F.sum("revenue_at_risk_exact"), F.lit(0)).cast("double").alias("total_revenue_at_risk"),
         F.min_by("segment_name", F.when(contrib.isNotNull(), F.struct(-contrib, F.col("segment_name"))))
         .alias("most_volatile_segment"),
         F.max(contrib).alias("most_volatile_contribution"),

@@ -1,9 +1,11 @@
 """The eight segment metrics, their rolling / per-night variants and the summary.
 
-All metrics start from the segmented fact (``views.segmented``).  The daily
-series are aggregates (segments × days), so the dispersion statistics run on
-small frames; the only whole-frame window (``Window.partitionBy()``) is over
-the per-segment variances, at most one row per dimension segment.
+Metrics take the day-level rollup (``views.segment_daily``) or a segmented
+fact (the rollup is then built lazily); only the per-night variant needs the
+row-grain fact.  The daily series are aggregates (segments × days), so the
+dispersion statistics run on small frames; the only whole-frame window
+(``Window.partitionBy()``) is over the per-segment variances, at most one row
+per dimension segment.
 """
 
 from __future__ import annotations
@@ -221,6 +223,8 @@ def m8_rvi(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, **filters) -> DataFrame:
 def nightly_revenue(fs: DataFrame) -> DataFrame:
     """Revenue per segment and *night*: each active stay adds its rate to every night.
 
+    Needs the row-grain (segmented) fact, not the rollup.
+
     Stays are expanded with ``explode(sequence(...))`` inside the scan stage and
     partially aggregated in the same stage, so the expansion never reaches a
     shuffle; only ``(segment, night)`` partial sums do.
@@ -249,34 +253,90 @@ def m8_rvi_nightly(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, start_date: str
 
 # --- M9: combined summary -------------------------------------------------------
 
-def segment_summary(
+def segment_profile(
     fs: DataFrame,
     cfg: Config = DEFAULT_CONFIG,
     start_date: str | None = None,
     end_date: str | None = None,
 ) -> DataFrame:
-    """M9: V7 rounded, plus CoV, contribution, RVI (date-filtered) and the season index.
+    """Per-segment statistics behind M9 and the KPI cards, in one aggregation chain.
 
-    The V7 columns ignore the date range, as in the original.  Every joined
-    frame has at most one row per dimension segment, so the joins are
-    broadcast hash joins of a few rows each.
+    rollup -> (segment, day) -> segment.  The V7 totals use every day; the
+    dispersion statistics (occupancy for M2/M6, revenue for M8) use only the
+    days inside the optional range, via conditional aggregates, so no branch
+    of the plan scans the data twice.  One row per segment.
     """
-    base = V.v_segment_summary(fs).select(
+    daily = V.as_daily(fs, cfg)
+    by_day = daily.groupBy("segment_name", "date").agg(
+        F.sum("n_bookings").alias("nb"), F.sum("room_nights").alias("rn"), F.sum("n_cancelled").alias("nc"),
+        F.sum("lead_sum").alias("ls"), F.sum("lead_count").alias("lc"), F.sum("revenue_at_risk").alias("rar"),
+        F.sum("n_active").alias("na"), F.sum("active_room_nights").alias("arn"),
+        F.sum("n_priced").alias("np"), F.sum("active_revenue").alias("ar"),
+    )
+    in_range = F.lit(True)
+    if start_date is not None:
+        in_range = in_range & (F.col("date") >= F.to_date(F.lit(start_date)))
+    if end_date is not None:
+        in_range = in_range & (F.col("date") <= F.to_date(F.lit(end_date)))
+    occ_day = in_range & (F.col("na") > 0)
+    occ = F.when(occ_day, F.round(F.col("arn").cast("double") / F.lit(float(cfg.capacity)), 4))
+    rev = F.when(in_range & (F.col("np") > 0), F.col("ar").cast("double"))
+    return by_day.groupBy("segment_name").agg(
+        F.sum("nb").alias("total_bookings"),
+        F.sum("rn").alias("total_room_nights"),
+        F.sum("nc").alias("cancelled_bookings"),
+        F.sum("ls").alias("lead_sum"),
+        F.sum("lc").alias("lead_count"),
+        F.coalesce(F.sum("rar"), F.lit(0)).alias("revenue_at_risk"),
+        F.count(occ).alias("occupancy_days"),
+        F.sum(F.when(occ_day, F.col("arn"))).alias("occupancy_room_nights"),
+        F.avg(occ).alias("occupancy_mean"),
+        F.stddev_samp(occ).alias("occupancy_std"),
+        F.var_samp(occ).alias("occupancy_var"),
+        F.avg(rev).alias("revenue_mean"),
+        F.stddev_samp(rev).alias("revenue_std"),
+    )
+
+
+def _summary_columns(prof: DataFrame, cfg: Config) -> DataFrame:
+    has_days = F.col("occupancy_days") > 0
+    counted = has_days if cfg.include_unknown else has_days & (F.col("segment_name") != UNKNOWN)
+    total = F.coalesce(F.sum(F.when(counted, F.col("occupancy_var"))).over(Window.partitionBy()), F.lit(0.0))
+    return prof.select(
         "segment_name",
         "total_bookings",
         F.col("total_room_nights").cast("bigint").alias("total_room_nights"),
-        F.round("cancellation_rate", 4).alias("cancellation_rate"),
-        F.round("avg_lead_time_days", 1).alias("avg_lead_time_days"),
+        F.round(ratio(F.col("cancelled_bookings"), F.col("total_bookings")), 4).alias("cancellation_rate"),
+        F.round(ratio(F.col("lead_sum"), F.col("lead_count")), 1).alias("avg_lead_time_days"),
         F.round("revenue_at_risk", 2).cast("double").alias("revenue_at_risk"),
+        F.round(ratio(F.col("occupancy_std"), F.col("occupancy_mean")), 4).alias("cov"),
+        F.when(~counted, F.lit(None).cast("double"))
+        .when(total == 0.0, F.lit(0.0))
+        .otherwise(F.round(F.try_divide(F.col("occupancy_var"), total), 4))
+        .alias("volatility_contribution"),
+        F.round(ratio(F.col("revenue_std"), F.col("revenue_mean")), 4).alias("rvi"),
+        "occupancy_days",
+        "occupancy_room_nights",
+        F.round("revenue_at_risk", 2).alias("revenue_at_risk_exact"),
     )
-    dates = {"start_date": start_date, "end_date": end_date}
-    parts = [
-        m2_cov(fs, cfg, **dates).select("segment_name", "cov"),
-        m6_contribution(fs, cfg, **dates).select("segment_name", "volatility_contribution"),
-        m8_rvi(fs, cfg, **dates).select("segment_name", "rvi"),
-        m5_seasonal(fs, cfg).select("segment_name", "seasonal_concentration_index"),
-    ]
-    out = base
-    for p in parts:
-        out = out.join(F.broadcast(p), "segment_name", "left")
-    return out.orderBy(_desc("volatility_contribution"), "segment_name")
+
+
+def segment_summary(
+    fs: DataFrame,
+    cfg: Config = DEFAULT_CONFIG,
+    start_date: str | None = None,
+    end_date: str | None = None,
+) -> DataFrame:
+    """M9: V7 rounded, plus CoV, contribution, RVI (date-filtered) and the season index.
+
+    The V7 columns and the season index ignore the date range, as in the
+    original.  CoV, contribution and RVI come out of the same per-segment
+    aggregation as the V7 columns (``segment_profile``); the season index is
+    joined in from a frame of at most one row per dimension segment.
+    """
+    daily = V.as_daily(fs, cfg)
+    cols = _summary_columns(segment_profile(daily, cfg, start_date, end_date), cfg).drop(
+        "occupancy_days", "occupancy_room_nights", "revenue_at_risk_exact")
+    m5 = m5_seasonal(daily, cfg).select("segment_name", "seasonal_concentration_index")
+    return cols.join(F.broadcast(m5), "segment_name", "left").orderBy(
+        _desc("volatility_contribution"), "segment_name")

@@ -113,6 +113,17 @@ class Pipeline:
     def fact_segmented(self) -> DataFrame:
         return V.segmented(self.fact, self.cfg)
 
+    @cached_property
+    def segment_daily(self) -> DataFrame:
+        """The (segment, day, season) rollup every view and metric reads; written once.
+
+        Its size is bounded by segments × days × seasons, not by bookings.
+        """
+        df, m = materialize(V.segment_daily(self.fact_segmented), "segment_daily",
+                            {"rows": F.count(F.lit(1))}, sort_within=["segment_name", "date"])
+        self.stats["daily_rows"] = int(m["rows"])
+        return df
+
 
 _PIPELINES: dict[tuple[str, str], Pipeline] = {}
 

@@ -247,7 +247,7 @@ _AUDIT_VIEWS = {
     + [f"SELECT {Q_(k)}, 'view', COUNT(*) FROM ({v})" for k, v in _AUDIT_VIEWS.items()])))
 def _row_count_audit(p: Pipeline) -> DataFrame:
     """Rows per table and view."""
-    return D.row_count_audit(p.fact_segmented, D.dim_segment(p.spark, p.cfg))
+    return D.row_count_audit(p.fact_segmented, D.dim_segment(p.spark, p.cfg), p.segment_daily)
 
 
 @register("load_roundtrip", W(body="SELECT COUNT(*) AS rows_written, COUNT(*) AS rows_read, TRUE AS matches FROM fact"))
@@ -451,39 +451,39 @@ def _fact(p: Pipeline) -> DataFrame:
 @register("v_daily_room_nights", W(occ_cte(), body="SELECT segment_name, date, booked_room_nights FROM occ"))
 def _v1(p: Pipeline) -> DataFrame:
     """V1."""
-    return V.v_daily_room_nights(p.fact_segmented)
+    return V.v_daily_room_nights(p.segment_daily)
 
 
 @register("v_cancellation_stats", W(V2, body="SELECT * FROM v2"))
 def _v2(p: Pipeline) -> DataFrame:
     """V2."""
-    return V.v_cancellation_stats(p.fact_segmented)
+    return V.v_cancellation_stats(p.segment_daily)
 
 
 @register("v_lead_time", W(V3, body="SELECT * FROM v3"))
 def _v3(p: Pipeline) -> DataFrame:
     """V3."""
-    return V.v_lead_time(p.fact_segmented)
+    return V.v_lead_time(p.segment_daily)
 
 
 @register("v_bookings_by_season", W(V4, body="SELECT * FROM v4"))
 def _v4(p: Pipeline) -> DataFrame:
     """V4."""
-    return V.v_bookings_by_season(p.fact_segmented)
+    return V.v_bookings_by_season(p.segment_daily)
 
 
 @register("v_revenue_at_risk", W(V5, body="SELECT segment_name, CAST(revenue_at_risk AS DOUBLE) AS revenue_at_risk "
                                            "FROM v5"))
 def _v5(p: Pipeline) -> DataFrame:
     """V5."""
-    return V.v_revenue_at_risk(p.fact_segmented)
+    return V.v_revenue_at_risk(p.segment_daily)
 
 
 @register("v_daily_revenue", W(v6_cte(), body="SELECT segment_name, date, CAST(daily_room_revenue AS DOUBLE) "
                                               "AS daily_room_revenue FROM v6"))
 def _v6(p: Pipeline) -> DataFrame:
     """V6."""
-    return V.v_daily_revenue(p.fact_segmented)
+    return V.v_daily_revenue(p.segment_daily)
 
 
 @register("v_segment_summary", W(V7, body="""
@@ -491,7 +491,7 @@ SELECT segment_name, total_bookings, total_room_nights, cancellation_rate, avg_l
        CAST(revenue_at_risk AS DOUBLE) AS revenue_at_risk FROM v7"""))
 def _v7(p: Pipeline) -> DataFrame:
     """V7."""
-    return V.v_segment_summary(p.fact_segmented).select(
+    return V.v_segment_summary(p.segment_daily).select(
         "segment_name", "total_bookings", "total_room_nights", "cancellation_rate", "avg_lead_time_days",
         "revenue_at_risk")
 
@@ -502,13 +502,13 @@ def _v7(p: Pipeline) -> DataFrame:
 @register("m1_occupancy", W(occ_cte(), body="SELECT * FROM occ ORDER BY segment_name, date"))
 def _m1(p: Pipeline) -> DataFrame:
     """M1: daily occupancy rate per segment."""
-    return M.m1_occupancy(p.fact_segmented, p.cfg)
+    return M.m1_occupancy(p.segment_daily, p.cfg)
 
 
 @register("m2_cov", W(occ_cte(), M2, body="SELECT * FROM m2"))
 def _m2(p: Pipeline) -> DataFrame:
     """M2: occupancy CoV per segment."""
-    return M.m2_cov(p.fact_segmented, p.cfg)
+    return M.m2_cov(p.segment_daily, p.cfg)
 
 
 @register("m2_rolling_cov", W(occ_cte(), body="""
@@ -519,14 +519,14 @@ FROM occ
 WINDOW w AS (PARTITION BY segment_name ORDER BY date RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW)"""))
 def _m2r(p: Pipeline) -> DataFrame:
     """M2r: trailing 30-day occupancy CoV."""
-    return M.m2_rolling_cov(p.fact_segmented, p.cfg, rolling_days=30)
+    return M.m2_rolling_cov(p.segment_daily, p.cfg, rolling_days=30)
 
 
 @register("m3_cancel_rate", W(V2, body="""
 SELECT segment_name, total_bookings, cancelled_bookings, ROUND(cancellation_rate, 4) AS cancellation_rate FROM v2"""))
 def _m3(p: Pipeline) -> DataFrame:
     """M3: cancellation rate per segment."""
-    return M.m3_cancel_rate(p.fact_segmented, p.cfg)
+    return M.m3_cancel_rate(p.segment_daily, p.cfg)
 
 
 @register("m4_lead_time", W(V3, body="""
@@ -534,19 +534,19 @@ SELECT segment_name, ROUND(avg_lead_time_days, 1) AS avg_lead_time_days, min_lea
 FROM v3"""))
 def _m4(p: Pipeline) -> DataFrame:
     """M4: average lead time per segment."""
-    return M.m4_lead_time(p.fact_segmented, p.cfg)
+    return M.m4_lead_time(p.segment_daily, p.cfg)
 
 
 @register("m5_seasonal", W(V4, RANKED, M5, body="SELECT * FROM m5"))
 def _m5(p: Pipeline) -> DataFrame:
     """M5: seasonal concentration index."""
-    return M.m5_seasonal(p.fact_segmented, p.cfg)
+    return M.m5_seasonal(p.segment_daily, p.cfg)
 
 
 @register("m6_contribution", W(occ_cte(), m6_cte(), body="SELECT * FROM m6"))
 def _m6(p: Pipeline) -> DataFrame:
     """M6: segment volatility contribution (headline)."""
-    return M.m6_contribution(p.fact_segmented, p.cfg)
+    return M.m6_contribution(p.segment_daily, p.cfg)
 
 
 @register("m6_contribution_known", W(occ_cte(), m6_cte(f"segment_name <> {Q_(UNKNOWN)}"), body="SELECT * FROM m6"))
@@ -554,20 +554,20 @@ def _m6k(p: Pipeline) -> DataFrame:
     """M6 with the Unknown segment left out of the variance total (documented intent)."""
     from dataclasses import replace
 
-    return M.m6_contribution(p.fact_segmented, replace(p.cfg, include_unknown=False))
+    return M.m6_contribution(p.segment_daily, replace(p.cfg, include_unknown=False))
 
 
 @register("m7_revenue_at_risk", W(V5, body="""
 SELECT segment_name, CAST(ROUND(revenue_at_risk, 2) AS DOUBLE) AS revenue_at_risk FROM v5"""))
 def _m7(p: Pipeline) -> DataFrame:
     """M7: revenue at risk per segment."""
-    return M.m7_revenue_at_risk(p.fact_segmented, p.cfg)
+    return M.m7_revenue_at_risk(p.segment_daily, p.cfg)
 
 
 @register("m8_rvi", W(v6_cte(), body=rvi_select("v6", "daily_room_revenue")))
 def _m8(p: Pipeline) -> DataFrame:
     """M8: revenue volatility index (revenue on check-in day)."""
-    return M.m8_rvi(p.fact_segmented, p.cfg)
+    return M.m8_rvi(p.segment_daily, p.cfg)
 
 
 @register("m8_rvi_nightly", W("""
@@ -587,7 +587,7 @@ def _m8n(p: Pipeline) -> DataFrame:
 @register("segment_summary", W(*summary_ctes(), body="SELECT * FROM summ"))
 def _m9(p: Pipeline) -> DataFrame:
     """M9: the combined per-segment summary (flagship)."""
-    return M.segment_summary(p.fact_segmented, p.cfg)
+    return M.segment_summary(p.segment_daily, p.cfg)
 
 
 # ============================================================================
@@ -597,21 +597,21 @@ def _m9(p: Pipeline) -> DataFrame:
                            body="SELECT * FROM occ"))
 def _m1_filtered(p: Pipeline) -> DataFrame:
     """M1 for one segment within an inclusive check-in range."""
-    return M.m1_occupancy(p.fact_segmented, p.cfg, segment=FILTER_SEGMENT, start_date=FILTER_START,
+    return M.m1_occupancy(p.segment_daily, p.cfg, segment=FILTER_SEGMENT, start_date=FILTER_START,
                           end_date=FILTER_END)
 
 
 @register("summary_date_range", W(*summary_ctes(DATE_RANGE), body="SELECT * FROM summ"))
 def _summary_dates(p: Pipeline) -> DataFrame:
     """P2 on M9: dispersion metrics restricted to a check-in range."""
-    return M.segment_summary(p.fact_segmented, p.cfg, start_date=FILTER_START, end_date=FILTER_END)
+    return M.segment_summary(p.segment_daily, p.cfg, start_date=FILTER_START, end_date=FILTER_END)
 
 
 @register("m1_by_season_filter", W(occ_cte("occ", f"season_tag IN ({', '.join(Q_(s) for s in FILTER_SEASONS)})"),
                                    body="SELECT * FROM occ"))
 def _m1_seasons(p: Pipeline) -> DataFrame:
     """M1 restricted to chosen seasons."""
-    return M.m1_occupancy(p.fact_segmented, p.cfg, seasons=FILTER_SEASONS)
+    return M.m1_occupancy(p.segment_daily, p.cfg, seasons=FILTER_SEASONS)
 
 
 # ============================================================================
@@ -624,14 +624,14 @@ SELECT segment_name, season_tag, booking_count, room_nights,
 FROM v4"""))
 def _season_share(p: Pipeline) -> DataFrame:
     """Season share within each segment."""
-    return M.season_share(p.fact_segmented, p.cfg)
+    return M.season_share(p.segment_daily, p.cfg)
 
 
 @register("top2_seasons", W(V4, RANKED, body="""
 SELECT segment_name, season_tag, booking_count, season_rank FROM ranked WHERE season_rank <= 2"""))
 def _top2(p: Pipeline) -> DataFrame:
     """Two busiest seasons per segment."""
-    return M.top2_seasons(p.fact_segmented, p.cfg)
+    return M.top2_seasons(p.segment_daily, p.cfg)
 
 
 @register("kpi_cards", W(*summary_ctes(), body="""
@@ -649,7 +649,7 @@ SELECT
   (SELECT MAX(cancellation_rate) FROM summ) AS highest_cancellation_rate"""))
 def _kpi(p: Pipeline) -> DataFrame:
     """K1/O2: the four KPI cards."""
-    return K.kpi_cards(p.fact_segmented, p.cfg)
+    return K.kpi_cards(p.segment_daily, p.cfg)
 
 
 @register("occupancy_pivot", W(occ_cte(), body="SELECT date, " + ", ".join(
@@ -657,7 +657,7 @@ def _kpi(p: Pipeline) -> DataFrame:
     + " FROM occ GROUP BY date ORDER BY date"))
 def _pivot(p: Pipeline) -> DataFrame:
     """K2: date × segment occupancy, gaps 0."""
-    return K.occupancy_pivot(p.fact_segmented, p.cfg)
+    return K.occupancy_pivot(p.segment_daily, p.cfg)
 
 
 # ============================================================================
