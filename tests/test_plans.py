@@ -21,21 +21,42 @@ def test_no_python_and_no_pairwise_joins(spark, small_sf, key):
     assert not any(n in plan for n in BAD_JOINS), plan
 
 
+def _pushed(spark, df) -> list[str]:
+    plan = df._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return [line for line in plan.splitlines() if "PushedFilters" in line]
+
+
 def test_date_and_segment_filters_reach_the_scan(spark, small_sf):
     df = E.queries()["m1_filtered"](spark, small_sf)
     df.collect()
-    plan = df._jdf.queryExecution().explainString(
-        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
-    scan = [line for line in plan.splitlines() if "PushedFilters" in line]
-    assert scan and "check_in_date" in scan[0] and "Corporate" in scan[0], plan
+    scan = _pushed(spark, df)
+    assert scan and "date" in scan[0] and "Corporate" in scan[0], scan
+
+
+def test_filters_reach_the_fact_scan_on_a_lazy_rollup(spark, small_sf):
+    from staylens.operators import metrics as M
+
+    p = pipeline(spark, small_sf)
+    df = M.m1_occupancy(p.fact_segmented, start_date="1996-01-01", end_date="1996-12-31")
+    scan = _pushed(spark, df)
+    assert scan and "GreaterThanOrEqual(check_in_date,1996-01-01)" in scan[0], scan
 
 
 def test_metric_scan_is_column_pruned(spark, small_sf):
-    df = E.queries()["m3_cancel_rate"](spark, small_sf)
-    plan = plan_of(df)
-    read = [line for line in plan.splitlines() if "ReadSchema" in line or "FileScan" in line]
-    assert read and "struct<segment:string,is_cancelled:boolean>" in plan, plan
-    assert "Join" not in plan    # the unused daily-occupancy join is eliminated
+    plan = plan_of(E.queries()["m3_cancel_rate"](spark, small_sf))
+    assert "ReadSchema: struct<segment_name:string,n_bookings:bigint,n_cancelled:bigint>" in plan, plan
+
+
+def test_rollup_reads_only_needed_fact_columns(spark, small_sf):
+    from staylens.operators import views as V
+
+    p = pipeline(spark, small_sf)
+    plan = plan_of(V.segment_daily(p.fact_segmented))
+    assert "Join" not in plan    # the unused day-occupancy join is eliminated
+    read = [line for line in plan.splitlines() if "ReadSchema" in line][0]
+    for unused in ("reservation_id", "room_type", "booking_date", "cancellation_reason", "demand_tier"):
+        assert unused not in read, read
 
 
 def test_fact_build_shuffles_each_side_once(spark, small_sf):
