@@ -23,11 +23,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     temporary folder; a cluster session without one is an error, since a
     machine-local folder is not visible to other executors.
     """
-    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no context; use the configured folder as is
+        if not configured:
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS/S3)") from None
+        return f"{configured.rstrip('/')}/{spark.conf.get('spark.app.id', 'app')}"
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS/S3)")

@@ -31,23 +31,46 @@ from staylens.sources import fixtures
 
 @dataclass
 class Pipeline:
+    """Lazy, memoised stages of one build.
+
+    ``sf_dir`` points at the driver tables (the raw sources are derived from
+    them); ``Pipeline.from_frames`` starts from raw string frames instead,
+    e.g. the CSV scans of ``staylens.sources.csv.read_all``.
+    """
+
     spark: SparkSession
     sf_dir: str
     cfg: Config = DEFAULT_CONFIG
     stats: dict = field(default_factory=dict)
+    sources: dict[str, DataFrame] | None = None
+
+    @classmethod
+    def from_frames(
+        cls,
+        bookings: DataFrame,
+        cancellations: DataFrame,
+        pricing: DataFrame,
+        cfg: Config = DEFAULT_CONFIG,
+    ) -> "Pipeline":
+        frames = {"bookings": bookings, "cancellations": cancellations, "pricing": pricing}
+        return cls(bookings.sparkSession, "", cfg, sources=frames)
+
+    def _raw(self, name: str, derive) -> DataFrame:
+        df = self.sources[name] if self.sources is not None else derive(self.spark, self.sf_dir)
+        return C.null_tokens(df, self.cfg)
 
     # -- raw (as read: exact missing-value tokens become null) ---------------
     @cached_property
     def raw_bookings(self) -> DataFrame:
-        return C.null_tokens(fixtures.raw_bookings(self.spark, self.sf_dir), self.cfg)
+        return self._raw("bookings", fixtures.raw_bookings)
 
     @cached_property
     def raw_cancellations(self) -> DataFrame:
-        return C.null_tokens(fixtures.raw_cancellations(self.spark, self.sf_dir), self.cfg)
+        return self._raw("cancellations", fixtures.raw_cancellations)
 
     @cached_property
     def raw_pricing(self) -> DataFrame:
-        return C.null_tokens(fixtures.raw_pricing(self.spark, self.sf_dir), self.cfg)
+        return self._raw("pricing", fixtures.raw_pricing)
 
     # -- clean (lazy) ------------------------------------------------------
     @cached_property
