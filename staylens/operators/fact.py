@@ -33,12 +33,15 @@ def join_cancellations(bookings: DataFrame, cancellations: DataFrame) -> DataFra
 
 
 def join_pricing(df: DataFrame, pricing: DataFrame, *, broadcast: bool = False) -> DataFrame:
-    """Season, base rate and demand tier of the check-in day."""
+    """Season, base rate and demand tier of the check-in day.
+
+    ``broadcast`` must come from a size check (the pipeline observes the
+    pricing row count); without it the join is a sort-merge join.
+    """
     p = pricing.select(
         F.col("date").alias("__pdate"), "season_tag", "base_rate", "demand_tier"
     )
-    if broadcast:
-        p = F.broadcast(p)
+    p = F.broadcast(p) if broadcast else p.hint("merge")
     return df.join(p, F.col("check_in_date") == F.col("__pdate"), "left").drop("__pdate")
 
 
@@ -98,8 +101,7 @@ def add_occupancy_rate(
     get null.  Values above 1 are kept.
     """
     d = daily if daily is not None else daily_booked_room_nights(fact)
-    if broadcast:
-        d = F.broadcast(d)
+    d = F.broadcast(d) if broadcast else d.hint("merge")
     return (
         fact.join(d, "check_in_date", "left")
         .withColumn("occupancy_rate", F.col("__daily_booked").cast("double") / F.lit(float(cfg.capacity)))

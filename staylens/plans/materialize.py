@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -67,3 +68,16 @@ def materialize(
         out = out.sortWithinPartitions(*sort_within)
     out.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path), (obs.get if obs else {})
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int, known_rows: int | None = None) -> DataFrame:
+    """Broadcast ``df`` only under a proven row bound; otherwise forbid it.
+
+    ``known_rows`` is an exact count or an upper bound already in hand (e.g.
+    observed while the frame was written).  Without one, the frame is
+    counted — for a plain Parquet scan that reads footers only.  Above the
+    bound the frame gets a ``merge`` hint, so the static planner cannot
+    broadcast it on a file-size estimate (compressed size understates memory).
+    """
+    n = df.count() if known_rows is None else known_rows
+    return F.broadcast(df) if n <= max_rows else df.hint("merge")

@@ -14,6 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from staylens.config import DEFAULT_CONFIG
+from staylens.plans.materialize import bounded_broadcast
+
 # --- Fixed values of the mapping ----------------------------------------------
 SENTINEL_DATE = "1990-01-01"
 SENTINEL_RATE = "1.00"
@@ -66,6 +69,8 @@ def booking_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_totalprice", "o_orderdate", "o_orderpriority",
     )
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    # customer grows with the data: broadcast only under a counted bound
+    customer = bounded_broadcast(customer, DEFAULT_CONFIG.broadcast_max_rows)
     base = orders.join(customer, orders.o_custkey == customer.c_custkey, "inner")
     bd = F.to_date("o_orderdate")
     n = (F.lit(1) + _k() % 7).cast("int")
