@@ -56,5 +56,5 @@ def occupancy_pivot(
         .pivot("segment_name", list(cfg.dim_segments))
         .agg(F.avg("occupancy_rate"))
         .na.fill(0.0)
-        .orderBy("date")
+        .transform(lambda d: M.ordered(d, "date"))
     )

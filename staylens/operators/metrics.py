@@ -24,6 +24,17 @@ def _desc(c: str) -> Column:
     return F.col(c).desc_nulls_last()
 
 
+def ordered(df: DataFrame, *cols) -> DataFrame:
+    """Final ordering of a metric result.
+
+    Results here have at most one row per segment (and day), so they are
+    sorted in one task: ``coalesce(1)`` narrows only the last stage (after the
+    final exchange, whose input is partial aggregates) and spares the range
+    partitioning exchange and its sampling job.
+    """
+    return df.coalesce(1).orderBy(*cols)
+
+
 def _cov(values: Column) -> Column:
     """Sample standard deviation over mean (null for one value or zero mean)."""
     return ratio(F.stddev_samp(values), F.avg(values))
@@ -54,16 +65,15 @@ def occupancy_series(
 
 def m1_occupancy(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, **filters) -> DataFrame:
     """M1: daily occupancy rate per segment, ordered by segment and day."""
-    return occupancy_series(fs, cfg, **filters).orderBy("segment_name", "date")
+    return ordered(occupancy_series(fs, cfg, **filters), "segment_name", "date")
 
 
 def m2_cov(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, **filters) -> DataFrame:
     """M2: whole-period occupancy coefficient of variation per segment."""
     s = occupancy_series(fs, cfg, **filters)
-    return (
-        s.groupBy("segment_name")
-        .agg(F.round(_cov(F.col("occupancy_rate")), 4).alias("cov"))
-        .orderBy(_desc("cov"), "segment_name")
+    return ordered(
+        s.groupBy("segment_name").agg(F.round(_cov(F.col("occupancy_rate")), 4).alias("cov")),
+        _desc("cov"), "segment_name",
     )
 
 
@@ -76,14 +86,14 @@ def m2_rolling_cov(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, rolling_days: in
     """
     s = occupancy_series(fs, cfg, **filters)
     w = Window.partitionBy("segment_name").orderBy(F.unix_date("date")).rangeBetween(-(rolling_days - 1), 0)
-    return s.select(
+    return ordered(s.select(
         "segment_name",
         "date",
         F.round(ratio(F.stddev_samp("occupancy_rate").over(w), F.avg("occupancy_rate").over(w)), 4).alias(
             "rolling_cov"
         ),
         F.count(F.lit(1)).over(w).alias("window_days"),
-    ).orderBy("segment_name", "date")
+    ), "segment_name", "date")
 
 
 def m6_contribution(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, **filters) -> DataFrame:
@@ -97,16 +107,17 @@ def m6_contribution(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, **filters) -> D
     )
     if not cfg.include_unknown:
         var = var.filter(F.col("segment_name") != UNKNOWN)
+    var = var.coalesce(1)  # at most one row per segment: the window needs no exchange
     total = F.coalesce(F.sum("__var").over(Window.partitionBy()), F.lit(0.0))
-    return (
+    return ordered(
         var.select(
             "segment_name",
             F.round("__var", 6).alias("variance"),
             F.when(total == 0.0, F.lit(0.0))
             .otherwise(F.round(F.try_divide(F.col("__var"), total), 4))
             .alias("volatility_contribution"),
-        )
-        .orderBy(_desc("volatility_contribution"), "segment_name")
+        ),
+        _desc("volatility_contribution"), "segment_name",
     )
 
 
@@ -120,7 +131,7 @@ def m3_cancel_rate(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, segment: str | N
         "total_bookings",
         "cancelled_bookings",
         F.round("cancellation_rate", 4).alias("cancellation_rate"),
-    ).orderBy(_desc("cancellation_rate"), "segment_name")
+    ).transform(lambda d: ordered(d, _desc("cancellation_rate"), "segment_name"))
 
 
 def m4_lead_time(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, segment: str | None = None) -> DataFrame:
@@ -131,7 +142,7 @@ def m4_lead_time(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, segment: str | Non
         F.round("avg_lead_time_days", 1).alias("avg_lead_time_days"),
         "min_lead_time_days",
         "max_lead_time_days",
-    ).orderBy(_desc("avg_lead_time_days"), "segment_name")
+    ).transform(lambda d: ordered(d, _desc("avg_lead_time_days"), "segment_name"))
 
 
 def m7_revenue_at_risk(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, segment: str | None = None) -> DataFrame:
@@ -139,14 +150,14 @@ def m7_revenue_at_risk(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, segment: str
     v = V.v_revenue_at_risk(V.apply_filters(fs, segment))
     return v.select(
         "segment_name", F.round("revenue_at_risk", 2).cast("double").alias("revenue_at_risk")
-    ).orderBy(_desc("revenue_at_risk"), "segment_name")
+    ).transform(lambda d: ordered(d, _desc("revenue_at_risk"), "segment_name"))
 
 
 # --- M5 / W1 / W2: seasons ----------------------------------------------------
 
 def season_share(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, segment: str | None = None) -> DataFrame:
     """Each season's share of a segment's bookings."""
-    v = V.v_bookings_by_season(V.apply_filters(fs, segment))
+    v = V.v_bookings_by_season(V.apply_filters(fs, segment)).coalesce(1)  # segments × seasons rows
     total = F.sum("booking_count").over(Window.partitionBy("segment_name"))
     return v.select(
         "segment_name",
@@ -154,11 +165,11 @@ def season_share(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, segment: str | Non
         "booking_count",
         F.col("room_nights").cast("bigint").alias("room_nights"),
         F.round(ratio(F.col("booking_count"), total), 4).alias("season_share"),
-    ).orderBy("segment_name", _desc("booking_count"), "season_tag")
+    ).transform(lambda d: ordered(d, "segment_name", _desc("booking_count"), "season_tag"))
 
 
 def _ranked_seasons(fs: DataFrame, segment: str | None = None) -> DataFrame:
-    v = V.v_bookings_by_season(V.apply_filters(fs, segment))
+    v = V.v_bookings_by_season(V.apply_filters(fs, segment)).coalesce(1)  # segments × seasons rows
     w = Window.partitionBy("segment_name").orderBy(F.col("booking_count").desc(), "season_tag")
     return v.withColumn("season_rank", F.row_number().over(w))
 
@@ -169,7 +180,7 @@ def top2_seasons(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, segment: str | Non
         _ranked_seasons(fs, segment)
         .filter(F.col("season_rank") <= 2)
         .select("segment_name", "season_tag", "booking_count", "season_rank")
-        .orderBy("segment_name", "season_rank")
+        .transform(lambda d: ordered(d, "segment_name", "season_rank"))
     )
 
 
@@ -195,7 +206,7 @@ def m5_seasonal(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, segment: str | None
             F.round(even_share, 4).alias("even_share"),
             F.round(F.try_divide(top2_share, even_share), 4).alias("seasonal_concentration_index"),
         )
-        .orderBy(_desc("seasonal_concentration_index"), "segment_name")
+        .transform(lambda d: ordered(d, _desc("seasonal_concentration_index"), "segment_name"))
     )
 
 
@@ -211,7 +222,7 @@ def _rvi(series: DataFrame, value: str) -> DataFrame:
             F.round("__mean", 2).alias("mean_daily_revenue"),
             F.round(ratio(F.col("__std"), F.col("__mean")), 4).alias("rvi"),
         )
-        .orderBy(_desc("rvi"), "segment_name")
+        .transform(lambda d: ordered(d, _desc("rvi"), "segment_name"))
     )
 
 
@@ -302,7 +313,7 @@ def _summary_columns(prof: DataFrame, cfg: Config) -> DataFrame:
     has_days = F.col("occupancy_days") > 0
     counted = has_days if cfg.include_unknown else has_days & (F.col("segment_name") != UNKNOWN)
     total = F.coalesce(F.sum(F.when(counted, F.col("occupancy_var"))).over(Window.partitionBy()), F.lit(0.0))
-    return prof.select(
+    return prof.coalesce(1).select(
         "segment_name",
         "total_bookings",
         F.col("total_room_nights").cast("bigint").alias("total_room_nights"),
@@ -338,5 +349,5 @@ def segment_summary(
     cols = _summary_columns(segment_profile(daily, cfg, start_date, end_date), cfg).drop(
         "occupancy_days", "occupancy_room_nights", "revenue_at_risk_exact")
     m5 = m5_seasonal(daily, cfg).select("segment_name", "seasonal_concentration_index")
-    return cols.join(F.broadcast(m5), "segment_name", "left").orderBy(
-        _desc("volatility_contribution"), "segment_name")
+    return ordered(cols.join(F.broadcast(m5), "segment_name", "left"), _desc("volatility_contribution"),
+                   "segment_name")
