@@ -15,6 +15,7 @@ def kpi_cards(
     cfg: Config = DEFAULT_CONFIG,
     start_date: str | None = None,
     end_date: str | None = None,
+    segment: str | None = None,
 ) -> DataFrame:
     """K1/O2: one row — mean daily occupancy, total revenue at risk, the segment
     with the largest volatility share and the one with the highest cancellation rate.
@@ -22,14 +23,18 @@ def kpi_cards(
     Everything is reduced to one row per segment first (the same profile as
     the summary); a single aggregate then picks the arg-max segments
     (``min_by`` over ``(-value, name)``, so ties go to the alphabetically
-    first name).
+    first name).  A selected ``segment`` narrows the occupancy and revenue
+    cards to it; the two ranking cards always rank every segment.
     """
     per_seg = M._summary_columns(M.segment_profile(fs, cfg, start_date, end_date), cfg)
     contrib, cancel = F.col("volatility_contribution"), F.col("cancellation_rate")
+    chosen = F.lit(True) if segment is None else F.col("segment_name") == segment
     return per_seg.agg(
-        F.round(ratio(F.sum("occupancy_room_nights"), F.sum("occupancy_days") * F.lit(cfg.capacity)), 4)
+        F.round(ratio(F.sum(F.when(chosen, F.col("occupancy_room_nights"))),
+                      F.sum(F.when(chosen, F.col("occupancy_days"))) * F.lit(cfg.capacity)), 4)
         .alias("overall_occupancy_rate"),
-        F.coalesce(F.sum("revenue_at_risk_exact"), F.lit(0)).cast("double").alias("total_revenue_at_risk"),
+        F.coalesce(F.sum(F.when(chosen, F.col("revenue_at_risk_exact"))), F.lit(0)).cast("double")
+        .alias("total_revenue_at_risk"),
         F.min_by("segment_name", F.when(contrib.isNotNull(), F.struct(-contrib, F.col("segment_name"))))
         .alias("most_volatile_segment"),
         F.max(contrib).alias("most_volatile_contribution"),
@@ -44,16 +49,21 @@ def occupancy_pivot(
     cfg: Config = DEFAULT_CONFIG,
     start_date: str | None = None,
     end_date: str | None = None,
+    segment: str | None = None,
 ) -> DataFrame:
     """K2: one row per day, one occupancy column per dimension segment, gaps 0.
 
+    With a ``segment`` selected only its column is produced (days on which
+    only other segments had active stays show 0, like the chart).
+
     The pivot values are the fixed dimension names, so Spark skips the extra
     distinct-values job it would otherwise run.
     """
     s = M.occupancy_series(fs, cfg, start_date=start_date, end_date=end_date)
+    columns = [segment] if segment in cfg.dim_segments else list(cfg.dim_segments)
     return (
         s.groupBy("date")
-        .pivot("segment_name", list(cfg.dim_segments))
+        .pivot("segment_name", columns)
         .agg(F.avg("occupancy_rate"))
         .na.fill(0.0)
         .transform(lambda d: M.ordered(d, "date"))

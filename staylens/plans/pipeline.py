@@ -153,7 +153,7 @@ _PIPELINES: dict[tuple[str, str], Pipeline] = {}
 
 def pipeline(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT_CONFIG) -> Pipeline:
     """The session's pipeline for ``sf_dir`` (built lazily, reused by every query)."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    key = (spark.conf.get("spark.app.id", ""), sf_dir.rstrip("/"))
     p = _PIPELINES.get(key)
     if p is None or p.spark is not spark or p.cfg != cfg:
         p = Pipeline(spark, sf_dir.rstrip("/"), cfg)

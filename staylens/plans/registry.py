@@ -652,6 +652,27 @@ def _kpi(p: Pipeline) -> DataFrame:
     return K.kpi_cards(p.segment_daily, p.cfg)
 
 
+@register("kpi_cards_filtered", W(*summary_ctes(DATE_RANGE), body=f"""
+SELECT
+  ROUND(CAST((SELECT SUM(booked_room_nights) FROM occ WHERE segment_name = {Q_(FILTER_SEGMENT)}) AS DOUBLE)
+        / NULLIF(CAST((SELECT COUNT(*) FROM occ WHERE segment_name = {Q_(FILTER_SEGMENT)}) * 100 AS DOUBLE), 0), 4)
+    AS overall_occupancy_rate,
+  CAST((SELECT COALESCE(SUM(ROUND(revenue_at_risk, 2)), 0)
+        FROM (SELECT SUM(room_nights * rate) AS revenue_at_risk FROM fs
+              WHERE is_cancelled AND rate IS NOT NULL AND segment_name = {Q_(FILTER_SEGMENT)}
+              GROUP BY segment_name)) AS DOUBLE) AS total_revenue_at_risk,
+  (SELECT segment_name FROM summ WHERE volatility_contribution IS NOT NULL
+   ORDER BY volatility_contribution DESC, segment_name LIMIT 1) AS most_volatile_segment,
+  (SELECT MAX(volatility_contribution) FROM summ) AS most_volatile_contribution,
+  (SELECT segment_name FROM summ WHERE cancellation_rate IS NOT NULL
+   ORDER BY cancellation_rate DESC, segment_name LIMIT 1) AS highest_cancel_segment,
+  (SELECT MAX(cancellation_rate) FROM summ) AS highest_cancellation_rate"""))
+def _kpi_filtered(p: Pipeline) -> DataFrame:
+    """K1 with a dashboard selection: one segment, a check-in range."""
+    return K.kpi_cards(p.segment_daily, p.cfg, start_date=FILTER_START, end_date=FILTER_END,
+                       segment=FILTER_SEGMENT)
+
+
 @register("occupancy_pivot", W(occ_cte(), body="SELECT date, " + ", ".join(
     f"COALESCE(AVG(CASE WHEN segment_name = {Q_(s)} THEN occupancy_rate END), 0.0) AS \"{s}\"" for s in DIM)
     + " FROM occ GROUP BY date ORDER BY date"))

@@ -179,3 +179,19 @@ def test_views_count(fs):
     assert V.v_daily_revenue(fs).count() == 6     # Corporate 2023-01-02 has no rate
     s = rows(V.v_segment_summary(fs))
     assert s["Unknown"]["revenue_at_risk"] == 0
+
+
+def test_kpi_cards_segment_selection(fs):
+    r = K.kpi_cards(fs, segment="Direct").collect()[0]
+    assert r["overall_occupancy_rate"] == 0.2          # Direct days: .1 .2 .3
+    assert r["total_revenue_at_risk"] == 500.0
+    r = K.kpi_cards(fs, segment="Corporate").collect()[0]
+    assert r["overall_occupancy_rate"] == 0.1 and r["total_revenue_at_risk"] == 0.0
+    assert r["most_volatile_segment"] == "Direct"     # rankings still cover every segment
+
+
+def test_occupancy_pivot_segment_selection(fs):
+    df = K.occupancy_pivot(fs, segment="Group")
+    assert df.columns == ["date", "Group"]
+    got = {r["date"]: r["Group"] for r in df.collect()}
+    assert got[D(2023, 1, 1)] == 0.05 and got[D(2023, 1, 2)] == 0.0
