@@ -58,18 +58,23 @@ def dedup_latest(
     key: str,
     order_by: Column,
     cfg: Config = DEFAULT_CONFIG,
+    *,
+    keep_order: str | None = None,
 ) -> DataFrame:
     """Keep one row per ``key``: greatest ``order_by`` first, nulls last.
 
     Ties are broken by the remaining columns (greatest first) so the result
     is deterministic.  Rows with a null key form one group, like pandas.
+    ``keep_order`` names an output column carrying the winning ``order_by``
+    value, so a caller that needs it (a parsed date) does not compute it twice.
     """
     payload = [c for c in df.columns if c != key]
     best = F.max(F.struct(order_by.alias("__order"), *[F.col(c) for c in payload]))
+    extra = [F.col("__best.__order").alias(keep_order)] if keep_order else []
     return (
         df.groupBy(key)
         .agg(best.alias("__best"))
-        .select(key, *[F.col("__best")[c].alias(c) for c in payload])
+        .select(key, *[F.col("__best")[c].alias(c) for c in payload], *extra)
     )
 
 
@@ -77,13 +82,24 @@ def _extras(df: DataFrame, known: Sequence[str]) -> list[str]:
     return [c for c in df.columns if c not in known]
 
 
-def dedup_bookings(raw: DataFrame, cfg: Config = DEFAULT_CONFIG) -> DataFrame:
+def dedup_bookings(raw: DataFrame, cfg: Config = DEFAULT_CONFIG, *, keep_order: str | None = None) -> DataFrame:
     """Bookings deduplicated on ``reservation_id`` keeping the latest booking date."""
-    return dedup_latest(raw, "reservation_id", parse_mixed_date("booking_date", cfg.date_formats), cfg)
+    return dedup_latest(raw, "reservation_id", parse_mixed_date("booking_date", cfg.date_formats), cfg,
+                        keep_order=keep_order)
 
 
 def parse_booking_dates(df: DataFrame, cfg: Config = DEFAULT_CONFIG) -> DataFrame:
-    return df.withColumns({c: parse_mixed_date(c, cfg.date_formats) for c in BOOKING_DATES})
+    """Parse the three booking dates; a ``__booking_date`` column from the dedup is reused."""
+    parsed = {c: parse_mixed_date(c, cfg.date_formats) for c in BOOKING_DATES}
+    if "__booking_date" in df.columns:
+        parsed["booking_date"] = F.col("__booking_date")
+        return df.withColumns(parsed).drop("__booking_date")
+    return df.withColumns(parsed)
+
+
+def dedup_parse_bookings(raw: DataFrame, cfg: Config = DEFAULT_CONFIG) -> DataFrame:
+    """Key dedup then date parsing; the booking date parsed for the dedup is reused."""
+    return parse_booking_dates(dedup_bookings(raw, cfg, keep_order="__booking_date"), cfg)
 
 
 def valid_stay(ci: Column | str = "check_in_date", co: Column | str = "check_out_date") -> Column:
@@ -94,7 +110,7 @@ def valid_stay(ci: Column | str = "check_in_date", co: Column | str = "check_out
 
 def clean_bookings(raw: DataFrame, cfg: Config = DEFAULT_CONFIG) -> DataFrame:
     """Typed, deduplicated, validated bookings (one row per reservation)."""
-    parsed = parse_booking_dates(dedup_bookings(raw, cfg), cfg)
+    parsed = dedup_parse_bookings(raw, cfg)
     kept = parsed.filter(
         F.col("check_in_date").isNotNull() & F.col("booking_date").isNotNull() & valid_stay()
     )
@@ -115,7 +131,7 @@ def clean_bookings(raw: DataFrame, cfg: Config = DEFAULT_CONFIG) -> DataFrame:
 
 def invalid_stays(raw: DataFrame, cfg: Config = DEFAULT_CONFIG) -> DataFrame:
     """Bookings rejected because check-out is on or before check-in."""
-    parsed = parse_booking_dates(dedup_bookings(raw, cfg), cfg)
+    parsed = dedup_parse_bookings(raw, cfg)
     return parsed.filter(
         F.col("check_in_date").isNotNull() & F.col("booking_date").isNotNull() & ~valid_stay()
     ).select("reservation_id", "check_in_date", "check_out_date")
@@ -131,8 +147,9 @@ def nights_mismatch(bookings_clean: DataFrame) -> DataFrame:
 
 def clean_cancellations(raw: DataFrame, cfg: Config = DEFAULT_CONFIG) -> DataFrame:
     """One cancellation per reservation (latest date wins), dated, gaps filled."""
-    dedup = dedup_latest(raw, "reservation_id", parse_mixed_date("cancellation_date", cfg.date_formats), cfg)
-    parsed = dedup.withColumn("cancellation_date", parse_mixed_date("cancellation_date", cfg.date_formats))
+    dedup = dedup_latest(raw, "reservation_id", parse_mixed_date("cancellation_date", cfg.date_formats), cfg,
+                         keep_order="__cancellation_date")
+    parsed = dedup.withColumn("cancellation_date", F.col("__cancellation_date")).drop("__cancellation_date")
     return parsed.filter(F.col("cancellation_date").isNotNull()).na.fill(
         {"reason": UNKNOWN, "refund_status": UNKNOWN}
     )
@@ -212,7 +229,7 @@ def cleaning_report(
             )).alias("s"),
         )
 
-    parsed_b = parse_booking_dates(dedup_bookings(raw_bookings, cfg), cfg)
+    parsed_b = dedup_parse_bookings(raw_bookings, cfg)
     has_dates = F.col("check_in_date").isNotNull() & F.col("booking_date").isNotNull()
     b_steps = parsed_b.agg(
         F.count(F.lit(1)).alias("key_dedup"),

@@ -275,8 +275,7 @@ def _dedup_latest(p: Pipeline) -> DataFrame:
 @register("parse_dates", W(body="SELECT reservation_id, booking_date, check_in_date, check_out_date FROM b_parsed"))
 def _parse_dates(p: Pipeline) -> DataFrame:
     """Mixed-format booking dates parsed (after key dedup)."""
-    return C.parse_booking_dates(C.dedup_bookings(p.raw_bookings, p.cfg), p.cfg).select(
-        "reservation_id", *C.BOOKING_DATES)
+    return C.dedup_parse_bookings(p.raw_bookings, p.cfg).select("reservation_id", *C.BOOKING_DATES)
 
 
 @register("invalid_stays", W(body="""
