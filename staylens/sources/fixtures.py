@@ -5,8 +5,9 @@ The rules (see FIXTURES.md §2) inject the mess the cleaning steps exist for:
 label variants, mixed date spellings, unparseable and missing dates, missing
 rates, exact and near duplicates, and orphan cancellations.
 
-Duplicates are produced with a single ``explode`` over a per-row copy list, so
-the ``orders ⋈ customer`` join is computed once instead of once per copy.
+Duplicates are produced with a single ``explode`` over a per-row copy list (a
+plain ``CASE`` of literal arrays, inside whole-stage codegen), so the
+``orders ⋈ customer`` join is computed once instead of once per copy.
 """
 
 from __future__ import annotations
@@ -101,14 +102,12 @@ def booking_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All-string bookings with variants, mixed dates and duplicate copies."""
     k = _k()
-    copies = F.array(
-        F.lit(0),
-        F.when(k % 50 == 0, F.lit(1)),  # exact repeat
-        F.when(k % 50 == 1, F.lit(2)),  # stale repeat: old booking date, token rate
-    )
-    rows = booking_base(spark, sf_dir).select(
-        "*", F.explode(F.filter(copies, lambda x: x.isNotNull())).alias("copy")
+    copies = (
+        F.when(k % 50 == 0, F.array(F.lit(0), F.lit(1)))   # exact repeat
+        .when(k % 50 == 1, F.array(F.lit(0), F.lit(2)))    # stale repeat: old booking date, token rate
+        .otherwise(F.array(F.lit(0)))
     )
+    rows = booking_base(spark, sf_dir).select("*", F.explode(copies).alias("copy"))
     stale = F.col("copy") == 2
     return rows.select(
         F.concat(F.lit("R"), k.cast("string")).alias("reservation_id"),
@@ -128,15 +127,17 @@ def raw_bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_cancellations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cancellations of even-keyed 'P' orders, with re-logged and orphan copies."""
     k = _k()
-    copies = F.array(
-        F.lit(0),
-        F.when(k % 22 == 0, F.lit(1)),  # logged again with an old date
-        F.when(k % 26 == 0, F.lit(2)),  # orphan: id matches no booking
+    relogged, orphan = k % 22 == 0, k % 26 == 0  # logged again with an old date / id with no booking
+    copies = (
+        F.when(relogged & orphan, F.array(F.lit(0), F.lit(1), F.lit(2)))
+        .when(relogged, F.array(F.lit(0), F.lit(1)))
+        .when(orphan, F.array(F.lit(0), F.lit(2)))
+        .otherwise(F.array(F.lit(0)))
     )
     rows = (
         booking_base(spark, sf_dir)
         .filter((F.col("o_orderstatus") == "P") & (k % 2 == 0))
-        .select("k", "ci", F.explode(F.filter(copies, lambda x: x.isNotNull())).alias("copy"))
+        .select("k", "ci", F.explode(copies).alias("copy"))
     )
     rid = F.concat(F.lit("R"), k.cast("string"))
     return rows.select(
