@@ -39,6 +39,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def day_of(df: DataFrame, name: str) -> Column:
+    """Calendar day of a naive timestamp column, whatever type the session reads it as.
+
+    The driver files store wall-clock timestamps without a zone.  Read as
+    ``timestamp_ntz`` the day is taken as is; read as an instant
+    (``timestamp``) the stored value is UTC-based, so the day is taken in UTC
+    rather than in the session time zone.
+    """
+    dtype = dict(df.dtypes)[name]
+    if dtype == "timestamp":
+        return F.date_from_unix_date(F.floor(F.unix_micros(F.col(name)) / F.lit(86_400_000_000)).cast("int"))
+    return F.to_date(F.col(name))
+
+
 def _k() -> Column:
     return F.col("k")
 
@@ -85,7 +99,7 @@ def booking_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = bounded_broadcast(customer, DEFAULT_CONFIG.broadcast_max_rows,
                                  known_rows=table_rows(spark, sf_dir, "customer"))
     base = orders.join(customer, orders.o_custkey == customer.c_custkey, "inner")
-    bd = F.to_date("o_orderdate")
+    bd = day_of(orders, "o_orderdate")
     n = (F.lit(1) + _k() % 7).cast("int")
     return (
         base.select(
@@ -155,7 +169,7 @@ def raw_pricing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per distinct check-in day of all orders, February left out."""
     orders = read_table(spark, sf_dir, "orders")
     days = (
-        orders.select(_check_in(F.col("o_orderkey"), F.col("o_custkey"), F.to_date("o_orderdate")).alias("d"))
+        orders.select(_check_in(F.col("o_orderkey"), F.col("o_custkey"), day_of(orders, "o_orderdate")).alias("d"))
         .distinct()
         .filter(F.month("d") != 2)
     )

@@ -53,3 +53,19 @@ def test_daily_occupancy_without_broadcast(spark, small_sf):
     a = FT.add_occupancy_rate(p.fact_base, broadcast=True).select("reservation_id", "occupancy_rate")
     b = FT.add_occupancy_rate(p.fact_base, broadcast=False).select("reservation_id", "occupancy_rate")
     assert _rows(a) == _rows(b)
+
+
+def test_independent_of_session_time_zone_and_timestamp_type(spark, small_sf):
+    import __spark_entry__ as E
+    from staylens.plans.compare import compare, duck_connection
+    from staylens.plans.registry import plain
+
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "false")
+    try:
+        p = Pipeline(spark, small_sf)            # fresh build under these settings
+        ok, msg = compare(plain(p.fact), duck_connection(small_sf), E.oracle_sql()["fact_bookings_enriched"])
+        assert ok, msg
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        spark.conf.unset("spark.sql.parquet.inferTimestampNTZ.enabled")
