@@ -213,23 +213,26 @@ def cleaning_report(
 ) -> DataFrame:
     """Rows kept after each cleaning step, per source: ``(source, step, step_no, n_rows)``.
 
-    Per source one aggregation over exact-duplicate groups gives the raw and
-    exact-dedup counts, and one conditional count over the key-deduplicated
-    rows gives every later step.
+    Each raw source is read once: grouping on all columns gives the raw and
+    exact-dedup counts, and the key dedup then runs on those distinct rows
+    (``max`` ignores repeats, so it picks the same row as on the raw rows)
+    with every later step counted conditionally in one aggregate.
     """
 
-    def exact_counts(df: DataFrame, source: str) -> DataFrame:
-        g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("c"))
-        return g.agg(F.sum("c").alias("raw"), F.count(F.lit(1)).alias("exact_dedup")).select(
+    def step(name: str, no: int, col: str) -> Column:
+        return F.struct(F.lit(name).alias("step"), F.lit(no).alias("step_no"), F.col(col).alias("n_rows"))
+
+    def distinct_rows(df: DataFrame) -> DataFrame:
+        return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__copies"))
+
+    def exact_counts(g: DataFrame, source: str) -> DataFrame:
+        return g.agg(F.sum("__copies").alias("raw"), F.count(F.lit(1)).alias("exact_dedup")).select(
             F.lit(source).alias("source"),
-            F.explode(F.array(
-                F.struct(F.lit("raw").alias("step"), F.lit(0).alias("step_no"), F.col("raw").alias("n_rows")),
-                F.struct(F.lit("exact_dedup").alias("step"), F.lit(1).alias("step_no"),
-                         F.col("exact_dedup").alias("n_rows")),
-            )).alias("s"),
+            F.explode(F.array(step("raw", 0, "raw"), step("exact_dedup", 1, "exact_dedup"))).alias("s"),
         )
 
-    parsed_b = dedup_parse_bookings(raw_bookings, cfg)
+    gb = distinct_rows(raw_bookings)
+    parsed_b = dedup_parse_bookings(gb.drop("__copies"), cfg)
     has_dates = F.col("check_in_date").isNotNull() & F.col("booking_date").isNotNull()
     b_steps = parsed_b.agg(
         F.count(F.lit(1)).alias("key_dedup"),
@@ -237,40 +240,30 @@ def cleaning_report(
         F.count_if(has_dates & valid_stay()).alias("valid_stay"),
     ).select(
         F.lit("bookings").alias("source"),
-        F.explode(F.array(
-            F.struct(F.lit("key_dedup").alias("step"), F.lit(2).alias("step_no"), F.col("key_dedup").alias("n_rows")),
-            F.struct(F.lit("dates_present").alias("step"), F.lit(3).alias("step_no"),
-                     F.col("dates_present").alias("n_rows")),
-            F.struct(F.lit("valid_stay").alias("step"), F.lit(4).alias("step_no"), F.col("valid_stay").alias("n_rows")),
-        )).alias("s"),
-    )
-    dedup_c = dedup_latest(
-        raw_cancellations, "reservation_id", parse_mixed_date("cancellation_date", cfg.date_formats), cfg
+        F.explode(F.array(step("key_dedup", 2, "key_dedup"), step("dates_present", 3, "dates_present"),
+                          step("valid_stay", 4, "valid_stay"))).alias("s"),
     )
+    gc = distinct_rows(raw_cancellations)
+    dedup_c = dedup_latest(gc.drop("__copies"), "reservation_id",
+                           parse_mixed_date("cancellation_date", cfg.date_formats), cfg, keep_order="__parsed")
     c_steps = dedup_c.agg(
         F.count(F.lit(1)).alias("key_dedup"),
-        F.count_if(parse_mixed_date("cancellation_date", cfg.date_formats).isNotNull()).alias("dates_present"),
+        F.count_if(F.col("__parsed").isNotNull()).alias("dates_present"),
     ).select(
         F.lit("cancellations").alias("source"),
-        F.explode(F.array(
-            F.struct(F.lit("key_dedup").alias("step"), F.lit(2).alias("step_no"), F.col("key_dedup").alias("n_rows")),
-            F.struct(F.lit("dates_present").alias("step"), F.lit(3).alias("step_no"),
-                     F.col("dates_present").alias("n_rows")),
-        )).alias("s"),
+        F.explode(F.array(step("key_dedup", 2, "key_dedup"), step("dates_present", 3, "dates_present"))).alias("s"),
     )
-    p_steps = drop_exact_dupes(raw_pricing).agg(
+    gp = distinct_rows(raw_pricing)
+    p_steps = gp.agg(
         F.count_if(parse_mixed_date("date", cfg.date_formats).isNotNull()).alias("dates_present")
     ).select(
         F.lit("pricing").alias("source"),
-        F.explode(F.array(
-            F.struct(F.lit("dates_present").alias("step"), F.lit(3).alias("step_no"),
-                     F.col("dates_present").alias("n_rows")),
-        )).alias("s"),
+        F.explode(F.array(step("dates_present", 3, "dates_present"))).alias("s"),
     )
     parts = [
-        exact_counts(raw_bookings, "bookings"), b_steps,
-        exact_counts(raw_cancellations, "cancellations"), c_steps,
-        exact_counts(raw_pricing, "pricing"), p_steps,
+        exact_counts(gb, "bookings"), b_steps,
+        exact_counts(gc, "cancellations"), c_steps,
+        exact_counts(gp, "pricing"), p_steps,
     ]
     out = parts[0]
     for p in parts[1:]:

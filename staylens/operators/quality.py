@@ -55,21 +55,29 @@ def profile_nulls(sources: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def profile_dupes(sources: Mapping[str, tuple[DataFrame, str | None]]) -> DataFrame:
-    """D2p: ``(source, n_rows, exact_duplicate_rows, key_duplicates)``; nulls compare equal."""
+    """D2p: ``(source, n_rows, exact_duplicate_rows, key_duplicates)``; nulls compare equal.
+
+    One read per source: rows are grouped on all columns (copies counted),
+    and the key groups are formed from those distinct rows.
+    """
     frames = []
     for name, (df, key) in sources.items():
-        exact = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("c")).select(
-            F.lit(name).alias("source"), F.lit("exact").alias("kind"), "c")
-        frames.append(exact)
+        g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("c"))
+        exact = g.agg(F.sum("c").alias("n_rows"), F.sum(F.col("c") - 1).alias("exact_duplicate_rows"))
         if key:
-            frames.append(df.groupBy(key).agg(F.count(F.lit(1)).alias("c")).select(
-                F.lit(name).alias("source"), F.lit("key").alias("kind"), "c"))
-    groups = _union(frames)
-    ex, ky = F.col("kind") == "exact", F.col("kind") == "key"
-    return groups.groupBy("source").agg(
-        F.sum(F.when(ex, F.col("c"))).alias("n_rows"),
-        F.sum(F.when(ex, F.col("c") - 1)).alias("exact_duplicate_rows"),
-        F.sum(F.when(ky, F.col("c") - 1)).alias("key_duplicates"),
+            keys = g.groupBy(key).agg(F.sum("c").alias("c")).agg(F.sum(F.col("c") - 1).alias("key_duplicates"))
+            kind = F.lit("key")
+            frames.append(keys.select(F.lit(name).alias("source"), kind.alias("kind"),
+                                      F.lit(None).cast("bigint").alias("n_rows"),
+                                      F.lit(None).cast("bigint").alias("exact_duplicate_rows"),
+                                      F.col("key_duplicates").cast("bigint")))
+        frames.append(exact.select(F.lit(name).alias("source"), F.lit("exact").alias("kind"),
+                                   F.col("n_rows").cast("bigint"), F.col("exact_duplicate_rows").cast("bigint"),
+                                   F.lit(None).cast("bigint").alias("key_duplicates")))
+    return _union(frames).groupBy("source").agg(
+        F.max("n_rows").alias("n_rows"),
+        F.max("exact_duplicate_rows").alias("exact_duplicate_rows"),
+        F.max("key_duplicates").alias("key_duplicates"),
     )
 
 
