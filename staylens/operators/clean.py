@@ -110,7 +110,11 @@ def valid_stay(ci: Column | str = "check_in_date", co: Column | str = "check_out
 
 def clean_bookings(raw: DataFrame, cfg: Config = DEFAULT_CONFIG) -> DataFrame:
     """Typed, deduplicated, validated bookings (one row per reservation)."""
-    parsed = dedup_parse_bookings(raw, cfg)
+    return finish_bookings(dedup_parse_bookings(raw, cfg), cfg)
+
+
+def finish_bookings(parsed: DataFrame, cfg: Config = DEFAULT_CONFIG) -> DataFrame:
+    """Steps after key dedup and date parsing: date filters, room nights, coercion, fills, segments."""
     kept = parsed.filter(
         F.col("check_in_date").isNotNull() & F.col("booking_date").isNotNull() & valid_stay()
     )

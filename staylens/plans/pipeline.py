@@ -15,10 +15,11 @@ writes, never guessed:
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from staylens.config import DEFAULT_CONFIG, Config
@@ -72,14 +73,44 @@ class Pipeline:
     def raw_pricing(self) -> DataFrame:
         return self._raw("pricing", fixtures.raw_pricing)
 
-    # -- clean (lazy) ------------------------------------------------------
+    # -- clean (lazy; step counters observed during the fact write) ------------
+    @cached_property
+    def _observations(self) -> dict[str, Observation]:
+        tag = uuid.uuid4().hex[:8]
+        return {k: Observation(f"{k}_{tag}") for k in ("raw_bookings", "parsed_bookings", "raw_cancellations",
+                                                       "cancellations_clean")}
+
     @cached_property
     def bookings_clean(self) -> DataFrame:
-        return C.clean_bookings(self.raw_bookings, self.cfg)
+        obs = self._observations
+        raw = self.raw_bookings.observe(obs["raw_bookings"], F.count(F.lit(1)).alias("raw"))
+        has_dates = F.col("check_in_date").isNotNull() & F.col("booking_date").isNotNull()
+        parsed = C.dedup_parse_bookings(raw, self.cfg).observe(
+            obs["parsed_bookings"],
+            F.count(F.lit(1)).alias("key_dedup"),
+            F.count_if(has_dates).alias("dates_present"),
+            F.count_if(has_dates & C.valid_stay()).alias("valid_stay"),
+        )
+        return C.finish_bookings(parsed, self.cfg)
 
     @cached_property
     def cancellations_clean(self) -> DataFrame:
-        return C.clean_cancellations(self.raw_cancellations, self.cfg)
+        obs = self._observations
+        raw = self.raw_cancellations.observe(obs["raw_cancellations"], F.count(F.lit(1)).alias("raw"))
+        return C.clean_cancellations(raw, self.cfg).observe(
+            obs["cancellations_clean"], F.count(F.lit(1)).alias("dates_present"))
+
+    def cleaning_counts(self) -> dict[str, dict[str, int]]:
+        """C18 for a pipeline run: rows kept per cleaning step, observed while the fact
+        was written (no extra pass).  Exact-duplicate counts need their own
+        grouping pass; see ``clean.cleaning_report``.
+        """
+        self.fact_base  # noqa: B018 - the write fills the observations
+        o = {k: v.get for k, v in self._observations.items()}
+        return {
+            "bookings": {"raw": o["raw_bookings"]["raw"], **o["parsed_bookings"]},
+            "cancellations": {"raw": o["raw_cancellations"]["raw"], **o["cancellations_clean"]},
+        }
 
     @cached_property
     def pricing_clean(self) -> DataFrame:

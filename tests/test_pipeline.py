@@ -69,3 +69,16 @@ def test_independent_of_session_time_zone_and_timestamp_type(spark, small_sf):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         spark.conf.unset("spark.sql.parquet.inferTimestampNTZ.enabled")
+
+
+def test_cleaning_counts_observed_during_build(spark, small_sf):
+    p = Pipeline(spark, small_sf)
+    counts = p.cleaning_counts()
+    report = {(r["source"], r["step"]): r["n_rows"] for r in
+              __import__("staylens.operators.clean", fromlist=["x"]).cleaning_report(
+                  p.raw_bookings, p.raw_cancellations, p.raw_pricing).collect()}
+    for step in ("raw", "key_dedup", "dates_present", "valid_stay"):
+        assert counts["bookings"][step] == report[("bookings", step)], step
+    assert counts["cancellations"]["raw"] == report[("cancellations", "raw")]
+    assert counts["cancellations"]["dates_present"] == report[("cancellations", "dates_present")]
+    assert counts["bookings"]["valid_stay"] == p.stats["fact_rows"]
