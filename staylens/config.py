@@ -81,6 +81,9 @@ NULL_THRESHOLDS = {
     "is_cancelled": 0.0,
     "segment": 0.10,
 }
+#: Fact columns declared NOT NULL by the loaded table's schema.
+NOT_NULL_COLUMNS = ("reservation_id", "booking_date", "check_in_date", "check_out_date", "nights",
+                    "room_nights", "is_cancelled")
 MIN_FACT_ROWS = 50
 MIN_CLEAN_RETENTION = 0.80
 MIN_FACT_RETENTION = 0.70
@@ -134,6 +137,8 @@ class Config:
     #: Drop the Unknown segment before the variance total (documented intent,
     #: off by default to follow the coded behaviour).
     include_unknown: bool = True
+    #: Raise instead of letting a duplicated pricing day multiply fact rows.
+    strict_joins: bool = False
 
     @property
     def dim_segments(self) -> tuple[str, ...]:

@@ -20,6 +20,7 @@ from staylens.config import (
     MIN_CLEAN_RETENTION,
     MIN_FACT_RETENTION,
     MIN_FACT_ROWS,
+    NOT_NULL_COLUMNS,
     NULL_THRESHOLDS,
     PRICING_COLUMNS,
     Config,
@@ -197,6 +198,8 @@ def dq_expectations(
     fact_aggs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(NULL_THRESHOLDS):
         fact_aggs.append(F.count_if(F.col(c).isNull()).alias(f"__null{i}"))
+    for i, c in enumerate(NOT_NULL_COLUMNS):
+        fact_aggs.append(F.count_if(F.col(c).isNull()).alias(f"__nn{i}"))
     fact_aggs += [
         F.count_if(~F.col("segment").isin(allowed)).alias("__noncanon"),
         F.count_if(F.col("occupancy_rate") < 0).alias("__neg_occ"),
@@ -211,6 +214,9 @@ def dq_expectations(
         rule("negative_occupancy_rate_rows", F.col("__neg_occ"), 0, "<="),
         rule("negative_lead_time_rows", F.col("__neg_lead"), 0, "<="),
         rule("null_reservation_id_rows", F.col("__null0"), 0, "<="),
+    ] + [
+        # the loaded table declares these NOT NULL; e.g. a missing check-out survives cleaning
+        rule(f"not_null_{c}_violations", F.col(f"__nn{i}"), 0, "<=") for i, c in enumerate(NOT_NULL_COLUMNS)
     ]
     part2 = wide.select(F.explode(F.array(*fact_rules)).alias("r")).select("r.*")
 

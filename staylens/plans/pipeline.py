@@ -125,6 +125,11 @@ class Pipeline:
     def fact_base(self) -> DataFrame:
         """J1 → J2 → F1/F2/F4, written once; bounds observed in the same pass."""
         pricing = self.pricing_clean
+        if self.cfg.strict_joins:
+            dup = FT.join_fanout_check(self.spark.createDataFrame([], "reservation_id string"), pricing)
+            extra = dup.filter(F.col("join_name") == "pricing").first()["extra_rows"]
+            if extra:
+                raise ValueError(f"pricing has {extra} extra rows on duplicated days; the fact would fan out")
         broadcast_pricing = self.stats["pricing_rows"] <= self.cfg.broadcast_max_rows
         base = FT.fact_base(self.bookings_clean, self.cancellations_clean, pricing,
                             broadcast_pricing=broadcast_pricing)

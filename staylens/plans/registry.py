@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from staylens.config import CANONICAL_SEGMENTS, DEFAULT_CONFIG, NULL_THRESHOLDS, UNKNOWN, Config
-from staylens.config import MIN_CLEAN_RETENTION, MIN_FACT_RETENTION, MIN_FACT_ROWS
+from staylens.config import MIN_CLEAN_RETENTION, MIN_FACT_RETENTION, MIN_FACT_ROWS, NOT_NULL_COLUMNS
 from staylens.operators import clean as C
 from staylens.operators import dims as D
 from staylens.operators import fact as FT
@@ -780,6 +780,12 @@ def _dq_sql() -> str:
         r("negative_occupancy_rate_rows", "(SELECT COUNT(*) FILTER (WHERE occupancy_rate < 0) FROM fact)", 0, "<="),
         r("negative_lead_time_rows", "(SELECT COUNT(*) FILTER (WHERE lead_time_days < 0) FROM fact)", 0, "<="),
         r("null_reservation_id_rows", "(SELECT COUNT(*) FILTER (WHERE reservation_id IS NULL) FROM fact)", 0, "<="),
+    ]
+    rows += [
+        r(f"not_null_{c}_violations", f"(SELECT COUNT(*) FILTER (WHERE {c} IS NULL) FROM fact)", 0, "<=")
+        for c in NOT_NULL_COLUMNS
+    ]
+    rows += [
         r("duplicate_reservation_ids",
           "(SELECT COUNT(*) FROM (SELECT reservation_id FROM fact GROUP BY 1 HAVING COUNT(*) > 1))", 0, "<="),
     ]

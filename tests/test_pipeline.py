@@ -82,3 +82,30 @@ def test_cleaning_counts_observed_during_build(spark, small_sf):
     assert counts["cancellations"]["raw"] == report[("cancellations", "raw")]
     assert counts["cancellations"]["dates_present"] == report[("cancellations", "dates_present")]
     assert counts["bookings"]["valid_stay"] == p.stats["fact_rows"]
+
+
+def test_strict_joins_refuse_duplicated_pricing_days(spark):
+    import pytest
+
+    from staylens.config import Config
+    from tests.conftest import BOOKING_SCHEMA, CANCEL_SCHEMA, PRICING_SCHEMA
+
+    b = spark.createDataFrame([("R1", "TA", "S", "2023-01-01", "2023-03-01", "2023-03-02", "1", "5")], BOOKING_SCHEMA)
+    c = spark.createDataFrame([], CANCEL_SCHEMA)
+    p = spark.createDataFrame([("2023-03-01", "Shoulder", "90", "Low"), ("2023-03-01", "Shoulder", "95", "Low")],
+                              PRICING_SCHEMA)
+    lenient = Pipeline.from_frames(b, c, p)
+    assert lenient.fact.count() == 2                 # the documented fan-out
+    with pytest.raises(ValueError, match="fan out"):
+        Pipeline.from_frames(b, c, p, Config(strict_joins=True)).fact_base  # noqa: B018
+
+
+def test_not_null_rules_report_missing_check_outs(spark, small_sf):
+    import __spark_entry__ as E
+
+    rules = {r["rule"]: r for r in E.queries()["dq_expectations"](spark, small_sf).collect()}
+    n_missing = pipeline(spark, small_sf).fact.filter("check_out_date IS NULL").count()
+    assert n_missing > 0
+    assert rules["not_null_check_out_date_violations"]["observed"] == n_missing
+    assert not rules["not_null_check_out_date_violations"]["passed"]
+    assert rules["not_null_check_in_date_violations"]["passed"]
