@@ -1,7 +1,7 @@
 """The pipeline from CSV files equals the pipeline from the driver-table mapping."""
 
 import os
-import tempfile
+import uuid
 
 from staylens.operators import fact as FT
 from staylens.operators import metrics as M
@@ -16,7 +16,7 @@ def _rows(df):
 
 
 def test_pipeline_from_csv_matches_mapping(spark, small_sf):
-    base = checkpoint_root(spark).replace("file:", "") + "/csv-" + next(tempfile._get_candidate_names())
+    base = checkpoint_root(spark).replace("file:", "") + "/csv-" + uuid.uuid4().hex[:10]
     paths = {}
     for name, fn in (("bookings", fixtures.raw_bookings), ("cancellations", fixtures.raw_cancellations),
                      ("seasonal_pricing", fixtures.raw_pricing)):

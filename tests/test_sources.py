@@ -1,5 +1,5 @@
 import os
-import tempfile
+import uuid
 
 import pytest
 
@@ -12,7 +12,7 @@ from staylens.sources import sinks
 @pytest.fixture()
 def tmp(spark):
     # tests only: a fresh folder under the session's checkpoint root
-    return checkpoint_root(spark).replace("file:", "") + "/tests-" + next(tempfile._get_candidate_names())
+    return checkpoint_root(spark).replace("file:", "") + "/tests-" + uuid.uuid4().hex[:10]
 
 
 def write(path, text):
