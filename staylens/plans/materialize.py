@@ -67,7 +67,8 @@ def materialize(
     if sort_within:
         out = out.sortWithinPartitions(*sort_within)
     out.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path), (obs.get if obs else {})
+    # the schema is known: passing it skips the footer-reading inference job
+    return spark.read.schema(df.schema).parquet(path), (obs.get if obs else {})
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int, known_rows: int | None = None) -> DataFrame:
