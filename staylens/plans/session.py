@@ -16,9 +16,16 @@ CLUSTER_SETTINGS = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
-    # ~100 TB of input at ~256 MB per shuffle partition before AQE coalescing.
-    "spark.sql.shuffle.partitions": "40000",
+    # Sized for the largest shuffle, the booking key dedup: keys are unique, so
+    # the partial aggregate barely shrinks it, and tens of TB of bookings go
+    # through it.  AQE can merge small partitions but never splits a large
+    # one (outside skew handling), so start high: 50 TB / 100k ≈ 512 MB per
+    # partition, coalesced toward the advisory size on the smaller stages.
+    "spark.sql.shuffle.partitions": "100000",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.files.maxPartitionBytes": "512m",
+    # Key dedup buffers sort data per task; leave room for the sort spill.
+    "spark.sql.execution.sortBeforeRepartition": "true",
     # Broadcasts are chosen explicitly after a size check; keep the static
     # threshold modest so the planner never broadcasts an unchecked side.
     "spark.sql.autoBroadcastJoinThreshold": "64m",
