@@ -24,8 +24,6 @@ CLUSTER_SETTINGS = {
     "spark.sql.shuffle.partitions": "100000",
     "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.files.maxPartitionBytes": "512m",
-    # Key dedup buffers sort data per task; leave room for the sort spill.
-    "spark.sql.execution.sortBeforeRepartition": "true",
     # Broadcasts are chosen explicitly after a size check; keep the static
     # threshold modest so the planner never broadcasts an unchecked side.
     "spark.sql.autoBroadcastJoinThreshold": "64m",
