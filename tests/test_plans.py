@@ -76,3 +76,16 @@ def test_pipeline_broadcasts_are_size_checked(spark, small_sf):
     lo, hi = p.stats["min_check_in"], p.stats["max_check_in"]
     days = p.fact.select("check_in_date").distinct().count()
     assert days <= (hi - lo).days + 1
+
+
+def test_bounded_broadcast_obeys_the_bound(spark):
+    from staylens.plans.materialize import bounded_broadcast
+
+    big = spark.range(100_000).withColumnRenamed("id", "k")
+    small = spark.range(50).withColumnRenamed("id", "k")
+    under = big.join(bounded_broadcast(small, max_rows=100), "k")
+    over = big.join(bounded_broadcast(small, max_rows=10), "k")      # counted: 50 > 10
+    assert "BroadcastHashJoin" in plan_of(under)
+    p = plan_of(over)
+    assert "SortMergeJoin" in p and "BroadcastHashJoin" not in p, p
+    assert under.count() == over.count() == 50
