@@ -60,21 +60,26 @@ def dedup_latest(
     cfg: Config = DEFAULT_CONFIG,
     *,
     keep_order: str | None = None,
+    count_as: str | None = None,
 ) -> DataFrame:
     """Keep one row per ``key``: greatest ``order_by`` first, nulls last.
 
     Ties are broken by the remaining columns (greatest first) so the result
     is deterministic.  Rows with a null key form one group, like pandas.
     ``keep_order`` names an output column carrying the winning ``order_by``
-    value, so a caller that needs it (a parsed date) does not compute it twice.
+    value, so a caller that needs it (a parsed date) does not compute it twice;
+    ``count_as`` names a column with the number of input rows per key, so the
+    raw row count falls out of the same pass.
     """
     payload = [c for c in df.columns if c != key]
     best = F.max(F.struct(order_by.alias("__order"), *[F.col(c) for c in payload]))
+    aggs = [best.alias("__best")] + ([F.count(F.lit(1)).alias(count_as)] if count_as else [])
     extra = [F.col("__best.__order").alias(keep_order)] if keep_order else []
     return (
         df.groupBy(key)
-        .agg(best.alias("__best"))
-        .select(key, *[F.col("__best")[c].alias(c) for c in payload], *extra)
+        .agg(*aggs)
+        .select(key, *[F.col("__best")[c].alias(c) for c in payload], *extra,
+                *([F.col(count_as)] if count_as else []))
     )
 
 
@@ -82,10 +87,11 @@ def _extras(df: DataFrame, known: Sequence[str]) -> list[str]:
     return [c for c in df.columns if c not in known]
 
 
-def dedup_bookings(raw: DataFrame, cfg: Config = DEFAULT_CONFIG, *, keep_order: str | None = None) -> DataFrame:
+def dedup_bookings(raw: DataFrame, cfg: Config = DEFAULT_CONFIG, *, keep_order: str | None = None,
+                   count_as: str | None = None) -> DataFrame:
     """Bookings deduplicated on ``reservation_id`` keeping the latest booking date."""
     return dedup_latest(raw, "reservation_id", parse_mixed_date("booking_date", cfg.date_formats), cfg,
-                        keep_order=keep_order)
+                        keep_order=keep_order, count_as=count_as)
 
 
 def parse_booking_dates(df: DataFrame, cfg: Config = DEFAULT_CONFIG) -> DataFrame:
@@ -97,9 +103,9 @@ def parse_booking_dates(df: DataFrame, cfg: Config = DEFAULT_CONFIG) -> DataFram
     return df.withColumns(parsed)
 
 
-def dedup_parse_bookings(raw: DataFrame, cfg: Config = DEFAULT_CONFIG) -> DataFrame:
+def dedup_parse_bookings(raw: DataFrame, cfg: Config = DEFAULT_CONFIG, *, count_as: str | None = None) -> DataFrame:
     """Key dedup then date parsing; the booking date parsed for the dedup is reused."""
-    return parse_booking_dates(dedup_bookings(raw, cfg, keep_order="__booking_date"), cfg)
+    return parse_booking_dates(dedup_bookings(raw, cfg, keep_order="__booking_date", count_as=count_as), cfg)
 
 
 def valid_stay(ci: Column | str = "check_in_date", co: Column | str = "check_out_date") -> Column:

@@ -146,14 +146,14 @@ def dq_expectations(
     raw_bookings: DataFrame,
     raw_cancellations: DataFrame,
     raw_pricing: DataFrame,
-    bookings_clean: DataFrame,
     fact: DataFrame,
     cfg: Config = DEFAULT_CONFIG,
 ) -> DataFrame:
     """Q1–Q7 as data: ``(rule, observed, threshold, op, passed)``.
 
-    Passes: one count over the union of the raw/clean sources, one wide
-    aggregate over the fact, one key-duplicate aggregate.
+    Passes: one read per raw source (the clean-bookings count comes out of
+    the same dedup that reads raw bookings), one wide aggregate over the
+    fact, one key-duplicate aggregate.
     """
     rule_fields = ("rule", "observed", "threshold", "op")
 
@@ -168,15 +168,24 @@ def dq_expectations(
         ("pricing", raw_pricing, PRICING_COLUMNS),
         ("fact", fact, FACT_COLUMNS),
     ]
-    # Q2/Q3: row counts and retention from one pass over the tagged union.
+    # Q2/Q3: row counts and retention.  Raw and clean bookings come from one
+    # read (the dedup counts its input rows per key); the other sources are
+    # counted once each; the one-row results are merged through a tagged union.
+    from staylens.operators.clean import dedup_parse_bookings, valid_stay
+
+    parsed = dedup_parse_bookings(raw_bookings, cfg, count_as="__rows")
+    has_dates = F.col("check_in_date").isNotNull() & F.col("booking_date").isNotNull()
     tagged = _union([
-        raw_bookings.select(F.lit("raw_bookings").alias("t")),
-        raw_cancellations.select(F.lit("raw_cancellations").alias("t")),
-        raw_pricing.select(F.lit("raw_pricing").alias("t")),
-        bookings_clean.select(F.lit("bookings_clean").alias("t")),
-        fact.select(F.lit("fact").alias("t")),
+        parsed.agg(F.sum("__rows").alias("raw"), F.count_if(has_dates & valid_stay()).alias("clean")).select(
+            F.explode(F.array(
+                F.struct(F.lit("raw_bookings").alias("t"), F.col("raw").alias("n")),
+                F.struct(F.lit("bookings_clean").alias("t"), F.col("clean").alias("n")),
+            )).alias("r")).select("r.t", "r.n"),
+        raw_cancellations.agg(F.count(F.lit(1)).alias("n")).select(F.lit("raw_cancellations").alias("t"), "n"),
+        raw_pricing.agg(F.count(F.lit(1)).alias("n")).select(F.lit("raw_pricing").alias("t"), "n"),
+        fact.agg(F.count(F.lit(1)).alias("n")).select(F.lit("fact").alias("t"), "n"),
     ])
-    n = {t: F.count_if(F.col("t") == t) for t in
+    n = {t: F.max(F.when(F.col("t") == t, F.col("n"))) for t in
          ("raw_bookings", "raw_cancellations", "raw_pricing", "bookings_clean", "fact")}
     counts = tagged.agg(*[v.alias(k) for k, v in n.items()])
     count_rules = [
