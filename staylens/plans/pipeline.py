@@ -141,12 +141,19 @@ class Pipeline:
                 "min_check_in": F.min("check_in_date"),
                 "max_check_in": F.max("check_in_date"),
                 "cancelled": F.count_if("is_cancelled"),
+                # join diagnostics the original logs, observed on the same write
+                "no_season": F.count_if(F.col("season_tag").isNull()),
+                "rate_still_null": F.count_if(F.col("rate").isNull()),
+                "lead_unknown": F.count_if(F.col("lead_time_days").isNull()),
             },
             sort_within=["check_in_date"],
         )
         self.stats.update(
             fact_rows=int(m["rows"]),
             fact_cancelled=int(m["cancelled"]),
+            fact_no_season=int(m["no_season"]),
+            fact_rate_still_null=int(m["rate_still_null"]),
+            fact_lead_unknown=int(m["lead_unknown"]),
             min_check_in=m["min_check_in"],
             max_check_in=m["max_check_in"],
             broadcast_pricing=broadcast_pricing,

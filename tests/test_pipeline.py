@@ -109,3 +109,13 @@ def test_not_null_rules_report_missing_check_outs(spark, small_sf):
     assert rules["not_null_check_out_date_violations"]["observed"] == n_missing
     assert not rules["not_null_check_out_date_violations"]["passed"]
     assert rules["not_null_check_in_date_violations"]["passed"]
+
+
+def test_build_diagnostics_observed(spark, small_sf):
+    p = pipeline(spark, small_sf)
+    f = p.fact
+    assert p.stats["fact_rows"] == f.count()
+    assert p.stats["fact_cancelled"] == f.filter("is_cancelled").count()
+    assert p.stats["fact_no_season"] == f.filter("season_tag IS NULL").count()
+    assert p.stats["fact_rate_still_null"] == f.filter("rate IS NULL").count()
+    assert p.stats["fact_lead_unknown"] == f.filter("lead_time_days IS NULL").count()
