@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from staylens.config import (
     BOOKINGS_COLUMNS,
@@ -58,9 +59,15 @@ def read_source(
     *,
     multiline: bool = False,
 ) -> tuple[DataFrame, list[str]]:
-    """Load one raw source and report which contract columns are missing."""
+    """Load one raw source and report which contract columns are missing.
+
+    Missing columns are reported, never raised, and added as null strings so
+    the cleaning steps degrade the way the original does (e.g. without a
+    check-out column, room nights come from ``nights``).
+    """
     df = load_csv(spark, path, cfg, multiline=multiline)
-    return df, missing_columns(df, CONTRACTS[source])
+    missing = missing_columns(df, CONTRACTS[source])
+    return df.withColumns({c: F.lit(None).cast("string") for c in missing}), missing
 
 
 def read_all(

@@ -40,8 +40,13 @@ def test_csv_scan_strings_headers_tokens(spark, tmp):
 def test_contract_reports_missing_columns(spark, tmp):
     p = f"{tmp}/cancellations.csv"
     write(p, "reservation_id,cancellation_date\nR1,2023-01-01\n")
-    _, missing = S.read_source(spark, p, "cancellations")
+    df, missing = S.read_source(spark, p, "cancellations")
     assert missing == ["reason", "refund_status"]
+    # reported, not raised: the columns are added as nulls and cleaning proceeds
+    from staylens.operators import clean as C
+
+    row = C.clean_cancellations(df).collect()[0]
+    assert (row["reason"], row["refund_status"]) == ("Unknown", "Unknown")
 
 
 def test_missing_and_empty_files(spark, tmp):
