@@ -44,6 +44,8 @@ class Pipeline:
     cfg: Config = DEFAULT_CONFIG
     stats: dict = field(default_factory=dict)
     sources: dict[str, DataFrame] | None = None
+    #: Contract report of the scan (source -> missing columns), if known.
+    missing: dict[str, list[str]] = field(default_factory=dict)
 
     @classmethod
     def from_frames(
@@ -52,9 +54,14 @@ class Pipeline:
         cancellations: DataFrame,
         pricing: DataFrame,
         cfg: Config = DEFAULT_CONFIG,
+        missing: dict[str, list[str]] | None = None,
     ) -> "Pipeline":
+        """Start from raw string frames, e.g. ``frames, missing = csv.read_all(...)``."""
         frames = {"bookings": bookings, "cancellations": cancellations, "pricing": pricing}
-        return cls(bookings.sparkSession, "", cfg, sources=frames)
+        report = dict(missing or {})
+        if "seasonal_pricing" in report:
+            report["pricing"] = report.pop("seasonal_pricing")
+        return cls(bookings.sparkSession, "", cfg, sources=frames, missing=report)
 
     def _raw(self, name: str, derive) -> DataFrame:
         df = self.sources[name] if self.sources is not None else derive(self.spark, self.sf_dir)

@@ -798,4 +798,4 @@ FROM ({' UNION ALL '.join(rows)})""")
 @register("dq_expectations", _dq_sql())
 def _dq(p: Pipeline) -> DataFrame:
     """Q1–Q7: quality rules as data."""
-    return Q.dq_expectations(p.raw_bookings, p.raw_cancellations, p.raw_pricing, p.fact, p.cfg)
+    return Q.dq_expectations(p.raw_bookings, p.raw_cancellations, p.raw_pricing, p.fact, p.cfg, p.missing)

@@ -39,3 +39,19 @@ def test_dq_expectations_on_driver_tables(spark, small_sf):
     # the fixture carries one unmappable label on purpose; the rule must catch it
     assert rules["non_canonical_segment_rows"]["observed"] > 0 and not rules["non_canonical_segment_rows"]["passed"]
     assert all(r["passed"] for k, r in rules.items() if k.startswith("required_columns_missing"))
+
+
+def test_dq_uses_the_scan_contract_report(spark):
+    from staylens.operators import quality as Q
+    from tests.conftest import BOOKING_SCHEMA, CANCEL_SCHEMA, PRICING_SCHEMA
+
+    b = spark.createDataFrame([("R1", "TA", "S", "2023-01-01", "2023-02-01", "2023-02-02", "1", "5")], BOOKING_SCHEMA)
+    c = spark.createDataFrame([], CANCEL_SCHEMA)
+    p = spark.createDataFrame([], PRICING_SCHEMA)
+    from staylens.plans.pipeline import Pipeline
+
+    pl = Pipeline.from_frames(b, c, p, missing={"cancellations": ["reason"], "seasonal_pricing": []})
+    rules = {r["rule"]: r for r in Q.dq_expectations(b, c, p, pl.fact, missing=pl.missing).collect()}
+    assert rules["required_columns_missing_cancellations"]["observed"] == 1
+    assert not rules["required_columns_missing_cancellations"]["passed"]
+    assert rules["required_columns_missing_pricing"]["observed"] == 0
