@@ -195,3 +195,12 @@ def test_occupancy_pivot_segment_selection(fs):
     assert df.columns == ["date", "Group"]
     got = {r["date"]: r["Group"] for r in df.collect()}
     assert got[D(2023, 1, 1)] == 0.05 and got[D(2023, 1, 2)] == 0.0
+
+
+def test_register_views_as_sql(spark, fs):
+    names = V.register_views(fs)
+    assert len(names) == 7
+    via_sql = {r["segment_name"]: r["total_bookings"] for r in spark.sql("SELECT * FROM v_segment_summary").collect()}
+    direct = {r["segment_name"]: r["total_bookings"] for r in V.v_segment_summary(fs).collect()}
+    assert via_sql == direct and via_sql["Direct"] == 4
+    assert spark.sql("SELECT COUNT(*) AS n FROM fact_bookings_enriched").collect()[0]["n"] == len(ROWS)
