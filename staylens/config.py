@@ -93,6 +93,7 @@ MIN_FACT_RETENTION = 0.70
 DATE_FORMATS = (
     "yyyy-M-d",
     "yyyy-M-d H:m:s",
+    "yyyy-M-d'T'H:m:s",
     "yyyy/M/d",
     "yyyyMMdd",
     "M/d/yyyy",
@@ -109,6 +110,7 @@ DATE_FORMATS = (
 DATE_FORMAT_SHAPES = {
     "yyyy-M-d": r"^\d{4,}-\d{1,2}-\d{1,2}$",
     "yyyy-M-d H:m:s": r"^\d{4,}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$",
+    "yyyy-M-d'T'H:m:s": r"^\d{4,}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$",
     "yyyy/M/d": r"^\d{4,}/\d{1,2}/\d{1,2}$",
     "yyyyMMdd": r"^\d{8}$",
     "M/d/yyyy": r"^(0?[1-9]|1[0-2])/\d{1,2}/\d{4,}$",

@@ -19,6 +19,7 @@ def test_parse_mixed_date_formats(spark):
         "2023-2-1": D(2023, 2, 1),
         "  2023-02-01  ": D(2023, 2, 1),
         "2023-02-01 10:30:00": D(2023, 2, 1),   # time of day dropped: joins on the day
+        "2023-02-01T10:30:00": D(2023, 2, 1),
         "2023/2/1": D(2023, 2, 1),
         "20230201": D(2023, 2, 1),
         "02/03/2023": D(2023, 2, 3),            # ambiguous: month first
