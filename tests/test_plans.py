@@ -89,3 +89,15 @@ def test_bounded_broadcast_obeys_the_bound(spark):
     p = plan_of(over)
     assert "SortMergeJoin" in p and "BroadcastHashJoin" not in p, p
     assert under.count() == over.count() == 50
+
+
+def test_plan_export_shows_final_plan_with_scan_details(spark, small_sf):
+    from staylens.plans.explain import executed_plan
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        text = executed_plan(E.queries()["m1_filtered"](spark, small_sf))
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "isFinalPlan=true" in text
+    assert "PushedFilters" in text and "ReadSchema" in text and "Corporate" in text
