@@ -157,8 +157,17 @@ def nights_mismatch(bookings_clean: DataFrame) -> DataFrame:
 
 def clean_cancellations(raw: DataFrame, cfg: Config = DEFAULT_CONFIG) -> DataFrame:
     """One cancellation per reservation (latest date wins), dated, gaps filled."""
-    dedup = dedup_latest(raw, "reservation_id", parse_mixed_date("cancellation_date", cfg.date_formats), cfg,
-                         keep_order="__cancellation_date")
+    return finish_cancellations(dedup_cancellations(raw, cfg), cfg)
+
+
+def dedup_cancellations(raw: DataFrame, cfg: Config = DEFAULT_CONFIG) -> DataFrame:
+    """Key dedup keeping the latest cancellation date (parsed once, kept as a column)."""
+    return dedup_latest(raw, "reservation_id", parse_mixed_date("cancellation_date", cfg.date_formats), cfg,
+                        keep_order="__cancellation_date")
+
+
+def finish_cancellations(dedup: DataFrame, cfg: Config = DEFAULT_CONFIG) -> DataFrame:
+    """Steps after key dedup: parsed date in place, undated rows dropped, gaps filled."""
     parsed = dedup.withColumn("cancellation_date", F.col("__cancellation_date")).drop("__cancellation_date")
     return parsed.filter(F.col("cancellation_date").isNotNull()).na.fill(
         {"reason": UNKNOWN, "refund_status": UNKNOWN}

@@ -85,7 +85,7 @@ class Pipeline:
     def _observations(self) -> dict[str, Observation]:
         tag = uuid.uuid4().hex[:8]
         return {k: Observation(f"{k}_{tag}") for k in ("raw_bookings", "parsed_bookings", "raw_cancellations",
-                                                       "cancellations_clean")}
+                                                       "dedup_cancellations", "cancellations_clean")}
 
     @cached_property
     def bookings_clean(self) -> DataFrame:
@@ -104,7 +104,9 @@ class Pipeline:
     def cancellations_clean(self) -> DataFrame:
         obs = self._observations
         raw = self.raw_cancellations.observe(obs["raw_cancellations"], F.count(F.lit(1)).alias("raw"))
-        return C.clean_cancellations(raw, self.cfg).observe(
+        dedup = C.dedup_cancellations(raw, self.cfg).observe(
+            obs["dedup_cancellations"], F.count(F.lit(1)).alias("key_dedup"))
+        return C.finish_cancellations(dedup, self.cfg).observe(
             obs["cancellations_clean"], F.count(F.lit(1)).alias("dates_present"))
 
     def cleaning_counts(self) -> dict[str, dict[str, int]]:
@@ -116,7 +118,8 @@ class Pipeline:
         o = {k: v.get for k, v in self._observations.items()}
         return {
             "bookings": {"raw": o["raw_bookings"]["raw"], **o["parsed_bookings"]},
-            "cancellations": {"raw": o["raw_cancellations"]["raw"], **o["cancellations_clean"]},
+            "cancellations": {"raw": o["raw_cancellations"]["raw"], **o["dedup_cancellations"],
+                              **o["cancellations_clean"]},
         }
 
     @cached_property

@@ -80,6 +80,7 @@ def test_cleaning_counts_observed_during_build(spark, small_sf):
     for step in ("raw", "key_dedup", "dates_present", "valid_stay"):
         assert counts["bookings"][step] == report[("bookings", step)], step
     assert counts["cancellations"]["raw"] == report[("cancellations", "raw")]
+    assert counts["cancellations"]["key_dedup"] == report[("cancellations", "key_dedup")]
     assert counts["cancellations"]["dates_present"] == report[("cancellations", "dates_present")]
     assert counts["bookings"]["valid_stay"] == p.stats["fact_rows"]
 
