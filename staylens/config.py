@@ -141,6 +141,9 @@ class Config:
     include_unknown: bool = True
     #: Raise instead of letting a duplicated pricing day multiply fact rows.
     strict_joins: bool = False
+    #: Write the pipeline's fact partitioned by check-in month (file pruning for
+    #: date-filtered scans at scale; off for small local runs).
+    partition_fact_by_month: bool = False
 
     @property
     def dim_segments(self) -> tuple[str, ...]:

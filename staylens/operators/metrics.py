@@ -231,16 +231,24 @@ def m8_rvi(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, **filters) -> DataFrame:
     return _rvi(V.v_daily_revenue(V.apply_filters(fs, **filters)), "daily_room_revenue")
 
 
-def nightly_revenue(fs: DataFrame) -> DataFrame:
+def nightly_revenue(fs: DataFrame, start_date: str | None = None, end_date: str | None = None) -> DataFrame:
     """Revenue per segment and *night*: each active stay adds its rate to every night.
 
     Needs the row-grain (segmented) fact, not the rollup.
 
     Stays are expanded with ``explode(sequence(...))`` inside the scan stage and
     partially aggregated in the same stage, so the expansion never reaches a
-    shuffle; only ``(segment, night)`` partial sums do.
+    shuffle; only ``(segment, night)`` partial sums do.  With a date range,
+    stays that cannot have a night inside it (checking in after the end, or
+    leaving before the start) are dropped before the expansion; the
+    check-in bound reaches the Parquet scan.
     """
     active = fs.filter(~F.col("is_cancelled") & F.col("rate").isNotNull() & (F.col("room_nights") > 0))
+    if end_date is not None:
+        active = active.filter(F.col("check_in_date") <= F.to_date(F.lit(end_date)))
+    if start_date is not None:
+        last_night = F.date_add("check_in_date", F.col("room_nights") - 1)
+        active = active.filter(last_night >= F.to_date(F.lit(start_date)))
     nights = active.select(
         "segment_name",
         "rate",
@@ -254,7 +262,7 @@ def nightly_revenue(fs: DataFrame) -> DataFrame:
 def m8_rvi_nightly(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, start_date: str | None = None,
                    end_date: str | None = None) -> DataFrame:
     """M8n: revenue volatility with revenue spread over the nights of each stay."""
-    series = nightly_revenue(fs)
+    series = nightly_revenue(fs, start_date, end_date)
     if start_date is not None:
         series = series.filter(F.col("date") >= F.to_date(F.lit(start_date)))
     if end_date is not None:

@@ -53,6 +53,7 @@ def materialize(
     metrics: dict[str, Column] | None = None,
     *,
     sort_within: list[str] | None = None,
+    partition_by: list[str] | None = None,
 ) -> tuple[DataFrame, dict]:
     """Write ``df`` to the checkpoint folder and read it back.
 
@@ -64,9 +65,15 @@ def materialize(
     path = scratch_path(spark, name)
     obs = Observation(f"{name}_{uuid.uuid4().hex[:8]}") if metrics else None
     out = df.observe(obs, *[c.alias(k) for k, c in metrics.items()]) if obs else df
-    if sort_within:
-        out = out.sortWithinPartitions(*sort_within)
-    out.write.mode("overwrite").parquet(path)
+    if sort_within or partition_by:
+        out = out.sortWithinPartitions(*(partition_by or []), *(sort_within or []))
+    writer = out.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    if partition_by:  # partition columns come back from the directory names
+        back = spark.read.parquet(path)
+        return back.select(*df.columns), (obs.get if obs else {})
     # the schema is known: passing it skips the footer-reading inference job
     return spark.read.schema(df.schema).parquet(path), (obs.get if obs else {})
 

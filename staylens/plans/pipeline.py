@@ -143,6 +143,9 @@ class Pipeline:
         broadcast_pricing = self.stats["pricing_rows"] <= self.cfg.broadcast_max_rows
         base = FT.fact_base(self.bookings_clean, self.cancellations_clean, pricing,
                             broadcast_pricing=broadcast_pricing)
+        by_month = ["check_in_month"] if self.cfg.partition_fact_by_month else None
+        if by_month:
+            base = base.withColumn("check_in_month", F.date_format("check_in_date", "yyyy-MM"))
         df, m = materialize(
             base,
             "fact_base",
@@ -157,7 +160,10 @@ class Pipeline:
                 "lead_unknown": F.count_if(F.col("lead_time_days").isNull()),
             },
             sort_within=["check_in_date"],
+            partition_by=by_month,
         )
+        if by_month:
+            df = df.drop("check_in_month")
         self.stats.update(
             fact_rows=int(m["rows"]),
             fact_cancelled=int(m["cancelled"]),

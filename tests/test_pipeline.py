@@ -120,3 +120,26 @@ def test_build_diagnostics_observed(spark, small_sf):
     assert p.stats["fact_no_season"] == f.filter("season_tag IS NULL").count()
     assert p.stats["fact_rate_still_null"] == f.filter("rate IS NULL").count()
     assert p.stats["fact_lead_unknown"] == f.filter("lead_time_days IS NULL").count()
+
+
+def test_month_partitioned_fact_is_identical(spark, small_sf):
+    from staylens.config import Config
+
+    plain_p = pipeline(spark, small_sf)
+    parted = Pipeline(spark, small_sf, Config(partition_fact_by_month=True))
+    assert parted.fact.columns == plain_p.fact.columns
+    assert _rows(parted.fact) == _rows(plain_p.fact)
+    df = parted.fact_base.filter("check_in_date >= DATE'1996-01-01' AND check_in_date < DATE'1996-02-01'")
+    assert df.count() == plain_p.fact_base.filter(
+        "check_in_date >= DATE'1996-01-01' AND check_in_date < DATE'1996-02-01'").count()
+
+
+def test_nightly_revenue_range_prefilter_is_exact(spark, small_sf):
+    from pyspark.sql import functions as F
+
+    p = pipeline(spark, small_sf)
+    fs = p.fact_segmented
+    lo, hi = "1996-03-01", "1996-08-31"
+    pre = M.nightly_revenue(fs, lo, hi).filter(F.col("date").between(lo, hi))
+    post = M.nightly_revenue(fs).filter(F.col("date").between(lo, hi))
+    assert _rows(pre) == _rows(post)
