@@ -1,9 +1,11 @@
-"""End-to-end batch build: raw sources -> clean frames -> enriched fact.
+"""End-to-end batch build: raw sources -> clean frames -> enriched fact -> rollup.
 
 One ``Pipeline`` per (session, input folder).  The heavy step — key dedup of
 bookings and cancellations plus their join — runs once and is written to the
-shared checkpoint folder (``materialize``); every metric then scans that
-Parquet with column pruning and pushed-down filters.
+shared checkpoint folder (``materialize``).  The (segment, day, season)
+rollup is written from that fact in one more pass; views and metrics read the
+rollup, row-grain queries read the fact, both with column pruning and
+pushed-down filters.
 
 Broadcast decisions are size-checked with numbers observed during those
 writes, never guessed:
@@ -11,6 +13,10 @@ writes, never guessed:
 * pricing: its exact row count (observed while it is written);
 * daily occupancy totals: at most one row per calendar day between the
   observed min and max check-in dates.
+
+The same writes observe the cleaning step counts (``cleaning_counts``) and
+the join diagnostics in ``stats`` (rows without a season, rates still missing,
+unknown lead times), so reporting costs no extra pass.
 """
 
 from __future__ import annotations
