@@ -213,6 +213,33 @@ class Pipeline:
         return df
 
 
+    def write_outputs(self, base: str) -> dict[str, int]:
+        """Write every stage's output under ``base`` (full replace) and return row counts.
+
+        ``interim/`` clean bookings, cancellations and pricing (S7);
+        ``processed/fact_bookings_enriched`` partitioned by check-in month (S8);
+        ``load/`` the typed fact and the segment dimension, with the read-back
+        count checked (S9).  ``base`` should be a shared folder on a cluster.
+        """
+        from staylens.operators import dims as D
+        from staylens.sources import sinks
+
+        base = base.rstrip("/")
+        counts = {
+            "bookings_clean": sinks.write_table(self.bookings_clean, f"{base}/interim/bookings_clean"),
+            "cancellations_clean": sinks.write_table(self.cancellations_clean,
+                                                     f"{base}/interim/cancellations_clean"),
+            "pricing_clean": sinks.write_table(self.pricing_clean, f"{base}/interim/seasonal_pricing_clean"),
+            "fact_bookings_enriched": sinks.write_fact(self.fact, f"{base}/processed/fact_bookings_enriched"),
+        }
+        dim = D.dim_segment(self.spark, self.cfg)
+        counts["dim_segment"] = sinks.write_table(dim, f"{base}/load/dim_segment")
+        check = sinks.load_roundtrip(D.fact_typed(self.fact, dim, self.cfg),
+                                     f"{base}/load/fact_bookings_enriched").first()
+        counts["loaded_fact"] = int(check["rows_read"])
+        return counts
+
+
 _PIPELINES: dict[tuple[str, str], Pipeline] = {}
 
 

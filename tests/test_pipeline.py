@@ -143,3 +143,14 @@ def test_nightly_revenue_range_prefilter_is_exact(spark, small_sf):
     pre = M.nightly_revenue(fs, lo, hi).filter(F.col("date").between(lo, hi))
     post = M.nightly_revenue(fs).filter(F.col("date").between(lo, hi))
     assert _rows(pre) == _rows(post)
+
+
+def test_write_outputs(spark, small_sf):
+    p = pipeline(spark, small_sf)
+    base = checkpoint_root(spark).replace("file:", "") + "/out-" + uuid.uuid4().hex[:10]
+    counts = p.write_outputs(base)
+    assert counts["fact_bookings_enriched"] == counts["loaded_fact"] == p.stats["fact_rows"]
+    assert counts["bookings_clean"] == p.cleaning_counts()["bookings"]["valid_stay"]
+    assert counts["dim_segment"] == 6
+    assert spark.read.parquet(f"{base}/processed/fact_bookings_enriched").count() == p.stats["fact_rows"]
+    assert any(d.startswith("check_in_month=") for d in os.listdir(f"{base}/processed/fact_bookings_enriched"))
