@@ -606,6 +606,29 @@ def _summary_dates(p: Pipeline) -> DataFrame:
     return M.segment_summary(p.segment_daily, p.cfg, start_date=FILTER_START, end_date=FILTER_END)
 
 
+SEG_DATES = f"segment_name = {Q_(FILTER_SEGMENT)} AND {DATE_RANGE}"
+
+
+@register("m2_cov_filtered", W(occ_cte("occ", SEG_DATES), M2, body="SELECT * FROM m2"))
+def _m2_filtered(p: Pipeline) -> DataFrame:
+    """P1/P2 on M2: the dashboard's CoV cards for one segment and a range."""
+    return M.m2_cov(p.segment_daily, p.cfg, segment=FILTER_SEGMENT, start_date=FILTER_START, end_date=FILTER_END)
+
+
+@register("m7_revenue_at_risk_filtered", W(V5.replace("WHERE is_cancelled", f"WHERE segment_name = {Q_(FILTER_SEGMENT)} AND is_cancelled"),
+                                           body="SELECT segment_name, CAST(ROUND(revenue_at_risk, 2) AS DOUBLE) "
+                                                "AS revenue_at_risk FROM v5"))
+def _m7_filtered(p: Pipeline) -> DataFrame:
+    """P1 on M7: revenue at risk for the selected segment (no date filter, as specified)."""
+    return M.m7_revenue_at_risk(p.segment_daily, p.cfg, segment=FILTER_SEGMENT)
+
+
+@register("m8_rvi_filtered", W(v6_cte(SEG_DATES), body=rvi_select("v6", "daily_room_revenue")))
+def _m8_filtered(p: Pipeline) -> DataFrame:
+    """P1/P2 on M8: revenue volatility for one segment and a range."""
+    return M.m8_rvi(p.segment_daily, p.cfg, segment=FILTER_SEGMENT, start_date=FILTER_START, end_date=FILTER_END)
+
+
 @register("m1_by_season_filter", W(occ_cte("occ", f"season_tag IN ({', '.join(Q_(s) for s in FILTER_SEASONS)})"),
                                    body="SELECT * FROM occ"))
 def _m1_seasons(p: Pipeline) -> DataFrame:
