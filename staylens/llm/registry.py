@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.llm import chat, mixing, shard, warc
+from staylens.llm import chat, mixing, quality, shard, warc
 from staylens.llm.common import table
 from staylens.plans.materialize import scratch_path
 
@@ -51,6 +51,22 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the cascade's verdict for every document."""
+    judged = quality.quality_cascade(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n, repeats = F.col("__n_words"), F.col("__n_repeat_words")
+    return judged.select(
+        "doc_id",
+        n.alias("n_words"),
+        F.col("__word_chars").alias("word_chars"),
+        F.col("__n_symbols").alias("n_symbols"),
+        F.col("__n_dup_lines").alias("n_dup_lines"),
+        repeats.alias("n_repeat_words"),
+        ((n < 20) | (repeats * 100 > n * 30)).alias("base_failed"),
+        F.col("__kept").alias("kept"),
+    )
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document, in training order of the first copy."""
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
@@ -73,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
         "op2_chat": op2_chat,
+        "op6_quality": op6_quality,
         "op9_mixing": op9_mixing,
         "op10_shard": op10_shard,
     }
