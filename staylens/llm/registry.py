@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.llm import chat, mixing, quality, shard, warc
+from staylens.llm import chat, langid, mixing, quality, shard, warc
 from staylens.llm.common import table
 from staylens.plans.materialize import scratch_path
 
@@ -51,6 +51,20 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out():
+    """A quarter of the documents, by the checksum of their id, that training never sees."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(4)) == 2
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(~held_out()))
+    return langid.identify(docs, model, keep=["doc_id"]).select(
+        "doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.size("lang_spans").alias("n_spans"),
+    )
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the cascade's verdict for every document."""
     judged = quality.quality_cascade(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -89,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
         "op2_chat": op2_chat,
+        "op5_langid": op5_langid,
         "op6_quality": op6_quality,
         "op9_mixing": op9_mixing,
         "op10_shard": op10_shard,
