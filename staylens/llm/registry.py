@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.llm import chat, langid, mixing, quality, shard, warc
+from staylens.llm import chat, langid, minhash, mixing, quality, shard, warc
 from staylens.llm.common import table
 from staylens.plans.materialize import scratch_path
 
@@ -51,6 +51,12 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents on three-word shingles."""
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
 def held_out():
     """A quarter of the documents, by the checksum of their id, that training never sees."""
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(4)) == 2
@@ -103,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
         "op2_chat": op2_chat,
+        "op3_minhash": op3_minhash,
         "op5_langid": op5_langid,
         "op6_quality": op6_quality,
         "op9_mixing": op9_mixing,
