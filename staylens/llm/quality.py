@@ -20,7 +20,7 @@ from staylens.plans.materialize import materialize
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: Rows of the sample that costs and selectivities are measured on (at most).
+#: Rows of the sample that costs and selectivities are measured on (about).
 SAMPLE_ROWS = 2000
 
 
@@ -154,6 +154,8 @@ def quality_cascade(
     """
     rules = dict(rules or default_rules())
     counted = with_counts(docs, text_col)
-    sample, _ = materialize(with_counts(docs.select(F.col(text_col)).limit(sample_rows), text_col), "quality-sample")
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    some = docs.select(F.col(text_col)).sample(share, seed=1).repartition(8)
+    sample, _ = materialize(with_counts(some, text_col), "quality-sample")
     order = cascade_order(estimate(sample, rules))
     return counted.withColumn("__failed", verdict(rules, order)).withColumn("__kept", F.col("__failed").isNull())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.llm import chat, langid, minhash, mixing, quality, shard, warc
+from staylens.llm import chat, langid, minhash, mixing, quality, shard, unigram, warc
 from staylens.llm.common import table
 from staylens.plans.materialize import scratch_path
 
@@ -87,6 +87,15 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The piece model that op7 and the pipeline encode with.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct sampled segmentations of every document, and whether they decode to its text."""
+    return unigram.encode(table(spark, sf_dir, "documents"), unigram.load(PIECE_MODEL), k=2, keep=["doc_id"])
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document, in training order of the first copy."""
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
@@ -112,6 +121,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_minhash": op3_minhash,
         "op5_langid": op5_langid,
         "op6_quality": op6_quality,
+        "op7_sentencepiece": op7_sentencepiece,
         "op9_mixing": op9_mixing,
         "op10_shard": op10_shard,
     }
