@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.llm import chat, langid, minhash, mixing, quality, shard, unigram, warc
+from staylens.llm import chat, langid, minhash, mixing, pivots, quality, shard, unigram, warc
 from staylens.llm.common import table
 from staylens.plans.materialize import scratch_path
 
@@ -57,6 +57,12 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all embeddings, inside labels."""
+    found = pivots.near_embeddings(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def held_out():
     """A quarter of the documents, by the checksum of their id, that training never sees."""
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(4)) == 2
@@ -119,6 +125,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": op1_warc,
         "op2_chat": op2_chat,
         "op3_minhash": op3_minhash,
+        "op4_embeddings": op4_embeddings,
         "op5_langid": op5_langid,
         "op6_quality": op6_quality,
         "op7_sentencepiece": op7_sentencepiece,
