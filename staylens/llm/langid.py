@@ -262,11 +262,12 @@ def identify(docs: DataFrame, model: Model, *, keep: list[str], text_col: str =
     model without languages calls everything ``und``.
     """
     schema = docs.select(*keep).schema
+    names = [*keep] if text_col in keep else [*keep, text_col]
     out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "lang_pred string, lang_score double, lang_spans array<struct<first_word:int,n_words:int,lang:string>>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = flat.strings(batch.column(batch.num_columns - 1))
+            texts = flat.strings(batch.column(names.index(text_col)))
             for a, b in flat.pieces(texts):
                 part = texts.slice(a, b - a)
                 if model.langs:
@@ -276,4 +277,4 @@ def identify(docs: DataFrame, model: Model, *, keep: list[str], text_col: str =
                 kept = [batch.column(i).slice(a, b - a) for i in range(len(schema))]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score), spans], names=[*schema.names, "lang_pred", "lang_score", "lang_spans"])
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, out)
+    return docs.select(*names).mapInArrow(run, out)

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staylens.llm import flat
@@ -135,10 +135,10 @@ def sketch(docs: DataFrame, *, id_col: str, text_col: str, width: int, bands: in
                     names=["id", "key", "n_shingles", "d1", "d2", "buckets"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), _key(id_col, text_col), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("id"), node_key(id_col, text_col), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def _key(id_col: str, text_col: str):
+def node_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """The id as a node; without an id, a value above all ids from the text."""
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(text_col), F.lit(NO_ID))).alias("key")
 
@@ -174,7 +174,9 @@ def near_duplicates(
     bands: int = BANDS,
     rows: int = ROWS,
 ) -> DataFrame:
-    """One row per document: ``id``, ``n_shingles``, ``component`` and ``kept``.
+    """One row per document: ``id``, ``key``, ``n_shingles``, ``component`` and ``kept``.
+
+    ``key`` is the id, or for rows without one a value made from the text (``node_key``).
 
     Documents are linked when ``100 * intersection >= percent * union`` of
     their shingle sets; ``component`` is the smallest id reachable and
@@ -196,7 +198,7 @@ def near_duplicates(
 
     ids, n_ids = materialize(crowded.select("rep").distinct(), "minhash-ids", {"n": F.count(F.lit(1))})
     texts = (
-        docs.select(_key(id_col, text_col), F.col(text_col).alias("text"))
+        docs.select(node_key(id_col, text_col), F.col(text_col).alias("text"))
         .join(ids.withColumnRenamed("rep", "key").hint("merge"), "key")
         .groupBy("key").agg(F.first("text").alias("text"))
     )
@@ -241,11 +243,22 @@ def near_duplicates(
     placed = some.join(reps.hint("merge"), ["d1", "d2", "n_shingles"]).select("id", "key", "n_shingles", "component")
     empty = marked.filter("n_shingles = 0").select("id", "key", "n_shingles", F.col("key").alias("component"))
     return placed.unionByName(empty).select(
-        "id", "n_shingles", F.when(F.col("component") < NO_ID, F.col("component")).alias("component"),
+        "id", "key", "n_shingles", F.when(F.col("component") < NO_ID, F.col("component")).alias("component"),
         F.coalesce(F.col("key") == F.col("component"), F.lit(True)).alias("kept"),
     )
 
 
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group, the one with the smallest id; rows repeated whole stay once."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).filter("kept").select(F.col("key").alias("__key")).distinct()
+    return (
+        docs.withColumns({"__key": node_key(id_col, text_col), "__th": F.xxhash64(text_col)})
+        .join(found.hint("merge"), "__key", "left_semi")
+        .dropDuplicates(["__key", "__th"])
+        .select(*docs.columns)
+    )
+
+
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs with both texts; the rows of a hub are split by AQE."""
     b = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))

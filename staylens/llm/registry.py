@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.llm import chat, langid, minhash, mixing, pivots, quality, shard, unigram, warc
+from staylens.llm import chat, html, langid, minhash, mixing, pivots, quality, shard, unigram, warc
 from staylens.llm.common import table
 from staylens.plans.materialize import scratch_path
 
@@ -102,6 +102,14 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.encode(table(spark, sf_dir, "documents"), unigram.load(PIECE_MODEL), k=2, keep=["doc_id"])
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, html.train(pages), keep=["page_id", "url"]).select(
+        "page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"),
+    )
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document, in training order of the first copy."""
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
@@ -129,6 +137,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_langid": op5_langid,
         "op6_quality": op6_quality,
         "op7_sentencepiece": op7_sentencepiece,
+        "op8_html": op8_html,
         "op9_mixing": op9_mixing,
         "op10_shard": op10_shard,
     }
