@@ -45,15 +45,20 @@ def dup_lines(text: Column) -> Column:
     return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
 
 
-def stutter(text: Column) -> Column:
+def stutter(ws: Column) -> Column:
     """Words equal to the word before them."""
-    ws = F.split(text, r"[\x20\x09-\x0D]+")
-    pairs = F.zip_with(F.slice(ws, 1, F.size(ws) - 1), F.slice(ws, 2, F.size(ws) - 1), lambda a, b: a == b)
+    n = F.greatest(F.size(ws) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(ws, 1, n), F.slice(ws, F.lit(2), n), lambda a, b: a == b)
     return F.size(F.filter(pairs, lambda same: same)).cast("long")
 
 
-def with_repeat_words(df: DataFrame, ws: str, out: str, window: int = WINDOW) -> DataFrame:
-    """Adds ``out``: the words of the array column ``ws`` covered by windows found twice or more.
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def repeat_words(ws: Column, window: int = WINDOW) -> Column:
+    """The words covered by windows of ``window`` words that are found twice or more.
 
     A window is hashed by doubling (pairs, fours, eights); repeated windows
     are neighbours after a sort, and the covered words are summed from the
@@ -62,50 +67,64 @@ def with_repeat_words(df: DataFrame, ws: str, out: str, window: int = WINDOW) ->
     """
     if window & (window - 1):
         raise ValueError("window must be a power of two")
-    df = df.withColumn("__g", F.transform(ws, lambda w: F.xxhash64(w)))
-    step = 1
-    while step < window:
-        n = F.greatest(F.size("__g") - step, F.lit(0))
-        df = df.withColumn("__g", F.zip_with(F.slice("__g", 1, n), F.slice("__g", step + 1, n), lambda a, b: F.xxhash64(a, b)))
-        step *= 2
-    some = F.size(F.array_distinct("__g")) < F.size("__g")
-    df = df.withColumn("__s", F.when(some, F.array_sort(F.transform("__g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    again = lambda x, i: (x["h"] == F.get("__s", i - 1)["h"]) | (x["h"] == F.get("__s", i + 1)["h"])
-    hit = F.filter("__s", lambda x, i: F.coalesce(again(x, i), x["h"] == F.get("__s", i + 1)["h"], x["h"] == F.get("__s", i - 1)["h"], F.lit(False)))
-    df = df.withColumn("__p", F.when(F.col("__s").isNotNull(), F.array_sort(F.transform(hit, lambda x: x["i"]))))
-    n = F.size("__p") - 1
-    gaps = F.zip_with(F.slice("__p", 1, n), F.slice("__p", 2, n), lambda a, b: F.least(b - a, F.lit(window)))
-    covered = F.aggregate(gaps, F.lit(window).cast("long"), lambda s, g: s + g)
-    return df.withColumn(out, F.when(F.col("__p").isNull(), F.lit(0).cast("long")).otherwise(covered)).drop("__g", "__s", "__p")
-
-
-#: Base counts by name, each from the text alone or from earlier counts; in order of rising cost.
+
+    def doubled(g: Column, step: int) -> Column:
+        n = F.greatest(F.size(g) - step, F.lit(0))
+        return F.zip_with(F.slice(g, 1, n), F.slice(g, F.lit(step + 1), n), lambda a, b: F.xxhash64(a, b))
+
+    def covered(p: Column) -> Column:
+        n = F.size(p) - 1
+        gaps = F.zip_with(F.slice(p, 1, n), F.slice(p, F.lit(2), n), lambda a, b: F.least(b - a, F.lit(window)))
+        return F.aggregate(gaps, F.lit(window).cast("long"), lambda s, g: s + g)
+
+    def again(s: Column) -> Column:
+        same = lambda x, i: F.coalesce(x["h"] == F.get(s, i)["h"], F.lit(False))
+        return F.array_sort(F.transform(F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["i"]))
+
+    def found(g: Column) -> Column:
+        placed = F.array_sort(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(g)) < F.size(g), _let(placed, lambda s: _let(again(s), covered))).otherwise(F.lit(0).cast("long"))
+
+    def level(g: Column, step: int) -> Column:
+        return found(g) if step == window else _let(doubled(g, step), lambda h: level(h, step * 2))
+
+    return _let(F.transform(ws, lambda w: F.xxhash64(w)), lambda g: level(g, 1))
+
+
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds ``__t`` (text or empty) and the counts the rules use, prefixed ``__``."""
+    """Adds the text (``__t``), its words (``__ws``) and the counts that cost one look at the text, prefixed ``__``.
+
+    ``__row`` numbers the rows.  It keeps filters on the verdict above this
+    projection: pushed below, they would count the words once per rule.
+    """
     t = F.col("__t")
     df = docs.withColumn("__t", _text(F.col(text_col))).withColumn("__ws", words(t))
-    df = with_repeat_words(df, "__ws", "__n_repeat_words")
     return df.select(
-        *docs.columns, "__t", "__n_repeat_words",
+        *docs.columns, "__t", "__ws",
         F.size("__ws").cast("long").alias("__n_words"),
         word_chars(t).alias("__word_chars"),
         symbol_count(t).alias("__n_symbols"),
-        dup_lines(t).alias("__n_dup_lines"),
+        F.monotonically_increasing_id().alias("__row"),
     )
 
 
-def default_rules() -> dict[str, Column]:
-    """Fail conditions by name, over the columns of ``with_counts``."""
-    n, chars = F.col("__n_words"), F.col("__word_chars")
-    t = F.col("__t")
+def heavy_counts() -> dict[str, Column]:
+    """The counts that cost more, by name; rules compute them only for rows that reach them."""
+    return {"__n_repeat_words": repeat_words(F.col("__ws")), "__n_dup_lines": dup_lines(F.col("__t"))}
+
+
+def default_rules(counts: Mapping[str, Column]) -> dict[str, Column]:
+    """Fail conditions by name, over the columns of ``with_counts`` and the given heavier counts."""
+    n, chars, t = F.col("__n_words"), F.col("__word_chars"), F.col("__t")
     count = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
+    repeats, dups = counts["__n_repeat_words"], counts["__n_dup_lines"]
     return {
         "too_few_words": n < 20,
-        "repeated_windows": F.col("__n_repeat_words") * 100 > n * 30,
+        "repeated_windows": repeats * 100 > n * 30,
         "symbols": F.col("__n_symbols") * 100 > n * 30,
         "word_length": (chars < n * 2) | (chars > n * 15),
-        "duplicate_lines": (F.col("__n_dup_lines") > 2) & (F.col("__n_dup_lines") * 100 > F.size(lines_with_words(t)) * 30),
-        "stutter": stutter(t) * 100 > n * 30,
+        "duplicate_lines": (dups > 2) & (dups * 100 > F.size(lines_with_words(t)) * 30),
+        "stutter": stutter(F.col("__ws")) * 100 > n * 30,
         "exclamations": count("!?") * 100 > n * 50,
         "digits": count("0123456789") * 100 > chars * 30,
         "few_letters": F.length(F.regexp_replace(t, r"\P{L}+", "")) * 100 < chars * 50,
@@ -142,20 +161,26 @@ def quality_cascade(
     docs: DataFrame,
     *,
     text_col: str = "text",
-    rules: Mapping[str, Column] | None = None,
+    rules=default_rules,
     sample_rows: int = SAMPLE_ROWS,
+    all_counts: bool = False,
 ) -> DataFrame:
     """``docs`` with the counts, ``__failed`` (first failing rule or null) and ``__kept``.
 
-    Null and empty texts have no words and fail.  All rows are judged on their
-    whole text; repeated rows get equal verdicts.  An empty table gives no
-    rows.  Added columns start with two underscores, so that columns of any
-    plain name pass through.
+    ``rules`` makes the fail conditions from the heavier counts, which are
+    columns for all rows with ``all_counts`` and otherwise evaluated where a
+    rule needs them.  Null and empty texts have no words and fail.  All rows
+    are judged on their whole text; repeated rows get equal verdicts.  An
+    empty table gives no rows.  Added columns start with two underscores, so
+    that columns of any plain name pass through.
     """
-    rules = dict(rules or default_rules())
-    counted = with_counts(docs, text_col)
     share = min(1.0, sample_rows / max(1, docs.count()))
     some = docs.select(F.col(text_col)).sample(share, seed=1).repartition(8)
     sample, _ = materialize(with_counts(some, text_col), "quality-sample")
-    order = cascade_order(estimate(sample, rules))
-    return counted.withColumn("__failed", verdict(rules, order)).withColumn("__kept", F.col("__failed").isNull())
+    order = cascade_order(estimate(sample, rules(heavy_counts())))
+    counted, heavy = with_counts(docs, text_col), heavy_counts()
+    if all_counts:
+        counted = counted.withColumns(heavy)
+        heavy = {name: F.col(name) for name in heavy}
+    judged = counted.withColumn("__failed", verdict(rules(heavy), order))
+    return judged.withColumn("__kept", F.col("__failed").isNull() & (F.col("__row") >= 0))

@@ -79,7 +79,7 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the cascade's verdict for every document."""
-    judged = quality.quality_cascade(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = quality.quality_cascade(table(spark, sf_dir, "documents").select("doc_id", "text"), all_counts=True)
     n, repeats = F.col("__n_words"), F.col("__n_repeat_words")
     return judged.select(
         "doc_id",
