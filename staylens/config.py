@@ -92,16 +92,24 @@ MIN_FACT_RETENTION = 0.70
 #: (month-first when ambiguous, day-first only when the month would exceed 12).
 DATE_FORMATS = (
     "yyyy-M-d",
-    "yyyy-M-d H:m:s",
-    "yyyy-M-d'T'H:m:s",
     "yyyy/M/d",
+    "yyyy.M.d",
     "yyyyMMdd",
     "M/d/yyyy",
     "d/M/yyyy",
     "M-d-yyyy",
     "d-M-yyyy",
+    "M.d.yyyy",
+    "d.M.yyyy",
     "M/d/yy",
+    "d/M/yy",
+    "M-d-yy",
+    "d-M-yy",
     "MMM d yyyy",
+    "MMMM d yyyy",
+    "d MMM yyyy",
+    "d MMMM yyyy",
+    "yyyy MMM d",
 )
 
 #: Shape each date format can accept (a superset of its successful parses).
@@ -109,21 +117,26 @@ DATE_FORMATS = (
 #: without an entry is always tried.
 DATE_FORMAT_SHAPES = {
     "yyyy-M-d": r"^\d{4,}-\d{1,2}-\d{1,2}$",
-    "yyyy-M-d H:m:s": r"^\d{4,}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$",
-    "yyyy-M-d'T'H:m:s": r"^\d{4,}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$",
     "yyyy/M/d": r"^\d{4,}/\d{1,2}/\d{1,2}$",
+    "yyyy.M.d": r"^\d{4,}\.\d{1,2}\.\d{1,2}$",
     "yyyyMMdd": r"^\d{8}$",
     "M/d/yyyy": r"^(0?[1-9]|1[0-2])/\d{1,2}/\d{4,}$",
     "d/M/yyyy": r"^\d{1,2}/(0?[1-9]|1[0-2])/\d{4,}$",
     "M-d-yyyy": r"^(0?[1-9]|1[0-2])-\d{1,2}-\d{4,}$",
     "d-M-yyyy": r"^\d{1,2}-(0?[1-9]|1[0-2])-\d{4,}$",
+    "M.d.yyyy": r"^(0?[1-9]|1[0-2])\.\d{1,2}\.\d{4,}$",
+    "d.M.yyyy": r"^\d{1,2}\.(0?[1-9]|1[0-2])\.\d{4,}$",
     "M/d/yy": r"^(0?[1-9]|1[0-2])/\d{1,2}/\d{2}$",
+    "d/M/yy": r"^\d{1,2}/(0?[1-9]|1[0-2])/\d{2}$",
+    "M-d-yy": r"^(0?[1-9]|1[0-2])-\d{1,2}-\d{2}$",
+    "d-M-yy": r"^\d{1,2}-(0?[1-9]|1[0-2])-\d{2}$",
     "MMM d yyyy": r"^[A-Za-z]{3} \d{1,2} \d{4,}$",
+    "MMMM d yyyy": r"^[A-Za-z]{3,9} \d{1,2} \d{4,}$",
+    "d MMM yyyy": r"^\d{1,2} [A-Za-z]{3} \d{4,}$",
+    "d MMMM yyyy": r"^\d{1,2} [A-Za-z]{3,9} \d{4,}$",
+    "yyyy MMM d": r"^\d{4,} [A-Za-z]{3} \d{1,2}$",
 }
 
-#: Season tags in the order they are listed for dashboard filters.
-SEASONS = ("Holiday", "Shoulder", "Peak", "Off")
-
 
 @dataclass(frozen=True)
 class Config:

@@ -8,12 +8,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from staylens.config import DATE_FORMAT_SHAPES, DATE_FORMATS
+from staylens.functions.text import strip
+
+#: A time of day behind a date, with optional seconds, fraction, AM/PM and zone.
+TIME_OF_DAY = r"(?:T|\s+)(?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d+)?)?\s*(?:[AaPp][Mm])?\s*(?:Z|[+-]\d{2}:?\d{2})?$"
 
 
 def parse_mixed_date(col: Column | str, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """Parse a string column holding dates in mixed spellings to ``DateType``.
 
-    Each format is tried in order on the trimmed value and the first success
+    A time of day behind the date is dropped, and month names may be joined to
+    day and year by spaces, commas, dots or dashes.  Each format is tried in
+    order on the trimmed value and the first success
     wins, so an ambiguous ``02/03/2023`` is read month-first while
     ``25/12/2023`` (month > 12) falls through to the day-first format.
     Values no format accepts become null (``try_to_timestamp`` never raises,
@@ -23,10 +29,15 @@ def parse_mixed_date(col: Column | str, formats: Sequence[str] = DATE_FORMATS) -
     dearer than a regex test; each attempt is therefore guarded by the shape
     the format can accept, so values only reach the parsers that may succeed.
     """
-    c = F.trim(F.col(col) if isinstance(col, str) else col)
+    c = strip(col)
+    # most values are plain dates; only longer ones can carry a time of day, and only letters a month name
+    c = F.when((F.length(c) > 10) & c.rlike(TIME_OF_DAY), F.regexp_replace(c, TIME_OF_DAY, "")).otherwise(c)
+    c = F.when(c.rlike("[A-Za-z]"), F.regexp_replace(c, r"[\s,./-]+", " ")).otherwise(c)
     attempts = []
     for fmt in formats:
         parsed = F.to_date(F.try_to_timestamp(c, F.lit(fmt)))
+        if "yy" in fmt and "yyyy" not in fmt:  # 69 to 99 lie in the twentieth century
+            parsed = F.when(F.year(parsed) >= 2069, F.add_months(parsed, -1200)).otherwise(parsed)
         shape = DATE_FORMAT_SHAPES.get(fmt)
         attempts.append(F.when(c.rlike(shape), parsed) if shape else parsed)
     return F.coalesce(*attempts)

@@ -6,21 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-MONEY = DecimalType(12, 2)
+from staylens.functions.text import strip
 
-
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+#: Wide enough that no amount in use is rounded or lost.
+MONEY = DecimalType(24, 6)
 
 
 def to_decimal(col: Column | str, dtype: DecimalType = MONEY) -> Column:
     """String -> exact decimal; unparseable text becomes null."""
-    return F.trim(_col(col)).try_cast(dtype)
+    return strip(col).try_cast(dtype)
 
 
 def to_whole_number(col: Column | str) -> Column:
     """String -> int for whole numbers (``"3"``, ``"3.0"``); anything else null."""
-    d = F.trim(_col(col)).try_cast("double")
+    d = strip(col).try_cast("double")
     return F.when(d == F.floor(d), d.try_cast("int"))
 
 

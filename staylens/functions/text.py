@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 from staylens.config import CANONICAL_SEGMENTS, NULL_TOKENS, SEGMENT_VARIANTS, UNKNOWN
 
 
+#: What counts as padding: the characters that Unicode calls white space.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(col: Column | str) -> Column:
+    """The value without white space at its ends (any Unicode white space, not just blanks)."""
+    return F.trim(_col(col), F.lit(WHITE_SPACE))
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -30,7 +39,7 @@ def normalise_segment(col: Column | str, variants: Mapping[str, str] = SEGMENT_V
     """
     c = _col(col)
     lookup = F.create_map(*[F.lit(x) for x in chain.from_iterable(sorted(variants.items()))])
-    return F.coalesce(F.try_element_at(lookup, F.lower(F.trim(c))), c, F.lit(UNKNOWN))
+    return F.coalesce(F.try_element_at(lookup, F.lower(strip(c))), c, F.lit(UNKNOWN))
 
 
 def segment_name(col: Column | str, canonical: Sequence[str] = CANONICAL_SEGMENTS) -> Column:

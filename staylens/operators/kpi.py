@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staylens.config import DEFAULT_CONFIG, Config
 from staylens.functions import ratio
 from staylens.operators import metrics as M
+from staylens.operators import views as V
 
 
 def kpi_cards(
@@ -15,7 +18,8 @@ def kpi_cards(
     cfg: Config = DEFAULT_CONFIG,
     start_date: str | None = None,
     end_date: str | None = None,
-    segment: str | None = None,
+    segment: str | Sequence[str] | None = None,
+    seasons: Sequence[str] | None = None,
 ) -> DataFrame:
     """K1/O2: one row — mean daily occupancy, total revenue at risk, the segment
     with the largest volatility share and the one with the highest cancellation rate.
@@ -26,12 +30,11 @@ def kpi_cards(
     first name).  A selected ``segment`` narrows the occupancy and revenue
     cards to it; the two ranking cards always rank every segment.
     """
-    per_seg = M._summary_columns(M.segment_profile(fs, cfg, start_date, end_date), cfg)
+    per_seg = M._summary_columns(M.segment_profile(fs, cfg, start_date, end_date, seasons=seasons), cfg)
     contrib, cancel = F.col("volatility_contribution"), F.col("cancellation_rate")
-    chosen = F.lit(True) if segment is None else F.col("segment_name") == segment
+    chosen = V.chosen_segments(segment)
     return per_seg.agg(
-        F.round(ratio(F.sum(F.when(chosen, F.col("occupancy_room_nights"))),
-                      F.sum(F.when(chosen, F.col("occupancy_days"))) * F.lit(cfg.capacity)), 4)
+        F.round(ratio(F.sum(F.when(chosen, F.col("occupancy_sum"))), F.sum(F.when(chosen, F.col("occupancy_days")))), 4)
         .alias("overall_occupancy_rate"),
         F.coalesce(F.sum(F.when(chosen, F.col("revenue_at_risk_exact"))), F.lit(0)).cast("double")
         .alias("total_revenue_at_risk"),
@@ -49,18 +52,20 @@ def occupancy_pivot(
     cfg: Config = DEFAULT_CONFIG,
     start_date: str | None = None,
     end_date: str | None = None,
-    segment: str | None = None,
+    segment: str | Sequence[str] | None = None,
+    seasons: Sequence[str] | None = None,
 ) -> DataFrame:
     """K2: one row per day, one occupancy column per dimension segment, gaps 0.
 
-    With a ``segment`` selected only its column is produced (days on which
-    only other segments had active stays show 0, like the chart).
+    Chosen segments narrow the series before the pivot: only their columns
+    are produced, and only days on which one of them had active stays.
 
     The pivot values are the fixed dimension names, so Spark skips the extra
     distinct-values job it would otherwise run.
     """
-    s = M.occupancy_series(fs, cfg, start_date=start_date, end_date=end_date)
-    columns = [segment] if segment in cfg.dim_segments else list(cfg.dim_segments)
+    s = M.occupancy_series(fs, cfg, segment, start_date, end_date, seasons)
+    wanted = [segment] if isinstance(segment, str) else segment
+    columns = [c for c in cfg.dim_segments if wanted is None or c in wanted] or list(wanted)
     return (
         s.groupBy("date")
         .pivot("segment_name", columns)

@@ -45,7 +45,7 @@ def _cov(values: Column) -> Column:
 def occupancy_series(
     fs: DataFrame,
     cfg: Config = DEFAULT_CONFIG,
-    segment: str | None = None,
+    segment: str | Sequence[str] | None = None,
     start_date: str | None = None,
     end_date: str | None = None,
     seasons: Sequence[str] | None = None,
@@ -123,9 +123,9 @@ def m6_contribution(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, **filters) -> D
 
 # --- M3 / M4 / M7: single-pass segment aggregates ---------------------------
 
-def m3_cancel_rate(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, segment: str | None = None) -> DataFrame:
+def m3_cancel_rate(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, **filters) -> DataFrame:
     """M3: cancellation rate per segment."""
-    v = V.v_cancellation_stats(V.apply_filters(fs, segment))
+    v = V.v_cancellation_stats(V.apply_filters(fs, **filters))
     return v.select(
         "segment_name",
         "total_bookings",
@@ -134,9 +134,9 @@ def m3_cancel_rate(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, segment: str | N
     ).transform(lambda d: ordered(d, _desc("cancellation_rate"), "segment_name"))
 
 
-def m4_lead_time(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, segment: str | None = None) -> DataFrame:
+def m4_lead_time(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, **filters) -> DataFrame:
     """M4: average (1 decimal), min and max lead time per segment."""
-    v = V.v_lead_time(V.apply_filters(fs, segment))
+    v = V.v_lead_time(V.apply_filters(fs, **filters))
     return v.select(
         "segment_name",
         F.round("avg_lead_time_days", 1).alias("avg_lead_time_days"),
@@ -145,9 +145,29 @@ def m4_lead_time(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, segment: str | Non
     ).transform(lambda d: ordered(d, _desc("avg_lead_time_days"), "segment_name"))
 
 
-def m7_revenue_at_risk(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, segment: str | None = None) -> DataFrame:
-    """M7: revenue of cancelled bookings per segment (no date filter, as specified)."""
-    v = V.v_revenue_at_risk(V.apply_filters(fs, segment))
+def lead_time_distribution(fact: DataFrame, width: int = 30, **filters) -> DataFrame:
+    """Bookings per segment and lead-time class of ``width`` days: ``(segment_name, lead_from, n_bookings, share)``.
+
+    Needs the row-grain (segmented) fact.  The class is a group key, so the
+    distribution is one partially aggregated pass; shares are taken over its
+    few rows.  Bookings without a lead time are left out.
+    """
+    known = fact.filter(F.col("lead_time_days").isNotNull() & V.chosen_segments(filters.get("segment")))
+    if filters.get("start_date") is not None:
+        known = known.filter(F.col("check_in_date") >= F.to_date(F.lit(filters["start_date"])))
+    if filters.get("end_date") is not None:
+        known = known.filter(F.col("check_in_date") <= F.to_date(F.lit(filters["end_date"])))
+    if filters.get("seasons") is not None:
+        known = known.filter(F.col("season_tag").isin(list(filters["seasons"])))
+    bins = known.groupBy("segment_name", (F.floor(F.col("lead_time_days") / width) * width).cast("int").alias("lead_from")).agg(
+        F.count(F.lit(1)).alias("n_bookings"))
+    share = ratio(F.col("n_bookings"), F.sum("n_bookings").over(Window.partitionBy("segment_name")))
+    return ordered(bins.withColumn("share", F.round(share, 4)), "segment_name", "lead_from")
+
+
+def m7_revenue_at_risk(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, **filters) -> DataFrame:
+    """M7: revenue of cancelled bookings per segment (all dates unless a range is given)."""
+    v = V.v_revenue_at_risk(V.apply_filters(fs, **filters))
     return v.select(
         "segment_name", F.round("revenue_at_risk", 2).cast("double").alias("revenue_at_risk")
     ).transform(lambda d: ordered(d, _desc("revenue_at_risk"), "segment_name"))
@@ -155,9 +175,9 @@ def m7_revenue_at_risk(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, segment: str
 
 # --- M5 / W1 / W2: seasons ----------------------------------------------------
 
-def season_share(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, segment: str | None = None) -> DataFrame:
+def season_share(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, **filters) -> DataFrame:
     """Each season's share of a segment's bookings."""
-    v = V.v_bookings_by_season(V.apply_filters(fs, segment)).coalesce(1)  # segments × seasons rows
+    v = V.v_bookings_by_season(V.apply_filters(fs, **filters)).coalesce(1)  # segments × seasons rows
     total = F.sum("booking_count").over(Window.partitionBy("segment_name"))
     return v.select(
         "segment_name",
@@ -168,29 +188,29 @@ def season_share(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, segment: str | Non
     ).transform(lambda d: ordered(d, "segment_name", _desc("booking_count"), "season_tag"))
 
 
-def _ranked_seasons(fs: DataFrame, segment: str | None = None) -> DataFrame:
-    v = V.v_bookings_by_season(V.apply_filters(fs, segment)).coalesce(1)  # segments × seasons rows
+def _ranked_seasons(fs: DataFrame, **filters) -> DataFrame:
+    v = V.v_bookings_by_season(V.apply_filters(fs, **filters)).coalesce(1)  # segments × seasons rows
     w = Window.partitionBy("segment_name").orderBy(F.col("booking_count").desc(), "season_tag")
     return v.withColumn("season_rank", F.row_number().over(w))
 
 
-def top2_seasons(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, segment: str | None = None) -> DataFrame:
+def top2_seasons(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, **filters) -> DataFrame:
     """The two busiest seasons per segment (exactly two; ties by season name)."""
     return (
-        _ranked_seasons(fs, segment)
+        _ranked_seasons(fs, **filters)
         .filter(F.col("season_rank") <= 2)
         .select("segment_name", "season_tag", "booking_count", "season_rank")
         .transform(lambda d: ordered(d, "segment_name", "season_rank"))
     )
 
 
-def m5_seasonal(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, segment: str | None = None) -> DataFrame:
+def m5_seasonal(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, **filters) -> DataFrame:
     """M5: top-2 season share over the even-spread share ``min(2, n) / n``.
 
     ``n`` counts the seasons the segment actually has; the index uses the
     unrounded shares.
     """
-    per_seg = _ranked_seasons(fs, segment).groupBy("segment_name").agg(
+    per_seg = _ranked_seasons(fs, **filters).groupBy("segment_name").agg(
         F.count(F.lit(1)).alias("n_seasons"),
         F.sum("booking_count").alias("__total"),
         F.sum(F.when(F.col("season_rank") <= 2, F.col("booking_count"))).alias("__top2"),
@@ -260,8 +280,13 @@ def nightly_revenue(fs: DataFrame, start_date: str | None = None, end_date: str
 
 
 def m8_rvi_nightly(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, start_date: str | None = None,
-                   end_date: str | None = None) -> DataFrame:
+                   end_date: str | None = None, segment: str | Sequence[str] | None = None,
+                   seasons: Sequence[str] | None = None) -> DataFrame:
     """M8n: revenue volatility with revenue spread over the nights of each stay."""
+    if segment is not None:
+        fs = fs.filter(V.chosen_segments(segment))
+    if seasons is not None:
+        fs = fs.filter(F.col("season_tag").isin(list(seasons)))
     series = nightly_revenue(fs, start_date, end_date)
     if start_date is not None:
         series = series.filter(F.col("date") >= F.to_date(F.lit(start_date)))
@@ -277,6 +302,8 @@ def segment_profile(
     cfg: Config = DEFAULT_CONFIG,
     start_date: str | None = None,
     end_date: str | None = None,
+    segment: str | Sequence[str] | None = None,
+    seasons: Sequence[str] | None = None,
 ) -> DataFrame:
     """Per-segment statistics behind M9 and the KPI cards, in one aggregation chain.
 
@@ -285,7 +312,7 @@ def segment_profile(
     days inside the optional range, via conditional aggregates, so no branch
     of the plan scans the data twice.  One row per segment.
     """
-    daily = V.as_daily(fs, cfg)
+    daily = V.apply_filters(V.as_daily(fs, cfg), segment, seasons=seasons)
     by_day = daily.groupBy("segment_name", "date").agg(
         F.sum("n_bookings").alias("nb"), F.sum("room_nights").alias("rn"), F.sum("n_cancelled").alias("nc"),
         F.sum("lead_sum").alias("ls"), F.sum("lead_count").alias("lc"), F.sum("revenue_at_risk").alias("rar"),
@@ -308,7 +335,7 @@ def segment_profile(
         F.sum("lc").alias("lead_count"),
         F.coalesce(F.sum("rar"), F.lit(0)).alias("revenue_at_risk"),
         F.count(occ).alias("occupancy_days"),
-        F.sum(F.when(occ_day, F.col("arn"))).alias("occupancy_room_nights"),
+        F.sum(occ).alias("occupancy_sum"),
         F.avg(occ).alias("occupancy_mean"),
         F.stddev_samp(occ).alias("occupancy_std"),
         F.var_samp(occ).alias("occupancy_var"),
@@ -335,7 +362,7 @@ def _summary_columns(prof: DataFrame, cfg: Config) -> DataFrame:
         .alias("volatility_contribution"),
         F.round(ratio(F.col("revenue_std"), F.col("revenue_mean")), 4).alias("rvi"),
         "occupancy_days",
-        "occupancy_room_nights",
+        "occupancy_sum",
         F.round("revenue_at_risk", 2).alias("revenue_at_risk_exact"),
     )
 
@@ -345,6 +372,8 @@ def segment_summary(
     cfg: Config = DEFAULT_CONFIG,
     start_date: str | None = None,
     end_date: str | None = None,
+    segment: str | Sequence[str] | None = None,
+    seasons: Sequence[str] | None = None,
 ) -> DataFrame:
     """M9: V7 rounded, plus CoV, contribution, RVI (date-filtered) and the season index.
 
@@ -353,9 +382,9 @@ def segment_summary(
     aggregation as the V7 columns (``segment_profile``); the season index is
     joined in from a frame of at most one row per dimension segment.
     """
-    daily = V.as_daily(fs, cfg)
+    daily = V.apply_filters(V.as_daily(fs, cfg), segment, seasons=seasons)
     cols = _summary_columns(segment_profile(daily, cfg, start_date, end_date), cfg).drop(
-        "occupancy_days", "occupancy_room_nights", "revenue_at_risk_exact")
+        "occupancy_days", "occupancy_sum", "revenue_at_risk_exact")
     m5 = m5_seasonal(daily, cfg).select("segment_name", "seasonal_concentration_index")
     return ordered(cols.join(F.broadcast(m5), "segment_name", "left"), _desc("volatility_contribution"),
                    "segment_name")

@@ -71,14 +71,21 @@ def as_daily(df: DataFrame, cfg: Config = DEFAULT_CONFIG) -> DataFrame:
     return segment_daily(df if "segment_name" in df.columns else segmented(df, cfg))
 
 
+def chosen_segments(segment: str | Sequence[str] | None) -> Column:
+    """Whether a row's segment is the chosen one, or among the chosen ones."""
+    if segment is None:
+        return F.lit(True)
+    return F.col("segment_name").isin([segment] if isinstance(segment, str) else list(segment))
+
+
 def apply_filters(
     df: DataFrame,
-    segment: str | None = None,
+    segment: str | Sequence[str] | None = None,
     start_date: str | None = None,
     end_date: str | None = None,
     seasons: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Optional segment, inclusive check-in range and season filters.
+    """Optional segments (one or several), inclusive check-in range and season filters.
 
     All three are rollup keys, so on the written rollup they prune Parquet
     row groups, and on a lazy rollup Catalyst pushes them below the
@@ -87,7 +94,7 @@ def apply_filters(
     d = as_daily(df)
     cond: Column = F.lit(True)
     if segment is not None:
-        cond = cond & (F.col("segment_name") == segment)
+        cond = cond & chosen_segments(segment)
     if start_date is not None:
         cond = cond & (F.col("date") >= F.to_date(F.lit(start_date)))
     if end_date is not None:

@@ -33,6 +33,7 @@ FILTER_SEGMENT = "Corporate"
 FILTER_START = "1996-01-01"
 FILTER_END = "1998-12-31"
 FILTER_SEASONS = ("Peak", "Holiday")
+FILTER_SEGMENTS = ("Corporate", "Group")
 NUMERIC_FACT_COLUMNS = ("nights", "room_nights", "rate", "lead_time_days", "base_rate", "occupancy_rate")
 DIM = tuple(CANONICAL_SEGMENTS) + (UNKNOWN,)
 
@@ -658,8 +659,7 @@ def _top2(p: Pipeline) -> DataFrame:
 
 @register("kpi_cards", W(*summary_ctes(), body="""
 SELECT
-  ROUND(CAST((SELECT SUM(booked_room_nights) FROM occ) AS DOUBLE)
-        / NULLIF(CAST((SELECT COUNT(*) FROM occ) * 100 AS DOUBLE), 0), 4) AS overall_occupancy_rate,
+  ROUND((SELECT AVG(occupancy_rate) FROM occ), 4) AS overall_occupancy_rate,
   CAST((SELECT COALESCE(SUM(ROUND(revenue_at_risk, 2)), 0)
         FROM (SELECT SUM(room_nights * rate) AS revenue_at_risk FROM fs
               WHERE is_cancelled AND rate IS NOT NULL GROUP BY segment_name)) AS DOUBLE) AS total_revenue_at_risk,
@@ -676,9 +676,7 @@ def _kpi(p: Pipeline) -> DataFrame:
 
 @register("kpi_cards_filtered", W(*summary_ctes(DATE_RANGE), body=f"""
 SELECT
-  ROUND(CAST((SELECT SUM(booked_room_nights) FROM occ WHERE segment_name = {Q_(FILTER_SEGMENT)}) AS DOUBLE)
-        / NULLIF(CAST((SELECT COUNT(*) FROM occ WHERE segment_name = {Q_(FILTER_SEGMENT)}) * 100 AS DOUBLE), 0), 4)
-    AS overall_occupancy_rate,
+  ROUND((SELECT AVG(occupancy_rate) FROM occ WHERE segment_name = {Q_(FILTER_SEGMENT)}), 4) AS overall_occupancy_rate,
   CAST((SELECT COALESCE(SUM(ROUND(revenue_at_risk, 2)), 0)
         FROM (SELECT SUM(room_nights * rate) AS revenue_at_risk FROM fs
               WHERE is_cancelled AND rate IS NOT NULL AND segment_name = {Q_(FILTER_SEGMENT)}
@@ -703,6 +701,67 @@ def _pivot(p: Pipeline) -> DataFrame:
     return K.occupancy_pivot(p.segment_daily, p.cfg)
 
 
+@register("occupancy_pivot_filtered", W(occ_cte("occ", f"segment_name = {Q_(FILTER_SEGMENT)} AND {DATE_RANGE}"),
+                                        body=f"""
+SELECT date, AVG(occupancy_rate) AS "{FILTER_SEGMENT}" FROM occ GROUP BY date"""))
+def _pivot_filtered(p: Pipeline) -> DataFrame:
+    """K2 with a dashboard selection: only the chosen segment's days and column."""
+    return K.occupancy_pivot(p.segment_daily, p.cfg, start_date=FILTER_START, end_date=FILTER_END,
+                             segment=FILTER_SEGMENT)
+
+
+# A dashboard selection of several segments, several seasons and a date range.
+SELECTED = dict(segment=FILTER_SEGMENTS, seasons=FILTER_SEASONS, start_date=FILTER_START, end_date=FILTER_END)
+FSEL = f"""
+fsel AS (
+  SELECT * FROM fs WHERE segment_name IN ({', '.join(Q_(x) for x in FILTER_SEGMENTS)})
+    AND season_tag IN ({', '.join(Q_(x) for x in FILTER_SEASONS)}) AND {DATE_RANGE}
+)"""
+
+
+def sel(cte: str) -> str:
+    """A CTE over the selected rows instead of all rows."""
+    return cte.replace("FROM fs", "FROM fsel")
+
+
+@register("m3_cancel_rate_selected", W(FSEL, sel(V2), body="""
+SELECT segment_name, total_bookings, cancelled_bookings, ROUND(cancellation_rate, 4) AS cancellation_rate FROM v2"""))
+def _m3_selected(p: Pipeline) -> DataFrame:
+    """M3 on a selection of segments, seasons and dates."""
+    return M.m3_cancel_rate(p.segment_daily, p.cfg, **SELECTED)
+
+
+@register("m4_lead_time_selected", W(FSEL, sel(V3), body="""
+SELECT segment_name, ROUND(avg_lead_time_days, 1) AS avg_lead_time_days, min_lead_time_days, max_lead_time_days
+FROM v3"""))
+def _m4_selected(p: Pipeline) -> DataFrame:
+    """M4 on a selection of segments, seasons and dates."""
+    return M.m4_lead_time(p.segment_daily, p.cfg, **SELECTED)
+
+
+@register("m5_seasonal_selected", W(FSEL, sel(V4), RANKED, M5, body="SELECT * FROM m5"))
+def _m5_selected(p: Pipeline) -> DataFrame:
+    """M5 on a selection of segments, seasons and dates."""
+    return M.m5_seasonal(p.segment_daily, p.cfg, **SELECTED)
+
+
+@register("m7_revenue_at_risk_selected", W(FSEL, sel(V5), body="""
+SELECT segment_name, CAST(ROUND(revenue_at_risk, 2) AS DOUBLE) AS revenue_at_risk FROM v5"""))
+def _m7_selected(p: Pipeline) -> DataFrame:
+    """M7 on a selection of segments, seasons and dates."""
+    return M.m7_revenue_at_risk(p.segment_daily, p.cfg, **SELECTED)
+
+
+@register("lead_time_distribution", W(body="""
+SELECT segment_name, lead_from, n_bookings,
+       ROUND(CAST(n_bookings AS DOUBLE) / SUM(n_bookings) OVER (PARTITION BY segment_name), 4) AS share
+FROM (SELECT segment_name, CAST(FLOOR(lead_time_days / 30.0) * 30 AS INTEGER) AS lead_from, COUNT(*) AS n_bookings
+      FROM fs WHERE lead_time_days IS NOT NULL GROUP BY 1, 2)"""))
+def _lead_distribution(p: Pipeline) -> DataFrame:
+    """Lead-time distribution per segment in classes of 30 days."""
+    return M.lead_time_distribution(p.fact_segmented)
+
+
 # ============================================================================
 # Profiling and data quality
 # ============================================================================

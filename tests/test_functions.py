@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from staylens.functions import normalise_segment, null_tokens_to_null, parse_mixed_date, ratio, to_whole_number
@@ -68,3 +69,28 @@ def test_ratio_null_on_zero(spark):
     df = spark.createDataFrame([(1, 4), (1, 0), (None, 2)], "a int, b int")
     got = [r[0] for r in df.select(ratio(F.col("a"), F.col("b"))).collect()]
     assert got == [0.25, None, None]
+
+
+@pytest.mark.parametrize("raw, want", [
+    ("2023-02-03 10:00", (2023, 2, 3)), ("2023-02-03T10:00", (2023, 2, 3)), ("2023-02-03 10:00:00.5", (2023, 2, 3)),
+    ("2023-02-03T10:00:00Z", (2023, 2, 3)), ("2023-02-03T10:00:00+02:00", (2023, 2, 3)), ("2/3/2023 10:00", (2023, 2, 3)),
+    ("2/3/2023 10:00 PM", (2023, 2, 3)), ("3 Feb 2023", (2023, 2, 3)), ("03-Feb-2023", (2023, 2, 3)),
+    ("Feb 3, 2023", (2023, 2, 3)), ("February 3, 2023", (2023, 2, 3)), ("3 February 2023", (2023, 2, 3)),
+    ("25/12/23", (2023, 12, 25)), ("12-25-23", (2023, 12, 25)), ("12/25/99", (1999, 12, 25)), ("2023.02.03", (2023, 2, 3)),
+    ("03.02.2023", (2023, 3, 2)), ("25.02.2023", (2023, 2, 25)), ("\t2023-02-03\u00a0", (2023, 2, 3)),
+    ("2023-02-30", None), ("2023-02-03 25:00", None), ("soon", None), ("", None), (None, None),
+])
+def test_more_date_spellings(spark, raw, want):
+    got = spark.createDataFrame([(raw,)], "d string").select(parse_mixed_date("d")).first()[0]
+    assert got == (dt.date(*want) if want else None)
+
+
+def test_unicode_padding_and_wide_money(spark):
+    from decimal import Decimal
+
+    from staylens.functions import normalise_segment, to_decimal, to_whole_number
+
+    df = spark.createDataFrame([("Direct\t", "\u00a012345678901.00 "), ("TA\n", "99.995"), ("\u3000corp", "x")], "s string, m string")
+    rows = df.select(normalise_segment("s"), to_decimal("m"), to_whole_number("m")).collect()
+    assert [r[0] for r in rows] == ["Direct", "Travel Agency", "Corporate"]
+    assert [r[1] for r in rows] == [Decimal("12345678901.00"), Decimal("99.995"), None]

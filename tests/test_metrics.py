@@ -194,7 +194,16 @@ def test_occupancy_pivot_segment_selection(fs):
     df = K.occupancy_pivot(fs, segment="Group")
     assert df.columns == ["date", "Group"]
     got = {r["date"]: r["Group"] for r in df.collect()}
-    assert got[D(2023, 1, 1)] == 0.05 and got[D(2023, 1, 2)] == 0.0
+    assert got == {D(2023, 1, 1): 0.05}  # days without an active Group stay are absent
+
+
+def test_several_segments_and_seasons(fs):
+    both = M.m1_occupancy(fs, segment=["Group", "Direct"]).collect()
+    assert {r["segment_name"] for r in both} == {"Group", "Direct"}
+    assert K.occupancy_pivot(fs, segment=["Direct", "Group"]).columns == ["date", "Direct", "Group"]
+    for metric in (M.m3_cancel_rate, M.m4_lead_time, M.m5_seasonal, M.m7_revenue_at_risk, M.season_share, M.top2_seasons, M.segment_summary):
+        assert {r["segment_name"] for r in metric(fs, segment=["Direct"]).collect()} <= {"Direct"}
+        assert metric(fs, seasons=["no such season"]).count() == 0
 
 
 def test_register_views_as_sql(spark, fs):
