@@ -461,7 +461,9 @@ def layout(texts: list[str], r: random.Random) -> tuple[list[Block], np.ndarray]
 
 def train(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE_PAGES, seed: int = 0) -> dict[str, np.ndarray]:
     """The labeller, fitted on layouts of the texts of at most ``sample`` pages (chosen by a hash of their id)."""
-    rows = pages.filter(F.col(html_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(html_col).alias("x")).orderBy("h", F.length("x")).limit(sample).select("x").collect()
+    share = min(1.0, 2.0 * sample / max(1, pages.count()))  # few more rows than wanted reach the driver, whatever the number of tasks
+    hashed = pages.select(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)).alias("h"), F.col(html_col).alias("x"))
+    rows = hashed.filter((F.col("h") < share * (1 << 20)) & F.col("x").isNotNull()).orderBy("h", F.length("x")).limit(sample).select("x").collect()
     texts = [b.text for row in rows for b in blocks(row["x"])] or ["text"]
     r = random.Random(seed)
     return fit([layout(texts, r) for _ in range(max(200, len(rows) * LAYOUTS))], seed=seed)

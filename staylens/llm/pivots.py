@@ -56,7 +56,9 @@ def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
 
 def fit(classes: DataFrame, n: int) -> dict[int, np.ndarray]:
     """Pivots by dimension, from a bounded sample chosen by a hash of the id."""
-    rows = classes.select("vec", F.xxhash64("rep").alias("h")).orderBy("h").limit(SAMPLE).collect()
+    share = min(1.0, 2.0 * SAMPLE / max(1, n))  # few more rows than wanted reach the driver, whatever the number of tasks
+    hashed = classes.select("vec", F.pmod(F.xxhash64("rep"), F.lit(1 << 20)).alias("h")).filter(F.col("h") < share * (1 << 20))
+    rows = hashed.orderBy("h").limit(SAMPLE).collect()
     want = int(min(MAX_PIVOTS, max(MIN_PIVOTS, PIVOTS * math.sqrt(n / 10_000))))
     by_dim: dict[int, list] = {}
     for r in rows:
