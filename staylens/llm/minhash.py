@@ -11,12 +11,15 @@ through its permutation, which lowers the variance against independent hashes.
    one row per map task); only class representatives go on.
 2. Bands of the signature are buckets.  In each bucket every member is paired
    with one hub, which differs from bucket to bucket; pairs are made distinct
-   over the buckets.
-3. Pairs are verified on the full sets, exactly, from the texts.
-4. Links form components.  Buckets that still hold members of different
-   components go round again with other hubs, and once few enough cross pairs
-   are left (counted exactly) all of them are verified, so that no pair of a
-   bucket between components stays untested.  No bucket is capped.
+   over the buckets.  Pairs whose signatures rule the similarity out (more than
+   4.5 standard deviations below it) stop here; the others are verified on the
+   full sets, exactly, from the texts.  Links form components.
+3. A bucket whose members lie in different components is settled as a block of
+   matrix work: signatures select the members that may link across components,
+   and the exact intersections of their sets come from one product.  Buckets
+   larger than a block are cut into chunks, and each pair of chunks is a block.
+   No pair becomes a row, no bucket is capped, and no pair of a bucket between
+   components stays untested.
 """
 
 from __future__ import annotations
@@ -29,13 +32,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staylens.llm import flat
-from staylens.llm.components import components
+from staylens.llm.components import components, forest
 from staylens.plans.materialize import materialize
 
 #: Signature: bands x rows places.  A pair of similarity 0.85 shares no band with probability 8e-7, one of 0.8 with 1e-4.
 BANDS, ROWS = 24, 5
 #: Documents without an id get one above this, from their text.
 NO_ID = 1 << 62
+#: Members and shingles of a chunk of a bucket (about).
+CHUNK_ROWS, CHUNK_SHINGLES = 2048, 300_000
+#: How far below the similarity the share of equal signature places may lie.
+SLACK = 0.15
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -143,6 +150,39 @@ def node_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(text_col), F.lit(NO_ID))).alias("key")
 
 
+def with_signatures(texts: DataFrame, width: int, places: int) -> DataFrame:
+    """(key, text) with the set's size and 16 bits of each signature place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = flat.strings(batch.column(1))
+            for a, b in flat.pieces(col):
+                sets, bounds = shingle_sets(col.slice(a, b - a), width)
+                sig = flat.mix(signatures(sets, bounds, places).astype(np.uint64)).astype(np.uint16)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(bounds)), pa.array([x.tobytes() for x in sig], pa.binary())],
+                    names=["key", "text", "size", "sig"],
+                )
+
+    return texts.select("key", "text").mapInArrow(run, "key long, text string, size long, sig binary")
+
+
+def _sigs(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(len(column), -1)
+
+
+def likely(pairs: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b, sig_a, sig_b), the (a, b) that the signatures do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                mask = pa.array((_sigs(batch.column(2)) == _sigs(batch.column(3))).mean(axis=1) >= percent / 100 - SLACK)
+                yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in range(2)], names=["a", "b"])
+
+    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+
+
 def verify(pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """Of pairs (a, text_a, b, text_b), the (a, b) whose sets have 100 x intersection >= percent x union."""
 
@@ -151,7 +191,7 @@ def verify(pairs: DataFrame, width: int, percent: int) -> DataFrame:
             a, b, ta, tb = (batch.column(i) for i in range(4))
             ta, tb = flat.strings(ta), flat.strings(tb)
             ok = np.zeros(batch.num_rows, dtype=bool)
-            for i, j in flat.pieces(tb):
+            for i, j in flat.pieces(tb, flat.PIECE_BYTES // 2):
                 sa, ba = shingle_sets(ta.slice(i, j - i), width)
                 sb, bb = shingle_sets(tb.slice(i, j - i), width)
                 for k in range(j - i):
@@ -164,6 +204,106 @@ def verify(pairs: DataFrame, width: int, percent: int) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def intersections(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of all sets with each other, from products over the elements that several hold."""
+    n = len(bounds) - 1
+    out = np.zeros((n, n), dtype=np.float32)
+    owner = np.repeat(np.arange(n), np.diff(bounds))
+    _, element, count = np.unique(sets, return_inverse=True, return_counts=True)
+    several = count > 1
+    column = np.cumsum(several) - 1
+    keep = several[element]
+    rows, cols = owner[keep], column[element[keep]]
+    order = np.argsort(cols, kind="stable")
+    rows, cols = rows[order], cols[order]
+    for first in range(0, int(several.sum()), 4096):
+        a, b = np.searchsorted(cols, (first, first + 4096))
+        part = np.zeros((n, 4096), dtype=np.float32)
+        part[rows[a:b], cols[a:b] - first] = 1
+        out += part @ part.T
+    return out
+
+
+def _runs(work, names: tuple[str, ...]):
+    """A mapInArrow function that calls ``work`` on whole blocks: runs of rows with equal (bucket, i, j)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def keys(t: pa.Table) -> np.ndarray:
+            return np.stack([t.column(c).to_numpy() for c in ("bucket", "i", "j")])
+
+        def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            key = keys(t)
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])), t.num_rows)
+            t = t.combine_chunks()
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                got = work(t.slice(x, y - x)) if y - x > 1 else None
+                if got is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in got], names=list(names))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new])
+            key = keys(held)
+            done = int(np.argmax((key == key[:, -1:]).all(axis=0)))  # the last block may go on
+            if done:
+                yield from emit(held.slice(0, done))
+                held = held.slice(done)
+        if held is not None:
+            yield from emit(held)
+
+    return run
+
+
+def _apart(t: pa.Table) -> np.ndarray:
+    """Pairs of a block between components; in a block of two chunks only those between the chunks."""
+    comp, chunk = t.column("comp").to_numpy(), t.column("chunk").to_numpy()
+    out = comp[:, None] != comp[None, :]
+    if t.column("i")[0].as_py() != t.column("j")[0].as_py():
+        out &= chunk[:, None] != chunk[None, :]
+    return out
+
+
+def block_survivors(percent: int):
+    """The rows of a block that may link across components by their signatures."""
+
+    def work(t: pa.Table):
+        apart = _apart(t)
+        if not apart.any():
+            return None
+        sig = _sigs(t.column("sig").combine_chunks())
+        need = (percent / 100 - SLACK) * sig.shape[1]
+        same = np.zeros(apart.shape, dtype=np.int16)
+        for k in range(sig.shape[1]):
+            same += sig[:, None, k] == sig[None, :, k]
+        some = np.flatnonzero(((same >= need) & apart).any(axis=1))
+        return [t.column(c).to_numpy()[some] for c in ("bucket", "i", "j", "chunk", "key", "comp")] if len(some) else None
+
+    return _runs(work, ("bucket", "i", "j", "chunk", "key", "comp"))
+
+
+def block_links(width: int, percent: int):
+    """Links between components inside a block, as a spanning forest, verified on the full sets."""
+
+    def work(t: pa.Table):
+        apart = _apart(t)
+        if not apart.any():
+            return None
+        sets, bounds = shingle_sets(flat.strings(t.column("text").combine_chunks()), width)
+        n = np.diff(bounds)
+        same = intersections(sets, bounds)
+        x, y = np.nonzero(np.triu(apart & (100 * same >= percent * (n[:, None] + n[None, :] - same))))
+        if not len(x):
+            return None
+        key = t.column("key").to_numpy()
+        return forest(key[x], key[y])
+
+    return _runs(work, ("a", "b"))
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -202,40 +342,20 @@ def near_duplicates(
         .join(ids.withColumnRenamed("rep", "key").hint("merge"), "key")
         .groupBy("key").agg(F.first("text").alias("text"))
     )
-    texts, _ = materialize(texts, "minhash-texts")
-
-    links, tested, comp, seed, last = None, None, None, 0, None
-    while n_ids["n"]:
-        grouped = crowded if comp is None else _open_buckets(crowded, comp)
-        if comp is None:
-            grouped = grouped.withColumn("comp", F.col("rep"))
-        else:
-            grouped, left = materialize(grouped, "minhash-open", {"n": F.count(F.lit(1))})
-            if not left["n"]:
-                break
-        # cross pairs, counted exactly: per bucket (n^2 - sum of n_c^2) / 2
-        per = grouped.groupBy("bucket", "comp").agg(F.count("*").cast("decimal(20,0)").alias("c")).groupBy("bucket").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("x"))
-        cross = (per.agg(F.sum("x")).first()[0] or 0) if comp is not None else 0
-        if comp is not None and (cross <= 16 * n_ids["n"] or (last is not None and cross * 2 > last)):
-            right = grouped.select("bucket", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-            pairs = grouped.select("bucket", F.col("rep").alias("a"), F.col("comp").alias("ca")).join(right.hint("merge"), "bucket").filter("ca < cb")
-            final = True
-        else:
-            at = F.struct(F.xxhash64("rep", "bucket", F.lit(seed)).alias("h"), F.col("rep").alias("rep"), F.col("comp").alias("comp"))
-            hubs, _ = materialize(grouped.groupBy("bucket").agg(F.min(at).alias("hub")).select("bucket", F.col("hub.rep").alias("a"), F.col("hub.comp").alias("ca")), "minhash-hubs")
-            pairs = grouped.join(hubs.hint("merge"), "bucket").filter("comp != ca").select("a", F.col("rep").alias("b"))
-            final, last = False, cross or None
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
-        pairs, _ = materialize(pairs, "minhash-pairs")
-        found, new = materialize(verify(_with_texts(pairs, texts), width, percent), "minhash-links", {"n": F.count(F.lit(1))})
-        links = found if links is None else links.union(found)
-        tested = pairs if tested is None else tested.union(pairs)
+    texts, _ = materialize(with_signatures(texts, width, bands * rows), "minhash-texts")
+
+    comp = None
+    if n_ids["n"]:
+        at = F.struct(F.xxhash64("rep", "bucket").alias("h"), F.col("rep").alias("a"))
+        hubs, _ = materialize(crowded.groupBy("bucket").agg(F.min(at)["a"].alias("a")), "minhash-hubs")
+        pairs = crowded.join(hubs.hint("merge"), "bucket").filter("rep != a").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
+        pairs, _ = materialize(pairs.distinct(), "minhash-pairs")
+        pairs, _ = materialize(likely(_with(pairs, texts, "sig"), percent), "minhash-likely")
+        links, _ = materialize(verify(_with(pairs, texts, "text"), width, percent), "minhash-links")
         comp, _ = materialize(components(links), "minhash-components")
-        seed += 1
-        if final:
-            break
+        found, new = materialize(_across(crowded, comp, texts, width, percent), "minhash-across", {"n": F.count(F.lit(1))})
+        if new["n"]:
+            comp, _ = materialize(components(links.union(found)), "minhash-components")
 
     if comp is None:
         comp = classes.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
@@ -259,19 +379,39 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs with both texts; the rows of a hub are split by AQE."""
-    b = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-    a = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
+def _with(pairs: DataFrame, texts: DataFrame, column: str) -> DataFrame:
+    """Pairs with a column of both sides; the rows of a hub are split by AQE."""
+    b = texts.select(F.col("key").alias("b"), F.col(column).alias(f"{column}_b"))
+    a = texts.select(F.col("key").alias("a"), F.col(column).alias(f"{column}_a"))
     one, _ = materialize(pairs.join(b.hint("merge"), "b"), "minhash-side")
     return one.join(a.hint("merge"), "a")
 
 
-def _open_buckets(crowded: DataFrame, comp: DataFrame) -> DataFrame:
-    """Members of the buckets that hold more than one component, with their components."""
-    named, _ = materialize(
-        crowded.join(comp.hint("merge"), F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp")),
-        "minhash-named",
+def _across(crowded: DataFrame, comp: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between components inside buckets."""
+    sizes = texts.select(F.col("key").alias("rep"), "size")
+    named = (
+        crowded.join(comp.hint("merge"), F.col("rep") == F.col("node"), "left")
+        .join(sizes.hint("merge"), "rep")
+        .select("bucket", F.col("rep").alias("key"), "size", F.coalesce("component", "rep").alias("comp"))
+    )
+    named, _ = materialize(named, "minhash-named")
+    open_ = (
+        named.groupBy("bucket")
+        .agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"), F.sum("size").alias("s"))
+        .filter("x != y and n > 2")  # of two members, the hub has tested the other
+        .select("bucket", F.greatest(F.ceil(F.col("n") / CHUNK_ROWS), F.ceil(F.col("s") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+    )
+    open_, _ = materialize(open_, "minhash-open")
+    block = ["bucket", "i", "j"]
+    rows = (
+        named.join(open_.hint("merge"), "bucket")
+        .withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "key", "comp")
     )
-    mixed = named.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("bucket")
-    return named.join(mixed.hint("merge"), "bucket")
+    rows, _ = materialize(rows, "minhash-blocks")
+    whole = lambda df, column: df.join(texts.select("key", column).hint("merge"), "key").repartition(*block).sortWithinPartitions(*block)
+    some = whole(rows, "sig").mapInArrow(block_survivors(percent), "bucket long, i int, j int, chunk int, key long, comp long")
+    some, _ = materialize(some, "minhash-survivors")
+    return whole(some, "text").mapInArrow(block_links(width, percent), "a long, b long")

@@ -123,7 +123,7 @@ def edited(base, rate, r):
     return " ".join(w if r.random() > rate else f"new{r.randrange(10**6)}" for w in base)
 
 
-@pytest.mark.parametrize("chunk", [4, 256])
+@pytest.mark.parametrize("chunk", [4, 2048])
 def test_minhash_group_of_near_copies_equals_all_pairs(spark, monkeypatch, chunk):
     monkeypatch.setattr(minhash, "CHUNK_ROWS", chunk)
     r = random.Random(chunk)
