@@ -160,10 +160,10 @@ def clean_cancellations(raw: DataFrame, cfg: Config = DEFAULT_CONFIG) -> DataFra
     return finish_cancellations(dedup_cancellations(raw, cfg), cfg)
 
 
-def dedup_cancellations(raw: DataFrame, cfg: Config = DEFAULT_CONFIG) -> DataFrame:
+def dedup_cancellations(raw: DataFrame, cfg: Config = DEFAULT_CONFIG, *, count_as: str | None = None) -> DataFrame:
     """Key dedup keeping the latest cancellation date (parsed once, kept as a column)."""
     return dedup_latest(raw, "reservation_id", parse_mixed_date("cancellation_date", cfg.date_formats), cfg,
-                        keep_order="__cancellation_date")
+                        keep_order="__cancellation_date", count_as=count_as)
 
 
 def finish_cancellations(dedup: DataFrame, cfg: Config = DEFAULT_CONFIG) -> DataFrame:

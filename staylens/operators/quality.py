@@ -114,11 +114,7 @@ def profile_segments(raw_bookings: DataFrame) -> DataFrame:
 
 
 def profile_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """D5p: count / mean / stddev / min / max per numeric column (4 decimals).
-
-    Quartiles are left out: exact percentiles gather every value of the
-    column into one buffer, which does not scale.
-    """
+    """D5p: count / mean / stddev / min / max per numeric column (4 decimals); quartiles: ``profile_quartiles``."""
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
@@ -136,6 +132,58 @@ def profile_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return wide.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
+def _melted_counts(df: DataFrame, cols: Sequence[str], dtype: str) -> DataFrame:
+    """(column_name, v, n): how often each non-null value of each column occurs; partially aggregated."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast(dtype).alias("v")) for c in cols])
+    return (
+        df.select(F.explode(pairs).alias("x")).select("x.*").filter(F.col("v").isNotNull())
+        .groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def profile_text(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """D5p for text columns: non-null count, distinct values, the most frequent value (ties: first by name) and its count."""
+    return _melted_counts(df, cols, "string").groupBy("column_name").agg(
+        F.sum("n").alias("n"),
+        F.count(F.lit(1)).alias("unique"),
+        F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("top"),
+        F.max("n").alias("freq"),
+    )
+
+
+def profile_quartiles(df: DataFrame, cols: Sequence[str], quantiles: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """D5p: exact quantiles per numeric column, linearly interpolated: ``(column_name, q, value)``.
+
+    Value counts are range-partitioned by (column, value) and written; one
+    total per partition and column gives every value its rank, so no column
+    is ever gathered in one task or buffer.
+    """
+    from pyspark.sql import Window
+
+    from staylens.plans.materialize import materialize
+
+    counts = _melted_counts(df, cols, "double").repartitionByRange("column_name", "v")
+    counts, _ = materialize(counts.withColumn("part", F.spark_partition_id()), "quartile-counts")
+    totals = counts.groupBy("column_name", "part").agg(F.sum("n").alias("t"))  # columns x partitions at most
+    before = Window.partitionBy("column_name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        "column_name", "part", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("off"),
+        F.sum("t").over(Window.partitionBy("column_name")).alias("total"))
+    run = Window.partitionBy("column_name", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (
+        counts.withColumn("run", F.sum("n").over(run))
+        .join(F.broadcast(offsets), ["column_name", "part"])
+        .withColumn("last", F.col("off") + F.col("run") - 1)
+        .withColumn("first", F.col("last") - F.col("n") + 1)
+        .withColumn("q", F.explode(F.array(*[F.lit(float(x)) for x in quantiles])))
+        .withColumn("rank", F.col("q") * (F.col("total") - 1))
+    )
+    at = lambda r: F.max(F.when((F.col("first") <= r) & (r <= F.col("last")), F.col("v")))
+    low, high = at(F.floor("rank")), at(F.ceil("rank"))
+    part = F.first("rank") - F.floor(F.first("rank"))
+    return ranked.groupBy("column_name", "q").agg(F.round(low + (high - low) * part, 4).alias("value"))
+
+
 def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
     """Required columns absent from ``df`` (case- and padding-insensitive)."""
     actual = {c.strip().lower() for c in df.columns}
@@ -149,15 +197,20 @@ def dq_expectations(
     fact: DataFrame,
     cfg: Config = DEFAULT_CONFIG,
     missing: Mapping[str, Sequence[str]] | None = None,
+    counts: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Q1–Q7 as data: ``(rule, observed, threshold, op, passed)``.
 
     ``missing`` carries the contract report of the scan (``csv.read_all``),
     whose frames already have the absent columns filled with nulls.
 
-    Passes: one read per raw source (the clean-bookings count comes out of
-    the same dedup that reads raw bookings), one wide aggregate over the
-    fact, one key-duplicate aggregate.
+    ``counts`` carries row counts already in hand (``raw_bookings``,
+    ``bookings_clean``, ``raw_cancellations``, ``fact``), as observed while a
+    pipeline wrote its tables; the raw sources are then not read again.
+
+    Passes without it: one read per raw source (the clean-bookings count comes
+    out of the same dedup that reads raw bookings); in any case one wide
+    aggregate over the fact and one key-duplicate aggregate.
     """
     rule_fields = ("rule", "observed", "threshold", "op")
 
@@ -177,6 +230,7 @@ def dq_expectations(
     # counted once each; the one-row results are merged through a tagged union.
     from staylens.operators.clean import dedup_parse_bookings, valid_stay
 
+    names = ("raw_bookings", "raw_cancellations", "raw_pricing", "bookings_clean", "fact")
     parsed = dedup_parse_bookings(raw_bookings, cfg, count_as="__rows")
     has_dates = F.col("check_in_date").isNotNull() & F.col("booking_date").isNotNull()
     tagged = _union([
@@ -189,9 +243,12 @@ def dq_expectations(
         raw_pricing.agg(F.count(F.lit(1)).alias("n")).select(F.lit("raw_pricing").alias("t"), "n"),
         fact.agg(F.count(F.lit(1)).alias("n")).select(F.lit("fact").alias("t"), "n"),
     ])
-    n = {t: F.max(F.when(F.col("t") == t, F.col("n"))) for t in
-         ("raw_bookings", "raw_cancellations", "raw_pricing", "bookings_clean", "fact")}
-    counts = tagged.agg(*[v.alias(k) for k, v in n.items()])
+    n = {t: F.max(F.when(F.col("t") == t, F.col("n"))) for t in names}
+    if counts is None:
+        found = tagged.agg(*[v.alias(k) for k, v in n.items()])
+    else:
+        found = raw_pricing.agg(F.count(F.lit(1)).alias("raw_pricing")).select(
+            "raw_pricing", *[F.lit(int(counts[k])).cast("bigint").alias(k) for k in names if k != "raw_pricing"])
     count_rules = [
         rule(f"required_columns_missing_{src}",
              F.lit(len((missing or {}).get(src) or missing_columns(df, req))), 0, "<=")
@@ -205,7 +262,7 @@ def dq_expectations(
              MIN_CLEAN_RETENTION, ">="),
         rule("retention_fact", ratio(F.col("fact"), F.col("raw_bookings")), MIN_FACT_RETENTION, ">="),
     ]
-    part1 = counts.select(F.explode(F.array(*count_rules)).alias("r")).select("r.*")
+    part1 = found.select(F.explode(F.array(*count_rules)).alias("r")).select("r.*")
 
     # Q4/Q5/Q7 and the not-null half of Q6: one wide aggregate over the fact.
     allowed = list(cfg.dim_segments)

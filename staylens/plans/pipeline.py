@@ -1,8 +1,9 @@
 """End-to-end batch build: raw sources -> clean frames -> enriched fact -> rollup.
 
-One ``Pipeline`` per (session, input folder).  The heavy step — key dedup of
-bookings and cancellations plus their join — runs once and is written to the
-shared checkpoint folder (``materialize``).  The (segment, day, season)
+One ``Pipeline`` per (session, input folder, configuration).  The heavy steps —
+key dedup of bookings and of cancellations, and their join — each run once and
+are written to the shared checkpoint folder (``materialize``); every query on
+clean rows reads those tables.  The (segment, day, season)
 rollup is written from that fact in one more pass; views and metrics read the
 rollup, row-grain queries read the fact, both with column pruning and
 pushed-down filters.
@@ -14,7 +15,7 @@ writes, never guessed:
 * daily occupancy totals: at most one row per calendar day between the
   observed min and max check-in dates.
 
-The same writes observe the cleaning step counts (``cleaning_counts``) and
+The same writes observe the cleaning step counts (``cleaning_counts``),
 the join diagnostics in ``stats`` (rows without a season, rates still missing,
 unknown lead times), so reporting costs no extra pass.
 """
@@ -86,47 +87,55 @@ class Pipeline:
     def raw_pricing(self) -> DataFrame:
         return self._raw("pricing", fixtures.raw_pricing)
 
-    # -- clean (lazy; step counters observed during the fact write) ------------
-    @cached_property
-    def _observations(self) -> dict[str, Observation]:
-        tag = uuid.uuid4().hex[:8]
-        return {k: Observation(f"{k}_{tag}") for k in ("raw_bookings", "parsed_bookings", "raw_cancellations",
-                                                       "dedup_cancellations", "cancellations_clean")}
-
+    # -- clean (written once; every later stage and query reads the written tables) --
     @cached_property
     def bookings_clean(self) -> DataFrame:
-        obs = self._observations
-        raw = self.raw_bookings.observe(obs["raw_bookings"], F.count(F.lit(1)).alias("raw"))
+        """Materialised; the raw rows per key and the step counts come out of the same pass."""
+        parsed = C.dedup_parse_bookings(self.raw_bookings, self.cfg, count_as="__rows")
         has_dates = F.col("check_in_date").isNotNull() & F.col("booking_date").isNotNull()
-        parsed = C.dedup_parse_bookings(raw, self.cfg).observe(
-            obs["parsed_bookings"],
+        # counters sit on the frame that the one write consumes, after the exchange
+        obs = Observation(f"bookings_{uuid.uuid4().hex[:8]}")
+        parsed = parsed.observe(
+            obs,
+            F.sum("__rows").alias("raw"),
             F.count(F.lit(1)).alias("key_dedup"),
             F.count_if(has_dates).alias("dates_present"),
             F.count_if(has_dates & C.valid_stay()).alias("valid_stay"),
         )
-        return C.finish_bookings(parsed, self.cfg)
+        df, _ = materialize(C.finish_bookings(parsed.drop("__rows"), self.cfg), "bookings_clean",
+                            {"rows": F.count(F.lit(1))})
+        self.stats["cleaning_bookings"] = {k: int(v or 0) for k, v in obs.get.items()}
+        return df
 
     @cached_property
     def cancellations_clean(self) -> DataFrame:
-        obs = self._observations
-        raw = self.raw_cancellations.observe(obs["raw_cancellations"], F.count(F.lit(1)).alias("raw"))
-        dedup = C.dedup_cancellations(raw, self.cfg).observe(
-            obs["dedup_cancellations"], F.count(F.lit(1)).alias("key_dedup"))
-        return C.finish_cancellations(dedup, self.cfg).observe(
-            obs["cancellations_clean"], F.count(F.lit(1)).alias("dates_present"))
+        dedup = C.dedup_cancellations(self.raw_cancellations, self.cfg, count_as="__rows")
+        obs = Observation(f"cancellations_{uuid.uuid4().hex[:8]}")
+        dedup = dedup.observe(
+            obs,
+            F.sum("__rows").alias("raw"),
+            F.count(F.lit(1)).alias("key_dedup"),
+            F.count_if(F.col("__cancellation_date").isNotNull()).alias("dates_present"),
+        )
+        df, _ = materialize(C.finish_cancellations(dedup.drop("__rows"), self.cfg), "cancellations_clean",
+                            {"rows": F.count(F.lit(1))})
+        self.stats["cleaning_cancellations"] = {k: int(v or 0) for k, v in obs.get.items()}
+        return df
 
     def cleaning_counts(self) -> dict[str, dict[str, int]]:
-        """C18 for a pipeline run: rows kept per cleaning step, observed while the fact
-        was written (no extra pass).  Exact-duplicate counts need their own
-        grouping pass; see ``clean.cleaning_report``.
+        """C18 for a pipeline run: rows kept per cleaning step, observed while the clean
+        tables were written (no extra pass, and no other action can disturb
+        them).  Exact-duplicate counts need their own grouping pass; see
+        ``clean.cleaning_report``.
         """
-        self.fact_base  # noqa: B018 - the write fills the observations
-        o = {k: v.get for k, v in self._observations.items()}
-        return {
-            "bookings": {"raw": o["raw_bookings"]["raw"], **o["parsed_bookings"]},
-            "cancellations": {"raw": o["raw_cancellations"]["raw"], **o["dedup_cancellations"],
-                              **o["cancellations_clean"]},
-        }
+        self.fact_base  # noqa: B018 - the writes of the build fill the counts
+        return {"bookings": dict(self.stats["cleaning_bookings"]), "cancellations": dict(self.stats["cleaning_cancellations"])}
+
+    def row_counts(self) -> dict[str, int]:
+        """Rows of the raw, clean and fact tables, as observed while they were written."""
+        counts = self.cleaning_counts()
+        return {"raw_bookings": counts["bookings"]["raw"], "raw_cancellations": counts["cancellations"]["raw"],
+                "bookings_clean": counts["bookings"]["valid_stay"], "fact": self.stats["fact_rows"]}
 
     @cached_property
     def pricing_clean(self) -> DataFrame:
@@ -151,7 +160,9 @@ class Pipeline:
                             broadcast_pricing=broadcast_pricing)
         by_month = ["check_in_month"] if self.cfg.partition_fact_by_month else None
         if by_month:
-            base = base.withColumn("check_in_month", F.date_format("check_in_date", "yyyy-MM"))
+            from staylens.sources.sinks import by_month as dealt
+
+            base = dealt(base)
         df, m = materialize(
             base,
             "fact_base",
@@ -191,11 +202,16 @@ class Pipeline:
 
     @cached_property
     def fact(self) -> DataFrame:
-        """the enriched fact (base Parquet ⟕ daily totals, broadcast when bounded)."""
+        """the enriched fact: base Parquet ⟕ daily totals (from the written rollup, so the base is scanned once)."""
         base = self.fact_base
         small = self.daily_days_bound <= self.cfg.broadcast_max_rows
         self.stats["broadcast_daily"] = small
-        return FT.order_fact_columns(FT.add_occupancy_rate(base, self.cfg, broadcast=small))
+        daily = (
+            self.segment_daily.filter("n_active > 0")
+            .groupBy(F.col("date").alias("check_in_date"))
+            .agg(F.coalesce(F.sum("active_room_nights"), F.lit(0)).alias("__daily_booked"))
+        )
+        return FT.order_fact_columns(FT.add_occupancy_rate(base, self.cfg, daily=daily, broadcast=small))
 
     @cached_property
     def fact_segmented(self) -> DataFrame:
@@ -207,7 +223,7 @@ class Pipeline:
 
         Its size is bounded by segments × days × seasons, not by bookings.
         """
-        df, m = materialize(V.segment_daily(self.fact_segmented), "segment_daily",
+        df, m = materialize(V.segment_daily(V.segmented(self.fact_base, self.cfg)), "segment_daily",
                             {"rows": F.count(F.lit(1))}, sort_within=["segment_name", "date"])
         self.stats["daily_rows"] = int(m["rows"])
         return df
@@ -234,20 +250,19 @@ class Pipeline:
         }
         dim = D.dim_segment(self.spark, self.cfg)
         counts["dim_segment"] = sinks.write_table(dim, f"{base}/load/dim_segment")
-        check = sinks.load_roundtrip(D.fact_typed(self.fact, dim, self.cfg),
-                                     f"{base}/load/fact_bookings_enriched").first()
-        counts["loaded_fact"] = int(check["rows_read"])
+        version = sinks.publish(D.fact_typed(self.fact, dim, self.cfg), f"{base}/load/fact_bookings_enriched")
+        counts["loaded_fact"] = self.spark.read.parquet(version).count()
         return counts
 
 
-_PIPELINES: dict[tuple[str, str], Pipeline] = {}
+_PIPELINES: dict[tuple[str, str, str], Pipeline] = {}
 
 
 def pipeline(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT_CONFIG) -> Pipeline:
     """The session's pipeline for ``sf_dir`` (built lazily, reused by every query)."""
-    key = (spark.conf.get("spark.app.id", ""), sf_dir.rstrip("/"))
+    key = (spark.conf.get("spark.app.id", ""), sf_dir.rstrip("/"), repr(cfg))
     p = _PIPELINES.get(key)
-    if p is None or p.spark is not spark or p.cfg != cfg:
+    if p is None or p.spark is not spark:
         p = Pipeline(spark, sf_dir.rstrip("/"), cfg)
         _PIPELINES[key] = p
     return p

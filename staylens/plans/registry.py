@@ -701,6 +701,27 @@ def _pivot(p: Pipeline) -> DataFrame:
     return K.occupancy_pivot(p.segment_daily, p.cfg)
 
 
+TEXT_RAW_COLUMNS = ("reservation_id", "segment", "room_type", "rate")
+
+
+@register("profile_text", W(body=" UNION ALL ".join(f"""
+SELECT {Q_(c)} AS column_name, CAST(SUM(n) AS BIGINT) AS n, COUNT(*) AS "unique",
+       (SELECT v FROM (SELECT {c} AS v, COUNT(*) AS m FROM b_tok WHERE {c} IS NOT NULL GROUP BY 1) ORDER BY m DESC, v LIMIT 1) AS top,
+       MAX(n) AS freq
+FROM (SELECT {c} AS v, COUNT(*) AS n FROM b_tok WHERE {c} IS NOT NULL GROUP BY 1)""" for c in TEXT_RAW_COLUMNS)))
+def _profile_text(p: Pipeline) -> DataFrame:
+    """D5p: text columns of the raw bookings."""
+    return Q.profile_text(p.raw_bookings, TEXT_RAW_COLUMNS)
+
+
+@register("profile_quartiles", W(body=" UNION ALL ".join(f"""
+SELECT {Q_(c)} AS column_name, CAST({q} AS DOUBLE) AS q, ROUND(quantile_cont(CAST({c} AS DOUBLE), {q}), 4) AS value FROM fs"""
+    for c in ("room_nights", "rate", "lead_time_days") for q in (0.25, 0.5, 0.75))))
+def _profile_quartiles(p: Pipeline) -> DataFrame:
+    """D5p: exact quartiles of the fact's numeric columns."""
+    return Q.profile_quartiles(p.fact_segmented, ("room_nights", "rate", "lead_time_days"))
+
+
 @register("occupancy_pivot_filtered", W(occ_cte("occ", f"segment_name = {Q_(FILTER_SEGMENT)} AND {DATE_RANGE}"),
                                         body=f"""
 SELECT date, AVG(occupancy_rate) AS "{FILTER_SEGMENT}" FROM occ GROUP BY date"""))
@@ -880,4 +901,5 @@ FROM ({' UNION ALL '.join(rows)})""")
 @register("dq_expectations", _dq_sql())
 def _dq(p: Pipeline) -> DataFrame:
     """Q1–Q7: quality rules as data."""
-    return Q.dq_expectations(p.raw_bookings, p.raw_cancellations, p.raw_pricing, p.fact, p.cfg, p.missing)
+    return Q.dq_expectations(p.raw_bookings, p.raw_cancellations, p.raw_pricing, p.fact, p.cfg, p.missing,
+                             counts=p.row_counts())

@@ -1,18 +1,23 @@
 """Raw CSV scan with an all-string schema, header clean-up and contracts.
 
 Values are never type-inferred at read (an id such as ``007`` stays a
-string); typing happens in the cleaning operators.  Files are read with the
+string); typing happens in the cleaning operators.  Quotes inside quoted values
+are doubled, files of one folder are matched by column name (each distinct
+header is read with its own schema), and rows with more or fewer values than
+their header are set aside whole instead of being cut or shifted: ``rejected``
+returns them, so every raw row is either kept or counted.  Files are read with the
 splittable (non-multiLine) reader by default so large inputs parallelise;
 pass ``multiline=True`` only for files with quoted newlines.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from staylens.config import (
     BOOKINGS_COLUMNS,
@@ -31,21 +36,68 @@ CONTRACTS = {
 }
 
 
-def load_csv(spark: SparkSession, path: str, cfg: Config = DEFAULT_CONFIG, *, multiline: bool = False) -> DataFrame:
-    """Read a CSV as strings; missing file -> ``FileNotFoundError``, no rows -> ``ValueError``."""
+#: The raw line of a row that does not fit its header.
+REJECTED = "_rejected_line"
+
+
+def _reader(spark: SparkSession, multiline: bool):
+    return spark.read.option("header", True).option("inferSchema", False).option("multiLine", multiline).option(
+        "quote", '"').option("escape", '"')
+
+
+def _header_groups(spark: SparkSession, path: str, multiline: bool) -> dict[tuple[str, ...], list[str]]:
+    """Header (as read) -> files.  One small job per file reads its first line only."""
     try:
-        df = (
-            spark.read.option("header", True)
-            .option("inferSchema", False)
-            .option("multiLine", multiline)
-            .option("mode", "PERMISSIVE")
-            .csv(path)
-        )
+        files = spark.read.text(path).inputFiles()
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
             raise FileNotFoundError(f"raw file not found: {path}") from exc
         raise
-    df = null_tokens(normalise_headers(df), cfg)
+    with ThreadPoolExecutor(8) as pool:
+        headers = list(pool.map(lambda f: tuple(_reader(spark, multiline).csv(f).columns), files))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for header, file in zip(headers, files, strict=True):
+        if header:  # a file without a line has no header
+            groups.setdefault(header, []).append(file)
+    return groups
+
+
+def scan_csv(spark: SparkSession, path: str, *, multiline: bool = False) -> DataFrame:
+    """All rows of all files as strings, by column name, with ``_rejected_line`` set on rows that do not fit."""
+    out = None
+    for header, files in sorted(_header_groups(spark, path, multiline).items()):
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in (*header, REJECTED)])
+        part = (
+            _reader(spark, multiline)
+            .option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", REJECTED)
+            .option("columnPruning", False)  # else rows would be checked only as far as the query reads
+            .schema(schema)
+            .csv(files)
+        )
+        part = normalise_headers(part)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"no file with a header: {path}")
+    return out
+
+
+def rejected(spark: SparkSession, path: str, *, multiline: bool = False) -> DataFrame:
+    """The raw lines that ``load_csv`` leaves out: more or fewer values than their header."""
+    df = scan_csv(spark, path, multiline=multiline)
+    keep = [c for c in df.columns if c != REJECTED]
+    return df.filter(F.col(REJECTED).isNotNull()).select(F.col(REJECTED).alias("line"), F.to_json(F.struct(*keep)).alias("as_read"))
+
+
+def load_csv(spark: SparkSession, path: str, cfg: Config = DEFAULT_CONFIG, *, multiline: bool = False) -> DataFrame:
+    """Read a CSV as strings; missing file -> ``FileNotFoundError``, no rows -> ``ValueError``.
+
+    Rows that do not fit their header are left out (see ``rejected``).
+    """
+    df = scan_csv(spark, path, multiline=multiline)
+    # Spark refuses to read a raw CSV for the rejected line alone (e.g. a count), so the filter looks at a value too
+    looked = F.length(F.coalesce(F.col(df.columns[0]), F.lit(""))) >= 0
+    df = null_tokens(df.filter(F.col(REJECTED).isNull() & looked).drop(REJECTED), cfg)
     if df.isEmpty():
         raise ValueError(f"file has a header but no rows: {path}")
     return df
@@ -80,7 +132,3 @@ def read_all(
     for source, path in paths.items():
         frames[source], missing[source] = read_source(spark, path, source, cfg)
     return frames, missing
-
-
-def all_string(df: DataFrame, columns: Sequence[str]) -> bool:
-    return all(dict(df.dtypes).get(c) == "string" for c in columns)

@@ -7,6 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+#: Columns that a loaded row must have; a missing check-out or stated nights survives cleaning and is reported by the rules.
+LOAD_REQUIRED = ("reservation_id", "booking_date", "check_in_date", "room_nights", "is_cancelled")
+
 
 def write_table(df: DataFrame, path: str, *, partition_by: list[str] | None = None) -> int:
     """Overwrite ``path`` with ``df``; returns the rows written (observed in the same pass)."""
@@ -21,15 +24,62 @@ def write_table(df: DataFrame, path: str, *, partition_by: list[str] | None = No
 def write_fact(fact: DataFrame, path: str) -> int:
     """The fact partitioned by check-in month for date-range pruning.
 
-    Rows are sorted by check-in date inside each task (no global sort), so
-    each task writes one file per month it holds and files carry tight
-    min/max statistics.
+    Rows are dealt by month first (a rebalance: AQE splits a hot month and
+    joins small ones), so the number of files follows the data, not tasks x
+    months; they are sorted by check-in date inside each task, so files carry
+    tight min/max statistics.
     """
-    out = fact.withColumn("check_in_month", F.date_format("check_in_date", "yyyy-MM")).sortWithinPartitions(
-        "check_in_month", "check_in_date")
+    out = by_month(fact).sortWithinPartitions("check_in_month", "check_in_date")
     return write_table(out, path, partition_by=["check_in_month"])
 
 
+def by_month(fact: DataFrame) -> DataFrame:
+    """The fact with ``check_in_month``, rebalanced on it."""
+    return fact.withColumn("check_in_month", F.date_format("check_in_date", "yyyy-MM")).hint("rebalance", "check_in_month")
+
+
+def load_violations(typed_fact: DataFrame) -> dict[str, int]:
+    """What the loaded table's schema forbids: repeated reservation ids and nulls in required columns, by count."""
+    required = [c for c in LOAD_REQUIRED if c in typed_fact.columns]
+    per_key = typed_fact.groupBy("reservation_id").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in required if c != "reservation_id"])
+    row = per_key.agg(
+        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated_reservation_id"),
+        F.count_if(F.col("reservation_id").isNull()).alias("null_reservation_id"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(f"null_{c}") for c in required if c != "reservation_id"],
+    ).first()
+    return {k: int(v) for k, v in row.asDict().items()}
+
+
+def publish(typed_fact: DataFrame, base: str, *, check: bool = True) -> str:
+    """S9 with a gate: checks keys and required columns, writes a new version folder, verifies it, then points to it.
+
+    The current version stays in place until the new one is verified, so a
+    failed job leaves the published table as it was.  ``current`` holds one
+    row with the version's folder; ``read_published`` follows it.  Violations
+    raise ``ValueError`` before anything is written.
+    """
+    if check:
+        bad = {k: v for k, v in load_violations(typed_fact).items() if v}
+        if bad:
+            raise ValueError(f"the load is refused: {bad}")
+    spark = typed_fact.sparkSession
+    version = f"{base.rstrip('/')}/version-{uuid.uuid4().hex[:12]}"
+    written = write_table(typed_fact, version)
+    n_read = spark.read.schema(typed_fact.schema).parquet(version).count()
+    if n_read != written:
+        raise RuntimeError(f"row count mismatch after load: wrote {written}, read {n_read}")
+    pointer = spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("published_at"))
+    pointer.coalesce(1).write.mode("append").parquet(f"{base.rstrip('/')}/current")
+    return version
+
+
+def read_published(spark, base: str) -> DataFrame:
+    """The latest published version under ``base``."""
+    last = spark.read.parquet(f"{base.rstrip('/')}/current").agg(F.max_by("version", "published_at")).first()[0]
+    return spark.read.parquet(last)
+
+
 def load_roundtrip(typed_fact: DataFrame, path: str) -> DataFrame:
     """Full-replace load and post-load check: ``(rows_written, rows_read, matches)``.
 

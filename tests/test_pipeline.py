@@ -85,6 +85,13 @@ def test_cleaning_counts_observed_during_build(spark, small_sf):
     assert counts["bookings"]["valid_stay"] == p.stats["fact_rows"]
 
 
+def test_cleaning_counts_after_a_partial_action(spark, small_sf):
+    want = Pipeline(spark, small_sf).cleaning_counts()
+    p = Pipeline(spark, small_sf)
+    p.bookings_clean.limit(1).collect()
+    assert p.cleaning_counts() == want
+
+
 def test_strict_joins_refuse_duplicated_pricing_days(spark):
     import pytest
 

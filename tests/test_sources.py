@@ -85,3 +85,67 @@ def test_materialize_observes_metrics(spark):
     df, m = materialize(spark.range(100), "t", {"rows": F.count(F.lit(1)), "mx": F.max("id")})
     assert m == {"rows": 100, "mx": 99} and df.count() == 100
     assert "staylens" in df.inputFiles()[0]
+
+
+def write_in(folder, name, text):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text(text)
+    return str(folder)
+
+
+def test_csv_doubled_quotes_and_ragged_rows(spark, tmp_path):
+    from staylens.sources import csv as S
+
+    path = write_in(tmp_path / "c", "a.csv", 'reservation_id,cancellation_date,reason,refund_status\n'
+                 'R1,2023-01-01,"said ""no, thanks"", left",full\n'
+                 'R2,2023-01-02,late\n'
+                 'R3,2023-01-03,a,b,c\n'
+                 'R4,2023-01-04,,NA\n')
+    rows = {r["reservation_id"]: r for r in S.load_csv(spark, path).collect()}
+    assert rows["R1"]["reason"] == 'said "no, thanks", left' and rows["R1"]["refund_status"] == "full"
+    assert set(rows) == {"R1", "R4"} and rows["R4"]["reason"] is None and rows["R4"]["refund_status"] is None
+    left = S.rejected(spark, path).collect()
+    assert sorted(r["line"] for r in left) == ["R2,2023-01-02,late", "R3,2023-01-03,a,b,c"]
+    assert S.load_csv(spark, path).select("reservation_id").count() == 2  # also when few columns are read
+
+
+def test_csv_columns_match_by_name_across_files(spark, tmp_path):
+    from staylens.sources import csv as S
+
+    folder = tmp_path / "many"
+    write_in(folder, "a.csv", " Reservation_ID ,reason\nR1,price\n")
+    write_in(folder, "b.csv", "reason,reservation_id,extra\nprice,R2,x\n")
+    got = {r["reservation_id"]: (r["reason"], r["extra"]) for r in S.load_csv(spark, str(folder)).collect()}
+    assert got == {"R1": ("price", None), "R2": ("price", "x")}
+
+
+def test_publish_refuses_repeated_keys_and_keeps_the_old_version(spark, tmp_path):
+    from staylens.sources import sinks
+
+    schema = "reservation_id string, booking_date date, check_in_date date, room_nights int, is_cancelled boolean"
+    import datetime as dt
+
+    import pytest
+
+    row = ("R1", dt.date(2023, 1, 1), dt.date(2023, 2, 1), 2, False)
+    base = str(tmp_path / "load")
+    sinks.publish(spark.createDataFrame([row], schema), base)
+    for bad in ([row, row], [(None, *row[1:])], [("R2", None, *row[2:])]):
+        with pytest.raises(ValueError, match="refused"):
+            sinks.publish(spark.createDataFrame(bad, schema), base)
+    assert sinks.read_published(spark, base).count() == 1
+    sinks.publish(spark.createDataFrame([row, ("R2", *row[1:])], schema), base)
+    assert sinks.read_published(spark, base).count() == 2
+
+
+def test_write_fact_files_follow_the_data(spark, tmp_path):
+    import glob
+
+    from pyspark.sql import functions as F
+
+    from staylens.sources import sinks
+
+    fact = spark.range(3000).select(F.col("id").cast("string").alias("reservation_id"),
+                                    F.date_add(F.lit("2023-01-01").cast("date"), (F.col("id") % 365).cast("int")).alias("check_in_date")).repartition(8)
+    assert sinks.write_fact(fact, str(tmp_path / "fact")) == 3000
+    assert len(glob.glob(str(tmp_path / "fact" / "check_in_month=*" / "*.parquet"))) <= 12 + 8
