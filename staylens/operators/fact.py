@@ -1,9 +1,10 @@
 """Fact build: bookings ⟕ cancellations ⟕ pricing, then feature columns.
 
 Joins
-* J1 on ``reservation_id``: both sides are outputs of key-dedup aggregates,
-  hence already hash-partitioned on the key; the sort-merge join adds no
-  exchange.  Keys are unique on both sides after dedup, so no skew.
+* J1 on ``reservation_id``: on lazy frames both sides are outputs of key-dedup
+  aggregates, hence already hash-partitioned on the key, and the sort-merge
+  join adds no exchange; the pipeline joins the written clean tables, one
+  exchange each.  Keys are unique on both sides after dedup, so no skew.
 * J2 on ``check_in_date = date``: pricing is a calendar dimension.  It is
   broadcast only when its row count (observed while it was materialised)
   is under ``Config.broadcast_max_rows``; otherwise a shuffle join with AQE
@@ -29,7 +30,7 @@ def join_cancellations(bookings: DataFrame, cancellations: DataFrame) -> DataFra
         F.col("reason").alias("cancellation_reason"),
         "refund_status",
     )
-    return bookings.join(c, "reservation_id", "left")
+    return bookings.join(c.hint("merge"), "reservation_id", "left")  # never broadcast on a file-size guess
 
 
 def join_pricing(df: DataFrame, pricing: DataFrame, *, broadcast: bool = False) -> DataFrame:

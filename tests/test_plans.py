@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
+from staylens.operators import clean as C
 from staylens.operators import fact as FT
 from staylens.plans.pipeline import pipeline
 
@@ -61,7 +62,9 @@ def test_rollup_reads_only_needed_fact_columns(spark, small_sf):
 
 def test_fact_build_shuffles_each_side_once(spark, small_sf):
     p = pipeline(spark, small_sf)
-    base = FT.fact_base(p.bookings_clean, p.cancellations_clean, p.pricing_clean, broadcast_pricing=True)
+    # on lazy frames; the pipeline writes the clean tables first
+    base = FT.fact_base(C.clean_bookings(p.raw_bookings, p.cfg), C.clean_cancellations(p.raw_cancellations, p.cfg),
+                        p.pricing_clean, broadcast_pricing=True)
     plan = base._jdf.queryExecution().executedPlan().toString()
     # key dedup of bookings and of cancellations: one hash exchange each, none added by the join
     assert plan.count("hashpartitioning(reservation_id") == 2, plan
