@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from staylens.llm import flat
 
 SPACE = "▁"
+#: Bytes of text whose lattices are held at once: about 150 bytes of memory for each.
+PIECE_BYTES = 3 << 18
 TABLE_BITS = 19
 M64 = (1 << 64) - 1
 GOLDEN = 0x9E3779B97F4A7C15
@@ -449,7 +451,7 @@ def encode(docs: DataFrame, v: Vocabulary, *, k: int = 2, keep: list[str], id_co
         for batch in batches:
             texts = flat.strings(batch.column(batch.num_columns - 1))
             keys = batch.column(batch.num_columns - 2).to_numpy().view(np.uint64)
-            for a, b in flat.pieces(texts):
+            for a, b in flat.pieces(texts, PIECE_BYTES):
                 part = texts.slice(a, b - a)
                 edges, n_edges, rows, lat = [], [], [0], None
                 logp, perturbed, inclusion = [], [], []
