@@ -30,6 +30,10 @@ SCHEDULES = (
     ((0.0, 1.0), (1.0, 1.0)),
     ((0.0, 0.4), (0.4, 1.0), (1.0, 1.5)),
 )
+#: Shares of the open rest that a source may take as a plain stretch of its order before it is filled up by size.
+STRETCHES = (1.0, 0.5, 0.25, 0.0)
+#: A shorter stretch is tried only where the longer ones end further than this share off the target.
+TOLERANCE = 0.01
 #: Sources up to this many are broadcast; more are joined by shuffle.
 BROADCAST_SOURCES = 100_000
 
@@ -86,6 +90,124 @@ def invert_schedule(share: Column, knots: Sequence[tuple[float, float]]) -> Colu
     return out.otherwise(F.lit(float(knots[-1][0])))
 
 
+def _one_closing(rows: DataFrame, n_sources: int) -> DataFrame:
+    """``rows`` with ``__more`` (taken in the last, partial pass) and ``__cut``: a stretch and one closing document."""
+    w = F.col("size") * F.col("n_rows")
+    # the open rest of each source, and the one untaken document that fits it best
+    open_rest = rows.groupBy("source").agg(
+        (F.first("__rest") - F.coalesce(F.sum(F.when(F.col("__in"), w)), F.lit(0))).alias("__open")
+    )
+    gap = F.abs(w - F.col("__open"))
+    closing = (
+        rows.filter(~F.col("__in") & (F.col("size") > 0))
+        .join(bounded_broadcast(open_rest.withColumnRenamed("source", "__t"), BROADCAST_SOURCES, n_sources),
+              F.col("source").eqNullSafe(F.col("__t")))
+        .filter(gap < F.col("__open"))
+        .groupBy("source")
+        .agg(F.min(F.struct(gap.alias("g"), F.col("__end").alias("e"))).alias("c"))
+        .select(F.col("source").alias("__t"), F.col("c.e").alias("__close"))
+    )
+    closing, _ = materialize(closing, "mix-closing")
+    last = bounded_broadcast(closing, BROADCAST_SOURCES, n_sources)
+    closes = (F.col("__end") == F.col("__close")) & (F.col("size") > 0)
+    return (
+        rows.join(last, F.col("source").eqNullSafe(F.col("__t")), "left")
+        .withColumn("__more", F.col("__in") | F.coalesce(closes, F.lit(False)))
+        .withColumn("__cut", F.col("__rest"))
+        .drop("__t", "__close")
+    )
+
+
+def _fillings(rows: DataFrame, n_sources: int) -> DataFrame:
+    """``rows`` with ``__more`` (taken in the last, partial pass) and ``__cut`` (the end of the plain stretch).
+
+    The stretch is the part of the order that ends inside the open rest.  What
+    it leaves open is filled from the counts of the untaken documents by size,
+    longest first, as many of each size as fit; so no untaken document fits at
+    the end, and every size used at least halves what is open.  One more
+    document may close the gap from above if that is nearer.  Where a source
+    ends more than ``TOLERANCE`` off its target (a long document lies across
+    the end of its stretch), shorter stretches leave room for it.
+    """
+    w = F.col("size") * F.col("n_rows")
+    after = [F.col("__end") > F.col("__rest") * f for f in STRETCHES]
+    by_size = rows.groupBy("source", w.alias("w")).agg(
+        F.first("__rest").alias("rest"), F.first("target").alias("target"),
+        F.array(*[F.count_if(x) for x in after]).alias("n"),
+        F.array(*[F.coalesce(F.sum(F.when(~x, w)), F.lit(0)) for x in after]).alias("in"),
+    ).filter("w > 0")
+    by_size, _ = materialize(by_size, "mix-sizes-left")
+    sums = [F.sum(F.col("in")[i]) for i in range(len(STRETCHES))]
+    sources = by_size.groupBy("source").agg(
+        F.first("rest").alias("rest"), F.first("target").alias("target"), F.array(*sums).alias("in"),
+        F.sort_array(F.collect_list(F.when(F.col("w") <= 2 * F.col("rest"), F.struct("w", "n"))), asc=False).alias("sizes"),
+    )
+    none = F.array().cast("array<struct<w:bigint,k:bigint>>")
+
+    def fill(i: int) -> Column:
+        def take(acc: Column, x: Column) -> Column:
+            k = F.least(x["n"][i], F.floor(acc["open"] / x["w"]).cast("long"))
+            more = F.struct(
+                (acc["open"] - k * x["w"]).alias("open"),
+                F.concat(acc["picks"], F.array(F.struct(x["w"].alias("w"), k.alias("k")))).alias("picks"),
+            )
+            return F.when(k > 0, more).otherwise(acc)
+
+        start = F.struct((F.col("rest") - F.col("in")[i]).cast("double").alias("open"), none.alias("picks"))
+        return F.aggregate("sizes", start, take)
+
+    def nearest_above(i: int) -> Column:
+        got = F.col(f"f{i}")
+
+        def closes(x: Column) -> Column:
+            used_up = F.exists(got["picks"], lambda p: (p["w"] == x["w"]) & (p["k"] >= x["n"][i]))
+            return (x["w"] > got["open"]) & (x["w"] < 2 * got["open"]) & (x["n"][i] > 0) & ~used_up
+
+        return F.array_min(F.transform(F.filter("sizes", closes), lambda x: x["w"]))
+
+    done = sources.withColumns({f"f{i}": fill(i) for i in range(len(STRETCHES))})
+    done = done.withColumns({f"c{i}": nearest_above(i) for i in range(len(STRETCHES))})
+    options = []
+    for i, f in enumerate(STRETCHES):
+        got, close = F.col(f"f{i}"), F.col(f"c{i}")
+        gap = F.coalesce(close - got["open"], got["open"])
+        closed = F.concat(got["picks"], F.when(close.isNotNull(), F.array(F.struct(close.alias("w"), F.lit(1).cast("long").alias("k")))).otherwise(none))
+        options.append(F.struct(
+            F.when(gap <= F.col("target") * TOLERANCE, 0.0).otherwise(gap).alias("off"), F.lit(i).alias("i"),
+            (F.col("rest") * f).alias("cut"), closed.alias("picks"),
+        ))
+    chosen, _ = materialize(done.select("source", F.array_min(F.array(*options)).alias("o")), "mix-fillings")
+    cuts = chosen.select(F.col("source").alias("__t"), F.col("o.cut").alias("__cut"))
+    picks, seen = materialize(
+        chosen.select("source", F.col("o.cut").alias("__c"), F.explode("o.picks").alias("p"))
+        .groupBy("source", "__c", F.col("p.w").alias("__w")).agg(F.sum("p.k").alias("__k")).withColumnRenamed("source", "__s"),
+        "mix-picks",
+        {"n": F.count(F.lit(1))},
+    )
+    n_picks = seen["n"] or 0
+    # the end of the k-th document of each size picked: first inside range partitions, then over what these leave
+    in_part = Window.partitionBy("source", "__w", "__part").orderBy("__end")
+    over_all = Window.partitionBy("source", "__w").orderBy("__end")
+    ends = (
+        rows.join(bounded_broadcast(picks, BROADCAST_SOURCES, n_picks), F.col("source").eqNullSafe(F.col("__s")) & (w == F.col("__w")))
+        .filter(F.col("__end") > F.col("__c"))
+        .select("source", "__w", "__part", "__end", "__k")
+        .withColumn("__r", F.row_number().over(in_part))
+        .filter("__r <= __k")
+        .withColumn("__r", F.row_number().over(over_all))
+        .filter("__r = __k")
+        .select(F.col("source").alias("__s"), "__w", F.col("__end").alias("__last"))
+    )
+    ends, _ = materialize(ends, "mix-ends")
+    return (
+        rows.join(bounded_broadcast(cuts, BROADCAST_SOURCES, n_sources), F.col("source").eqNullSafe(F.col("__t")), "left")
+        .withColumn("__cut", F.coalesce("__cut", "__rest"))
+        .join(bounded_broadcast(ends, BROADCAST_SOURCES, n_picks), F.col("source").eqNullSafe(F.col("__s")) & (w == F.col("__w")), "left")
+        .withColumn("__more", (F.col("__end") <= F.col("__cut")) | F.coalesce(F.col("__end") <= F.col("__last"), F.lit(False)))
+        .drop("__t", "__s", "__w", "__last")
+    )
+
+
 def mix_plan(
     docs: DataFrame,
     *,
@@ -97,6 +219,7 @@ def mix_plan(
     total_ratio: float = 1.5,
     max_ratio: float = 2.0,
     seed: int = 0,
+    fill: bool = True,
 ) -> DataFrame:
     """One row per distinct (id, source, size): how often it is taken, and when.
 
@@ -104,9 +227,11 @@ def mix_plan(
     these values, decided together), ``source_size``, ``target``, ``copies``,
     ``taken`` (words the mix takes of one such row) and ``positions`` (one
     training position in [0, 1] per copy).  A source of ratio 1.3 is read
-    through once, then 0.3 of its words again, in an order hashed from the id;
-    the run ends with the one untaken document whose size fits the open rest
-    best.  No row is taken more than ``ceil(max_ratio)`` times.  Null text:
+    through once, then 0.3 of its words again: a stretch of an order hashed
+    from the id, then whatever untaken documents fill the open rest (see
+    ``_fillings``), until none fits.  Without ``fill`` the stretch ends at the
+    first document that does not fit, and the one untaken document whose size
+    fits the open rest best closes it.  No row is taken more than ``ceil(max_ratio)`` times.  Null text:
     size 0.  Null source: a source of its own, ranked last.  Null id: allowed.
     An empty table gives no rows; further columns are ignored.
     """
@@ -153,32 +278,20 @@ def mix_plan(
         .withColumn("__full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
         .withColumn("__rest", F.col("target") - F.col("__full") * F.col("source_size"))
         .withColumn("__in", F.col("__end") <= F.col("__rest"))
-        .drop("__s", "__p", "__t", "__run", "__off", "__part")
+        .drop("__s", "__p", "__t", "__run", "__off")
     )
     rows, _ = materialize(rows, "mix-order")
 
-    # the open rest of each source, and the one untaken document that fits it best
-    open_rest = rows.groupBy("source").agg(
-        (F.first("__rest") - F.coalesce(F.sum(F.when(F.col("__in"), w)), F.lit(0))).alias("__open")
-    )
-    gap = F.abs(w - F.col("__open"))
-    closing = (
-        rows.filter(~F.col("__in") & (F.col("size") > 0))
-        .join(bounded_broadcast(open_rest.withColumnRenamed("source", "__t"), BROADCAST_SOURCES, n_sources),
-              F.col("source").eqNullSafe(F.col("__t")))
-        .filter(gap < F.col("__open"))
-        .groupBy("source")
-        .agg(F.min(F.struct(gap.alias("g"), F.col("__end").alias("e"))).alias("c"))
-        .select(F.col("source").alias("__t"), F.col("c.e").alias("__close"))
-    )
-    closing, _ = materialize(closing, "mix-closing")
-    last = bounded_broadcast(closing, BROADCAST_SOURCES, n_sources)
-    closes = (F.col("__end") == F.col("__close")) & (F.col("size") > 0)
-    copies = F.col("__full") + F.when(F.col("__in") | F.coalesce(closes, F.lit(False)), 1).otherwise(0)
+    rows = (_fillings if fill else _one_closing)(rows, n_sources)
+    copies = F.col("__full") + F.when(F.col("__more"), 1).otherwise(0)
 
-    # the k-th copy is consumed when the source has delivered k passes plus the words before it
+    # the k-th copy is consumed when the source has delivered k passes plus the words before it; in the last,
+    # partial pass the documents after the stretch are spread over what the stretch leaves
     mid = F.col("__end") - w / 2
-    share = lambda k: F.when(F.col("target") > 0, F.least((k * F.col("source_size") + mid) / F.col("target"), F.lit(1.0))).otherwise(0.0)
+    left = (F.col("__rest") - F.col("__cut")) / F.greatest(F.col("source_size") - F.col("__cut"), F.lit(1.0))
+    last = F.when(mid > F.col("__cut"), F.col("__cut") + (mid - F.col("__cut")) * left).otherwise(mid)
+    at = lambda k: F.when(k < F.col("__full"), mid).otherwise(last) if fill else mid
+    share = lambda k: F.when(F.col("target") > 0, F.least((k * F.col("source_size") + at(k)) / F.col("target"), F.lit(1.0))).otherwise(0.0)
     def when(u: Column) -> Column:
         out = None
         for i, knots in enumerate(schedules):
@@ -187,7 +300,7 @@ def mix_plan(
         return out
 
     return (
-        rows.join(last, F.col("source").eqNullSafe(F.col("__t")), "left")
+        rows
         .withColumn("copies", copies)
         .withColumn("taken", F.col("size") * F.col("copies"))
         .withColumn("positions", F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), lambda k: when(share(k)))).otherwise(F.array().cast("array<double>")))

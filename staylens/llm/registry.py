@@ -112,8 +112,11 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of each document, in training order of the first copy."""
-    plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
+    """Words that the mix takes of each document, in training order of the first copy.
+
+    By the rule of its SQL: a source ends with one closing document, not filled up.
+    """
+    plan = mixing.mix_plan(table(spark, sf_dir, "documents"), fill=False)
     return (
         plan.withColumn("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))
         .orderBy(F.element_at(F.concat("positions", F.array(F.lit(2.0))), 1), "doc_id")

@@ -388,6 +388,22 @@ def test_mixing_edges(spark, docs, none):
     assert mixing.mix_plan(none).count() == 0 and mixing.mixed_documents(none).count() == 0
 
 
+def test_mix_fills_sources_with_long_documents(spark):
+    r = random.Random(4)
+    sizes = {"a": [2770, *[r.randrange(5, 200) for _ in range(26)]], "b": [2065, *[r.randrange(5, 160) for _ in range(26)]],
+             "c": [r.randrange(1, 40) for _ in range(400)], "d": [7] * 300, "e": [900, 800, 700] + [3] * 50}
+    rows = [(f"{s}{i}", "w " * n, s) for s, ns in sizes.items() for i, n in enumerate(ns)]
+    got = mixing.mix_plan(spark.createDataFrame(rows, "doc_id string, text string, source string")).collect()
+    assert len(got) == len(rows)
+    for s in sizes:
+        mine = [x for x in got if x["source"] == s]
+        target, size, taken = mine[0]["target"], mine[0]["source_size"], sum(x["taken"] for x in mine)
+        assert abs(taken - target) <= 0.01 * target, (s, taken, target)
+        full = int(target // size)
+        assert all(x["copies"] in (full, full + 1) for x in mine)
+        assert not any(x["size"] <= target - taken for x in mine if x["copies"] == full)
+
+
 def test_schedule_inversion(spark):
     from pyspark.sql import functions as F
 
