@@ -4,7 +4,9 @@ Each stage takes (spark, docs, sf_dir) and works on all documents that the one
 before it kept; its result is written as Parquet and read again as the next
 stage's input.  The first four return the columns of ``documents``:
 
-1. ``language_id`` drops documents without a recognisable language;
+1. ``language_id`` drops documents without a recognisable language: without a
+   letter, or whose words do not fit the languages learned (texts of several
+   learned languages stay);
 2. ``quality_rules`` drops documents that a quality rule rejects;
 3. ``near_dedup`` keeps one document of each near-duplicate group
    (five-word shingles, similarity 0.8);
@@ -21,14 +23,14 @@ from staylens.llm import langid, minhash, mixing, quality, unigram
 from staylens.llm.registry import PIECE_MODEL, held_out
 from staylens.plans.materialize import materialize
 
-#: Least share of a document's letters in its main language.
-MIN_LANG_SCORE = 0.5
+#: Least fit of a document's words to the languages of their spans (0 chance, 1 as the training texts).
+MIN_LANG_FIT = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs.filter(~held_out()))
     found = langid.identify(docs, model, keep=docs.columns)
-    return found.filter((found["lang_pred"] != langid.UND) & (found["lang_score"] >= MIN_LANG_SCORE)).select(*docs.columns)
+    return found.filter((found["lang_pred"] != langid.UND) & (found["lang_fit"] >= MIN_LANG_FIT)).select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

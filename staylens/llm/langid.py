@@ -7,6 +7,12 @@ gets the word's log-likelihood, and Viterbi over the words, with a penalty per
 change of language, labels spans of mixed texts.  A text's language is the one
 whose spans hold most of its letters.
 
+How well a text fits is a figure of its own: the log-likelihood of its trigrams
+under the languages of its spans, between that of equally likely trigrams (0)
+and that of the training texts (1).  Words in a script that no language uses
+count 0, letters beside digits not at all, so text of an unlearned language has a language that scores best, but
+a low fit.
+
 Most texts have one language.  For those the best constant labelling is proved
 optimal without running Viterbi: if no stretch of words gains more than half a
 penalty by another language, no path with a switch can win.
@@ -58,6 +64,12 @@ class Model:
     words: np.ndarray  # (2^WORD_BITS, langs), centred; 0 where unseen
     allowed: np.ndarray  # (scripts, langs)
     prior: int  # most frequent language of the sample
+    level: np.ndarray  # (2^TRIGRAM_BITS) what centring took off the trigrams
+    usual: np.ndarray  # (langs) mean log-likelihood of a trigram of the training texts
+
+
+#: Log-likelihood of a trigram where all are equally likely.
+CHANCE = -TRIGRAM_BITS * float(np.log(2))
 
 
 def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,21 +113,31 @@ def fit(texts: list[str], langs: list[str]) -> Model:
         words[:, k] += np.bincount((flat.span_hashes(raw, a, b) >> np.uint64(64 - WORD_BITS)).astype(np.int64), minlength=len(words))
         scripts[:, k] += np.bincount(SCRIPT_OF[raw[a]], minlength=len(SCRIPTS))
 
+    def logs(counts: np.ndarray, smooth: float) -> np.ndarray:
+        return np.log((counts + smooth) / (counts.sum(axis=0) + smooth * len(counts)))
+
     def centred(counts: np.ndarray, smooth: float) -> np.ndarray:
-        p = np.log((counts + smooth) / (counts.sum(axis=0) + smooth * len(counts)))
+        p = logs(counts, smooth)
         return (p - p.mean(axis=1, keepdims=True)).astype(np.float32)
 
     seen = words.sum(axis=1, keepdims=True) > 1
     share = scripts / np.maximum(scripts.sum(axis=0), 1)
-    return Model(names, centred(tri, 0.5), np.where(seen, centred(words, 0.5), np.float32(0)), share > 0.005, int(n.argmax()) if names else -1)
+    p = logs(tri, 0.5)
+    usual = (tri * p).sum(axis=0) / np.maximum(tri.sum(axis=0), 1)
+    return Model(
+        names, centred(tri, 0.5), np.where(seen, centred(words, 0.5), np.float32(0)), share > 0.005, int(n.argmax()) if names else -1,
+        p.mean(axis=1).astype(np.float32) if names else np.zeros(len(tri), np.float32), np.maximum(usual, CHANCE + 1e-3),
+    )
 
 
-def word_scores(model: Model, raw: np.ndarray, orig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, letters, scores): of each word, its start, its letters and a log-likelihood per language."""
+def word_scores(model: Model, raw: np.ndarray, orig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, trigrams, letters, scores, fits): of each word, its start, its trigrams (none in a code), its letters, and per language a log-likelihood and
+    how far its trigrams are from chance to the usual (summed over the trigrams; 0 in a script the language does not use)."""
     c, a, b = _words(raw)
     if not len(a):
-        return a, a, np.zeros((0, len(model.langs)), np.float32)
+        return a, a, a, np.zeros((0, len(model.langs)), np.float32), np.zeros((0, len(model.langs)), np.float32)
     scores = np.empty((len(a), len(model.langs)), dtype=np.float32)
+    fits = np.empty_like(scores)
     step = 1 << 18  # words at a time
     for i in range(0, len(a), step):
         s, e = a[i : i + step], b[i : i + step]
@@ -125,13 +147,19 @@ def word_scores(model: Model, raw: np.ndarray, orig: np.ndarray) -> tuple[np.nda
         got = model.trigrams[ids[part]]
         first = np.concatenate([[0], np.cumsum(e - s)[:-1]])
         scores[i : i + step] = np.add.reduceat(got, first, axis=0)
+        level = np.add.reduceat(model.level[ids[part]], first) - (e - s) * np.float32(CHANCE)
+        fits[i : i + step] = (scores[i : i + step] + level[:, None]) / (model.usual - CHANCE)
         scores[i : i + step] += model.words[(flat.span_hashes(raw[lo:hi], s - lo, e - lo) >> np.uint64(64 - WORD_BITS)).astype(np.int64)]
     ok = model.allowed[SCRIPT_OF[raw[a]]]
     some = ok.any(axis=1, keepdims=True)
     scores = np.where(ok, scores, scores.min(axis=1, keepdims=True) - 20)
     scores[~some[:, 0]] = 0
+    fits[~ok] = 0
+    # letters beside a digit belong to a code (key, address, checksum) and count neither way
+    code = ((raw[a - 1] >= 0x30) & (raw[a - 1] <= 0x39)) | ((raw[b] >= 0x30) & (raw[b] <= 0x39))
+    fits[code] = 0
     leads = np.concatenate([[0], np.cumsum((orig < 0x80) | (orig >= 0xC0))])  # code points, not bytes
-    return a, leads[b] - leads[a], scores
+    return a, np.where(code, 0, b - a), leads[b] - leads[a], scores, fits
 
 
 def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
@@ -196,11 +224,11 @@ def label_words(scores: np.ndarray, bounds: np.ndarray, penalty: float) -> np.nd
     return labels
 
 
-def _piece(model: Model, texts: pa.Array, penalty: float) -> tuple[list, np.ndarray, pa.Array]:
-    """(language or und, score, spans) of each text."""
+def _piece(model: Model, texts: pa.Array, penalty: float) -> tuple[list, np.ndarray, np.ndarray, pa.Array]:
+    """(language or und, score, fit, spans) of each text."""
     lower = pc.utf8_lower(texts)
     raw, at = flat.spaced(lower)
-    start, letters, scores = word_scores(model, raw, raw)
+    start, trigrams, letters, scores, fits = word_scores(model, raw, raw)
     bounds = np.searchsorted(start, at)
     labels = label_words(scores, bounds, penalty)
     doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
@@ -209,12 +237,14 @@ def _piece(model: Model, texts: pa.Array, penalty: float) -> tuple[list, np.ndar
     total = held.sum(axis=1)
     pred = held.argmax(axis=1)
     score = np.where(total > 0, held.max(axis=1) / np.maximum(total, 1), 0.0)
+    size = np.bincount(doc, weights=trigrams, minlength=len(texts))
+    fit = np.clip(np.bincount(doc, weights=fits[np.arange(len(labels)), labels], minlength=len(texts)) / np.maximum(size, 1), 0.0, 1.0)
     latin = np.concatenate([[0], np.cumsum((raw >= 0x61) & (raw <= 0x7A))])
     sure = latin[at[1:]] > latin[at[:-1]]
     out = [model.langs[p] for p in pred]
     for i in np.flatnonzero(~sure):  # no ASCII letter: look at the characters
         if not any(map(str.isalpha, texts[int(i)].as_py())):
-            out[i], score[i] = UND, 0.0
+            out[i], score[i], fit[i] = UND, 0.0, 0.0
             bounds_i = slice(bounds[i], bounds[i + 1])
             labels[bounds_i] = -1
         elif not total[i]:
@@ -229,7 +259,7 @@ def _piece(model: Model, texts: pa.Array, penalty: float) -> tuple[list, np.ndar
         ["first_word", "n_words", "lang"],
     )
     where = np.concatenate([[0], np.cumsum(np.bincount(doc[head], minlength=len(texts)))]).astype(np.int32)
-    return out, score, pa.ListArray.from_arrays(pa.array(where), spans)
+    return out, score, fit, pa.ListArray.from_arrays(pa.array(where), spans)
 
 
 def training_sample(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, per_lang: int) -> list:
@@ -253,17 +283,19 @@ def train(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang",
 
 
 def identify(docs: DataFrame, model: Model, *, keep: list[str], text_col: str = "text", penalty: float = 12.0) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with ``lang_pred``, ``lang_score`` and ``lang_spans``.
+    """The columns ``keep`` of ``docs`` with ``lang_pred``, ``lang_score``, ``lang_fit`` and ``lang_spans``.
 
     ``lang_score`` is the share of the text's letters in spans of
-    ``lang_pred``; ``lang_spans`` lists (first_word, n_words, lang).  Null
-    text, or text without a letter: ``und``, score 0, no spans.  Each row
+    ``lang_pred``, whether or not they look like it; ``lang_fit`` tells how
+    well the words fit the languages of their spans (0 chance, 1 as the training
+    texts; 0 for text in a script that no language uses); ``lang_spans`` lists (first_word, n_words, lang).  Null
+    text, or text without a letter: ``und``, score and fit 0, no spans.  Each row
     stands alone, so repeated rows agree; an empty table gives no rows.  A
     model without languages calls everything ``und``.
     """
     schema = docs.select(*keep).schema
     names = [*keep] if text_col in keep else [*keep, text_col]
-    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "lang_pred string, lang_score double, lang_spans array<struct<first_word:int,n_words:int,lang:string>>"])
+    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "lang_pred string, lang_score double, lang_fit double, lang_spans array<struct<first_word:int,n_words:int,lang:string>>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,10 +303,10 @@ def identify(docs: DataFrame, model: Model, *, keep: list[str], text_col: str =
             for a, b in flat.pieces(texts):
                 part = texts.slice(a, b - a)
                 if model.langs:
-                    lang, score, spans = _piece(model, part, penalty)
+                    lang, score, fit, spans = _piece(model, part, penalty)
                 else:
-                    lang, score, spans = [UND] * (b - a), np.zeros(b - a), pa.array([[]] * (b - a), pa.list_(pa.struct([("first_word", pa.int32()), ("n_words", pa.int32()), ("lang", pa.string())])))
+                    lang, score, fit, spans = [UND] * (b - a), np.zeros(b - a), np.zeros(b - a), pa.array([[]] * (b - a), pa.list_(pa.struct([("first_word", pa.int32()), ("n_words", pa.int32()), ("lang", pa.string())])))
                 kept = [batch.column(i).slice(a, b - a) for i in range(len(schema))]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score), spans], names=[*schema.names, "lang_pred", "lang_score", "lang_spans"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score), pa.array(fit), spans], names=[*schema.names, "lang_pred", "lang_score", "lang_fit", "lang_spans"])
 
     return docs.select(*names).mapInArrow(run, out)

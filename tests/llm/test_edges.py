@@ -215,6 +215,32 @@ def test_language_spans_and_edges(spark, docs, none):
     assert {x["lang_pred"] for x in langid.identify(docs, langid.train(none), keep=["doc_id"]).collect()} == {"und"}
 
 
+def test_language_stage_drops_what_no_language_fits(spark, small_sf):
+    import corpus_pipeline
+
+    r = random.Random(1)
+    given = spark.read.parquet(f"{small_sf}/documents.parquet")
+    text = {}
+    for x in given.orderBy("doc_id").collect():
+        if len(x["text"] or "") > 600:
+            text.setdefault(x["lang"], x["text"][:600])
+    planted = {
+        -1: "все люди рождаются свободными и равными в своем достоинстве и правах " * 5,
+        -2: "όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια " * 5,
+        -3: "人人生而自由 在尊严和权利上一律平等 " * 5,
+        -4: "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw " * 5,
+        -5: " ".join("".join(r.choice("qwertyuiopasdfghjklzxcvbnm") for _ in range(6)) for _ in range(60)),
+        -6: "12 34 !!",
+        -7: "\n".join(text.values()),
+        -8: text["de"],
+    }
+    assert len(text) == 4
+    rows = spark.createDataFrame([(i, t, None, "planted", len(t)) for i, t in planted.items()], given.schema)
+    kept = {x["doc_id"] for x in corpus_pipeline.language_id(spark, given.unionByName(rows), small_sf).collect()}
+    assert {i for i in planted if i in kept} == {-7, -8}
+    assert {x["doc_id"] for x in given.collect()} <= kept
+
+
 def test_viterbi_bound_equals_plain_viterbi():
     r = np.random.default_rng(0)
     for _ in range(60):
