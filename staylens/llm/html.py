@@ -45,6 +45,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is never text of the page.
 HIDDEN = frozenset("script style noscript iframe noembed noframes template svg math object audio video canvas head".split())
 RAW = frozenset("script style iframe noembed noframes xmp textarea title".split())
+#: What a head can hold; any other start tag, and any text, ends a head that is open.
+IN_HEAD = frozenset("html title meta link base basefont bgsound script style noscript noframes template".split())
 #: A start tag on the left closes an open element on the right.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 PATH_BITS, WORD_BITS = 11, 8
@@ -105,6 +107,8 @@ def blocks(page: str) -> list[Block]:
     while pos < end:
         m = TAG.search(page, pos)
         stop = m.start() if m else end
+        if stop > pos and hidden and stack[-1][0] == "head" and page[pos:stop].strip(" \t\n\f\r"):
+            pop(len(stack) - 1)
         if stop > pos and not hidden:
             text.append(page[pos:stop])
             if links:
@@ -127,6 +131,17 @@ def blocks(page: str) -> list[Block]:
                     pop(i)
                     break
             continue
+        if hidden and stack:
+            if stack[-1][0] == "head":
+                if name == "head":
+                    continue
+                if name not in IN_HEAD:
+                    pop(len(stack) - 1)
+            elif name == "body":
+                for i, (tag, _) in enumerate(stack):
+                    if tag == "head":
+                        pop(i)
+                        break
         if name in VOID:
             if name == "br" and not hidden:
                 text.append(" ")

@@ -367,6 +367,19 @@ def test_blocks(page, texts):
     assert [b.text for b in html.blocks(page)] == texts
 
 
+@pytest.mark.parametrize("page, texts", [
+    ("<html><head><title>t</title><meta charset=x><body><p>a</p><p>b</p></body></html>", ["a", "b"]),
+    ("<head><script>x</script><style>y</style><link rel=z><div>a</div>b", ["a", "b"]),
+    ("<head><title>t</title>\n  plain <i>words</i>", ["plain words"]),
+    ("<head><noscript><link><body><p>a", ["a"]),
+    ("<head><head><title>t</title></head><p>a", ["a"]),
+    ("<head><base><img src=x>a<p>b", ["a", "b"]),
+    ("<head>\n<title>t</title><template><p>x</p></template><noscript><p>n</p></noscript>\n</head><body>a", ["a"]),
+])
+def test_head_without_end_tag(page, texts):
+    assert [b.text for b in html.blocks(page)] == texts
+
+
 def test_labeller_on_unseen_layouts_and_edges(spark):
     r = random.Random(5)
     texts = [" ".join(r.choice(["lorem", "ipsum", "dolor", "sit", "amet"]) for _ in range(r.randint(3, 40))) + "." for _ in range(200)]
