@@ -198,6 +198,7 @@ def dq_expectations(
     cfg: Config = DEFAULT_CONFIG,
     missing: Mapping[str, Sequence[str]] | None = None,
     counts: Mapping[str, int] | None = None,
+    set_aside: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Q1–Q7 as data: ``(rule, observed, threshold, op, passed)``.
 
@@ -208,7 +209,10 @@ def dq_expectations(
     ``bookings_clean``, ``raw_cancellations``, ``fact``), as observed while a
     pipeline wrote its tables; the raw sources are then not read again.
 
-    Passes without it: one read per raw source (the clean-bookings count comes
+    ``set_aside`` carries the rows that the scan left out per source
+    (``csv.read_all(..., counted=True)``); each source gets a rule that there are none.
+
+    Passes without ``counts``: one read per raw source (the clean-bookings count comes
     out of the same dedup that reads raw bookings); in any case one wide
     aggregate over the fact and one key-duplicate aggregate.
     """
@@ -253,6 +257,8 @@ def dq_expectations(
         rule(f"required_columns_missing_{src}",
              F.lit(len((missing or {}).get(src) or missing_columns(df, req))), 0, "<=")
         for src, df, req in contracts
+    ] + [
+        rule(f"set_aside_rows_{src}", F.lit(int(n_rows)), 0, "<=") for src, n_rows in sorted((set_aside or {}).items())
     ] + [
         rule("min_rows_raw_bookings", F.col("raw_bookings"), 1, ">="),
         rule("min_rows_raw_cancellations", F.col("raw_cancellations"), 1, ">="),

@@ -53,6 +53,8 @@ class Pipeline:
     sources: dict[str, DataFrame] | None = None
     #: Contract report of the scan (source -> missing columns), if known.
     missing: dict[str, list[str]] = field(default_factory=dict)
+    #: Raw rows that the scan set aside (source -> rows), if counted.
+    set_aside: dict[str, int] = field(default_factory=dict)
 
     @classmethod
     def from_frames(
@@ -62,13 +64,15 @@ class Pipeline:
         pricing: DataFrame,
         cfg: Config = DEFAULT_CONFIG,
         missing: dict[str, list[str]] | None = None,
+        set_aside: dict[str, int] | None = None,
     ) -> "Pipeline":
-        """Start from raw string frames, e.g. ``frames, missing = csv.read_all(...)``."""
+        """Start from raw string frames, e.g. ``frames, missing, set_aside = csv.read_all(..., counted=True)``."""
         frames = {"bookings": bookings, "cancellations": cancellations, "pricing": pricing}
-        report = dict(missing or {})
-        if "seasonal_pricing" in report:
-            report["pricing"] = report.pop("seasonal_pricing")
-        return cls(bookings.sparkSession, "", cfg, sources=frames, missing=report)
+        report, left_out = dict(missing or {}), dict(set_aside or {})
+        for known in (report, left_out):
+            if "seasonal_pricing" in known:
+                known["pricing"] = known.pop("seasonal_pricing")
+        return cls(bookings.sparkSession, "", cfg, sources=frames, missing=report, set_aside=left_out)
 
     def _raw(self, name: str, derive) -> DataFrame:
         df = self.sources[name] if self.sources is not None else derive(self.spark, self.sf_dir)
@@ -126,10 +130,14 @@ class Pipeline:
         """C18 for a pipeline run: rows kept per cleaning step, observed while the clean
         tables were written (no extra pass, and no other action can disturb
         them).  Exact-duplicate counts need their own grouping pass; see
-        ``clean.cleaning_report``.
+        ``clean.cleaning_report``.  Sources whose scan counted the rows it set
+        aside have that number as ``set_aside``.
         """
         self.fact_base  # noqa: B018 - the writes of the build fill the counts
-        return {"bookings": dict(self.stats["cleaning_bookings"]), "cancellations": dict(self.stats["cleaning_cancellations"])}
+        counts = {"bookings": dict(self.stats["cleaning_bookings"]), "cancellations": dict(self.stats["cleaning_cancellations"])}
+        for source, n in self.set_aside.items():
+            counts.setdefault(source, {})["set_aside"] = n
+        return counts
 
     def row_counts(self) -> dict[str, int]:
         """Rows of the raw, clean and fact tables, as observed while they were written."""

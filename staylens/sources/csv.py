@@ -3,9 +3,10 @@
 Values are never type-inferred at read (an id such as ``007`` stays a
 string); typing happens in the cleaning operators.  Quotes inside quoted values
 are doubled, files of one folder are matched by column name (each distinct
-header is read with its own schema), and rows with more or fewer values than
-their header are set aside whole instead of being cut or shifted: ``rejected``
-returns them, so every raw row is either kept or counted.  Files are read with the
+header is read with its own schema).  ``read_source`` and ``read_all`` keep rows
+with fewer values than their header, padded with nulls, and set rows with more
+values aside whole instead of cutting them: ``rejected`` returns those and
+``read_all(..., counted=True)`` their number per source.  Files are read with the
 splittable (non-multiLine) reader by default so large inputs parallelise;
 pass ``multiline=True`` only for files with quoted newlines.
 """
@@ -15,7 +16,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +39,14 @@ CONTRACTS = {
 
 #: The raw line of a row that does not fit its header.
 REJECTED = "_rejected_line"
+#: A quoted value with the separator before it.
+QUOTED = r'(^|,)"[^"]*+(?:""[^"]*+)*+"'
+
+
+def _n_values(line: Column) -> Column:
+    """Values of a raw line; a null line has null."""
+    bare = F.regexp_replace(line, QUOTED, "$1")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
 
 
 def _reader(spark: SparkSession, multiline: bool):
@@ -62,8 +71,11 @@ def _header_groups(spark: SparkSession, path: str, multiline: bool) -> dict[tupl
     return groups
 
 
-def scan_csv(spark: SparkSession, path: str, *, multiline: bool = False) -> DataFrame:
-    """All rows of all files as strings, by column name, with ``_rejected_line`` set on rows that do not fit."""
+def scan_csv(spark: SparkSession, path: str, *, multiline: bool = False, keep_short: bool = False) -> DataFrame:
+    """All rows of all files as strings, by column name, with ``_rejected_line`` set on rows that do not fit.
+
+    With ``keep_short`` a row with fewer values than its header fits, padded with nulls.
+    """
     out = None
     for header, files in sorted(_header_groups(spark, path, multiline).items()):
         schema = T.StructType([T.StructField(c, T.StringType()) for c in (*header, REJECTED)])
@@ -75,6 +87,8 @@ def scan_csv(spark: SparkSession, path: str, *, multiline: bool = False) -> Data
             .schema(schema)
             .csv(files)
         )
+        if keep_short:
+            part = part.withColumn(REJECTED, F.when(_n_values(F.col(REJECTED)) > len(header), F.col(REJECTED)))
         part = normalise_headers(part)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
@@ -82,22 +96,28 @@ def scan_csv(spark: SparkSession, path: str, *, multiline: bool = False) -> Data
     return out
 
 
-def rejected(spark: SparkSession, path: str, *, multiline: bool = False) -> DataFrame:
-    """The raw lines that ``load_csv`` leaves out: more or fewer values than their header."""
-    df = scan_csv(spark, path, multiline=multiline)
+def _looked(df: DataFrame) -> Column:
+    """True; Spark refuses to read a raw CSV for the rejected line alone (e.g. a count), so filters look at a value too."""
+    return F.length(F.coalesce(F.col(df.columns[0]), F.lit(""))) >= 0
+
+
+def rejected(spark: SparkSession, path: str, *, multiline: bool = False, keep_short: bool = False) -> DataFrame:
+    """The raw lines that ``load_csv`` leaves out: more (and, without ``keep_short``, fewer) values than their header."""
+    df = scan_csv(spark, path, multiline=multiline, keep_short=keep_short)
     keep = [c for c in df.columns if c != REJECTED]
-    return df.filter(F.col(REJECTED).isNotNull()).select(F.col(REJECTED).alias("line"), F.to_json(F.struct(*keep)).alias("as_read"))
+    return df.filter(F.col(REJECTED).isNotNull() & _looked(df)).select(F.col(REJECTED).alias("line"), F.to_json(F.struct(*keep)).alias("as_read"))
 
 
-def load_csv(spark: SparkSession, path: str, cfg: Config = DEFAULT_CONFIG, *, multiline: bool = False) -> DataFrame:
+def load_csv(
+    spark: SparkSession, path: str, cfg: Config = DEFAULT_CONFIG, *, multiline: bool = False, keep_short: bool = False
+) -> DataFrame:
     """Read a CSV as strings; missing file -> ``FileNotFoundError``, no rows -> ``ValueError``.
 
-    Rows that do not fit their header are left out (see ``rejected``).
+    Rows that do not fit their header are left out (see ``rejected``); with
+    ``keep_short`` those with fewer values stay, padded with nulls.
     """
-    df = scan_csv(spark, path, multiline=multiline)
-    # Spark refuses to read a raw CSV for the rejected line alone (e.g. a count), so the filter looks at a value too
-    looked = F.length(F.coalesce(F.col(df.columns[0]), F.lit(""))) >= 0
-    df = null_tokens(df.filter(F.col(REJECTED).isNull() & looked).drop(REJECTED), cfg)
+    df = scan_csv(spark, path, multiline=multiline, keep_short=keep_short)
+    df = null_tokens(df.filter(F.col(REJECTED).isNull() & _looked(df)).drop(REJECTED), cfg)
     if df.isEmpty():
         raise ValueError(f"file has a header but no rows: {path}")
     return df
@@ -115,9 +135,10 @@ def read_source(
 
     Missing columns are reported, never raised, and added as null strings so
     the cleaning steps degrade the way the original does (e.g. without a
-    check-out column, room nights come from ``nights``).
+    check-out column, room nights come from ``nights``).  Rows with fewer
+    values than their header are kept the same way; rows with more are left out.
     """
-    df = load_csv(spark, path, cfg, multiline=multiline)
+    df = load_csv(spark, path, cfg, multiline=multiline, keep_short=True)
     missing = missing_columns(df, CONTRACTS[source])
     return df.withColumns({c: F.lit(None).cast("string") for c in missing}), missing
 
@@ -126,9 +147,17 @@ def read_all(
     spark: SparkSession,
     paths: dict[str, str],
     cfg: Config = DEFAULT_CONFIG,
-) -> tuple[dict[str, DataFrame], dict[str, list[str]]]:
-    """Every source in one call; all contract problems reported together, none raised."""
+    *,
+    counted: bool = False,
+):
+    """Every source in one call: (frames, missing columns); all contract problems reported together, none raised.
+
+    With ``counted`` also the number of rows set aside per source (one more
+    read of each), for ``Pipeline.from_frames``.
+    """
     frames, missing = {}, {}
     for source, path in paths.items():
         frames[source], missing[source] = read_source(spark, path, source, cfg)
-    return frames, missing
+    if not counted:
+        return frames, missing
+    return frames, missing, {source: rejected(spark, path, keep_short=True).count() for source, path in paths.items()}

@@ -109,6 +109,32 @@ def test_csv_doubled_quotes_and_ragged_rows(spark, tmp_path):
     assert S.load_csv(spark, path).select("reservation_id").count() == 2  # also when few columns are read
 
 
+def test_read_all_keeps_short_rows_and_counts_long_ones(spark, tmp_path):
+    from staylens.operators.quality import dq_expectations
+    from staylens.plans.pipeline import Pipeline
+
+    head = "reservation_id,segment,room_type,booking_date,check_in_date,check_out_date,nights,rate\n"
+    paths = {
+        "bookings": write_in(tmp_path / "b", "a.csv", head + 'B1,Corporate,"a ""b"", c",2023-01-01,2023-02-01,2023-02-03,2,100\n'
+                             'B2,Corporate,"d, e",2023-01-01,2023-02-01,2023-02-03\nB3,Corporate,x,2023-01-01,2023-02-01,2023-02-03,2,100,more\n'),
+        "cancellations": write_in(tmp_path / "c", "a.csv", "reservation_id,cancellation_date,reason,refund_status\n"
+                                  "B2,2023-01-02,late\nB1,2023-01-03,a,b,c\nB1,2023-01-03,a,b,,\n"),
+        "seasonal_pricing": write_in(tmp_path / "p", "a.csv", "date,season_tag,base_rate,demand_tier\n2023-02-01,Peak,90\n"),
+    }
+    frames, missing, aside = S.read_all(spark, paths, counted=True)
+    assert aside == {"bookings": 1, "cancellations": 2, "seasonal_pricing": 0}
+    got = {r["reservation_id"]: r for r in frames["bookings"].collect()}
+    assert set(got) == {"B1", "B2"} and got["B2"]["room_type"] == "d, e" and got["B2"]["nights"] is None and got["B2"]["rate"] is None
+    assert [tuple(r) for r in frames["cancellations"].collect()] == [("B2", "2023-01-02", "late", None)]
+    assert len(S.read_all(spark, paths)) == 2
+    p = Pipeline.from_frames(frames["bookings"], frames["cancellations"], frames["seasonal_pricing"], missing=missing, set_aside=aside)
+    counts = p.cleaning_counts()
+    assert p.fact.count() == 2 and counts["bookings"]["set_aside"] == 1 and counts["pricing"] == {"set_aside": 0}
+    rules = {r["rule"]: (r["observed"], r["passed"]) for r in dq_expectations(
+        p.raw_bookings, p.raw_cancellations, p.raw_pricing, p.fact, missing=p.missing, set_aside=p.set_aside).collect()}
+    assert rules["set_aside_rows_cancellations"] == (2.0, False) and rules["set_aside_rows_pricing"] == (0.0, True)
+
+
 def test_csv_columns_match_by_name_across_files(spark, tmp_path):
     from staylens.sources import csv as S
 
