@@ -62,7 +62,8 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     # hash of the shingle that starts at each word; those that would leave their text are dropped
     grams = h.copy()
     for k in range(1, width):
-        grams[: len(h) - k] = flat.mix(grams[: len(h) - k] * np.uint64(0x9FB21C651E98DF25) + h[k:])
+        stop = max(0, len(h) - k)  # a piece can hold fewer words than a shingle
+        grams[:stop] = flat.mix(grams[:stop] * np.uint64(0x9FB21C651E98DF25) + h[k:])
     count = np.where(n >= width, n - width + 1, np.minimum(n, 1))
     short = np.flatnonzero((n > 0) & (n < width))
     for i in short:

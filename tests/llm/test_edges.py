@@ -119,6 +119,19 @@ def test_minhash_edges(spark, docs, none):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "4", "5", "6", "7", "8", "None"]
 
 
+def test_minhash_pieces_of_fewer_words_than_a_shingle(spark):
+    import pyarrow as pa
+
+    for width in (3, 5):
+        for n in range(8):
+            sets, bounds = minhash.shingle_sets(pa.array([" ".join("abcdefgh"[:n])], pa.large_string()), width)
+            whole, at = minhash.shingle_sets(pa.array([" ".join("abcdefgh"[:n]), LONG], pa.large_string()), width)
+            assert bounds.tolist() == [0, min(1, n) if n < width else n - width + 1] and sets.tolist() == whole[: at[1]].tolist()
+    rows = spark.createDataFrame([(1, "two words"), (2, "Two words"), (3, "now three words")], "doc_id long, text string").repartition(3, "doc_id")
+    got = {r["id"]: (r["n_shingles"], r["component"]) for r in minhash.near_duplicates(rows, width=5, percent=80).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3)}
+
+
 def edited(base, rate, r):
     return " ".join(w if r.random() > rate else f"new{r.randrange(10**6)}" for w in base)
 
