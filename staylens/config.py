@@ -88,54 +88,30 @@ MIN_FACT_ROWS = 50
 MIN_CLEAN_RETENTION = 0.80
 MIN_FACT_RETENTION = 0.70
 
-#: Date spellings accepted by the mixed-format parser, tried in this order
-#: (month-first when ambiguous, day-first only when the month would exceed 12).
-DATE_FORMATS = (
-    "yyyy-M-d",
-    "yyyy/M/d",
-    "yyyy.M.d",
-    "yyyyMMdd",
-    "M/d/yyyy",
-    "d/M/yyyy",
-    "M-d-yyyy",
-    "d-M-yyyy",
-    "M.d.yyyy",
-    "d.M.yyyy",
-    "M/d/yy",
-    "d/M/yy",
-    "M-d-yy",
-    "d-M-yy",
-    "MMM d yyyy",
-    "MMMM d yyyy",
-    "d MMM yyyy",
-    "d MMMM yyyy",
-    "yyyy MMM d",
-)
-
-#: Shape each date format can accept (a superset of its successful parses).
-#: Used only to skip parse attempts that are certain to fail; a format
-#: without an entry is always tried.
-DATE_FORMAT_SHAPES = {
-    "yyyy-M-d": r"^\d{4,}-\d{1,2}-\d{1,2}$",
-    "yyyy/M/d": r"^\d{4,}/\d{1,2}/\d{1,2}$",
-    "yyyy.M.d": r"^\d{4,}\.\d{1,2}\.\d{1,2}$",
-    "yyyyMMdd": r"^\d{8}$",
-    "M/d/yyyy": r"^(0?[1-9]|1[0-2])/\d{1,2}/\d{4,}$",
-    "d/M/yyyy": r"^\d{1,2}/(0?[1-9]|1[0-2])/\d{4,}$",
-    "M-d-yyyy": r"^(0?[1-9]|1[0-2])-\d{1,2}-\d{4,}$",
-    "d-M-yyyy": r"^\d{1,2}-(0?[1-9]|1[0-2])-\d{4,}$",
-    "M.d.yyyy": r"^(0?[1-9]|1[0-2])\.\d{1,2}\.\d{4,}$",
-    "d.M.yyyy": r"^\d{1,2}\.(0?[1-9]|1[0-2])\.\d{4,}$",
-    "M/d/yy": r"^(0?[1-9]|1[0-2])/\d{1,2}/\d{2}$",
-    "d/M/yy": r"^\d{1,2}/(0?[1-9]|1[0-2])/\d{2}$",
-    "M-d-yy": r"^(0?[1-9]|1[0-2])-\d{1,2}-\d{2}$",
-    "d-M-yy": r"^\d{1,2}-(0?[1-9]|1[0-2])-\d{2}$",
-    "MMM d yyyy": r"^[A-Za-z]{3} \d{1,2} \d{4,}$",
-    "MMMM d yyyy": r"^[A-Za-z]{3,9} \d{1,2} \d{4,}$",
-    "d MMM yyyy": r"^\d{1,2} [A-Za-z]{3} \d{4,}$",
-    "d MMMM yyyy": r"^\d{1,2} [A-Za-z]{3,9} \d{4,}$",
-    "yyyy MMM d": r"^\d{4,} [A-Za-z]{3} \d{1,2}$",
+#: Month names and their short forms, as dates spell them.
+MONTH_NAMES = {
+    "jan": 1, "january": 1,
+    "feb": 2, "february": 2,
+    "mar": 3, "march": 3,
+    "apr": 4, "april": 4,
+    "may": 5,
+    "jun": 6, "june": 6,
+    "jul": 7, "july": 7,
+    "aug": 8, "august": 8,
+    "sep": 9, "sept": 9, "september": 9,
+    "oct": 10, "october": 10,
+    "nov": 11, "november": 11,
+    "dec": 12, "december": 12,
 }
+#: Weekday names and their short forms; they say nothing that the date does not.
+WEEKDAY_NAMES = (
+    "mon", "monday", "tue", "tuesday", "wed", "wednesday", "thu", "thursday",
+    "fri", "friday", "sat", "saturday", "sun", "sunday",
+)
+#: Ordinal endings and joining words inside a date.
+DATE_FILLERS = ("st", "nd", "rd", "th", "of", "and", "at", "on")
+#: Two-digit years from this on lie in the twentieth century.
+TWO_DIGIT_YEAR_PIVOT = 69
 
 
 @dataclass(frozen=True)
@@ -146,7 +122,6 @@ class Config:
     canonical_segments: tuple[str, ...] = CANONICAL_SEGMENTS
     segment_variants: dict[str, str] = field(default_factory=lambda: dict(SEGMENT_VARIANTS))
     null_tokens: tuple[str, ...] = NULL_TOKENS
-    date_formats: tuple[str, ...] = DATE_FORMATS
     #: Largest row count a dimension-like side may have and still be broadcast.
     broadcast_max_rows: int = 2_000_000
     #: Drop the Unknown segment before the variance total (documented intent,

@@ -90,13 +90,13 @@ def _extras(df: DataFrame, known: Sequence[str]) -> list[str]:
 def dedup_bookings(raw: DataFrame, cfg: Config = DEFAULT_CONFIG, *, keep_order: str | None = None,
                    count_as: str | None = None) -> DataFrame:
     """Bookings deduplicated on ``reservation_id`` keeping the latest booking date."""
-    return dedup_latest(raw, "reservation_id", parse_mixed_date("booking_date", cfg.date_formats), cfg,
+    return dedup_latest(raw, "reservation_id", parse_mixed_date("booking_date"), cfg,
                         keep_order=keep_order, count_as=count_as)
 
 
 def parse_booking_dates(df: DataFrame, cfg: Config = DEFAULT_CONFIG) -> DataFrame:
     """Parse the three booking dates; a ``__booking_date`` column from the dedup is reused."""
-    parsed = {c: parse_mixed_date(c, cfg.date_formats) for c in BOOKING_DATES}
+    parsed = {c: parse_mixed_date(c) for c in BOOKING_DATES}
     if "__booking_date" in df.columns:
         parsed["booking_date"] = F.col("__booking_date")
         return df.withColumns(parsed).drop("__booking_date")
@@ -162,7 +162,7 @@ def clean_cancellations(raw: DataFrame, cfg: Config = DEFAULT_CONFIG) -> DataFra
 
 def dedup_cancellations(raw: DataFrame, cfg: Config = DEFAULT_CONFIG, *, count_as: str | None = None) -> DataFrame:
     """Key dedup keeping the latest cancellation date (parsed once, kept as a column)."""
-    return dedup_latest(raw, "reservation_id", parse_mixed_date("cancellation_date", cfg.date_formats), cfg,
+    return dedup_latest(raw, "reservation_id", parse_mixed_date("cancellation_date"), cfg,
                         keep_order="__cancellation_date", count_as=count_as)
 
 
@@ -176,7 +176,7 @@ def finish_cancellations(dedup: DataFrame, cfg: Config = DEFAULT_CONFIG) -> Data
 
 def clean_pricing(raw: DataFrame, cfg: Config = DEFAULT_CONFIG) -> DataFrame:
     """Seasonal pricing: exact duplicates removed, dated, rates numeric."""
-    parsed = drop_exact_dupes(raw).withColumn("date", parse_mixed_date("date", cfg.date_formats))
+    parsed = drop_exact_dupes(raw).withColumn("date", parse_mixed_date("date"))
     return (
         parsed.filter(F.col("date").isNotNull())
         .withColumn("base_rate", to_decimal("base_rate"))
@@ -264,7 +264,7 @@ def cleaning_report(
     )
     gc = distinct_rows(raw_cancellations)
     dedup_c = dedup_latest(gc.drop("__copies"), "reservation_id",
-                           parse_mixed_date("cancellation_date", cfg.date_formats), cfg, keep_order="__parsed")
+                           parse_mixed_date("cancellation_date"), cfg, keep_order="__parsed")
     c_steps = dedup_c.agg(
         F.count(F.lit(1)).alias("key_dedup"),
         F.count_if(F.col("__parsed").isNotNull()).alias("dates_present"),
@@ -274,7 +274,7 @@ def cleaning_report(
     )
     gp = distinct_rows(raw_pricing)
     p_steps = gp.agg(
-        F.count_if(parse_mixed_date("date", cfg.date_formats).isNotNull()).alias("dates_present")
+        F.count_if(parse_mixed_date("date").isNotNull()).alias("dates_present")
     ).select(
         F.lit("pricing").alias("source"),
         F.explode(F.array(step("dates_present", 3, "dates_present"))).alias("s"),

@@ -88,14 +88,15 @@ def profile_dates(sources: Mapping[str, tuple[DataFrame, Sequence[str]]], cfg: C
     for name, (df, cols) in sources.items():
         aggs = []
         for i, c in enumerate(cols):
-            p = parse_mixed_date(c, cfg.date_formats)
+            p = F.col(f"__p{i}")
             aggs += [
                 F.count(c).alias(f"__v{i}"),
                 F.count_if(F.col(c).isNotNull() & p.isNull()).alias(f"__f{i}"),
                 F.min(p).alias(f"__lo{i}"),
                 F.max(p).alias(f"__hi{i}"),
             ]
-        wide = df.agg(*aggs)
+        # parsed in a projection below the aggregate, which uses each date four times
+        wide = df.select(*cols, *[parse_mixed_date(c).alias(f"__p{i}") for i, c in enumerate(cols)]).agg(*aggs)
         structs = [
             F.struct(
                 F.lit(c).alias("column_name"), F.col(f"__v{i}").alias("n_values"), F.col(f"__f{i}").alias("n_failed"),

@@ -2,24 +2,32 @@
 
 ``prelude()`` derives the raw sources from ``orders``/``customer`` with the
 same fixture rules, cleans them, builds the fact and the segmented fact;
-each oracle query is ``WITH <prelude> SELECT ...``.  The literal lists
-(variants, tokens, segments) are generated from ``staylens.config`` so the
-two engines share one source of truth.
+each oracle query is ``WITH <prelude> SELECT ...``.  Its literal lists
+(variants, tokens, segments, date formats) are its own.
 """
 
 from __future__ import annotations
 
-from staylens.config import (
-    ASSUMED_TOTAL_ROOMS,
-    CANONICAL_SEGMENTS,
-    NULL_TOKENS,
-    SEGMENT_VARIANTS,
-    UNKNOWN,
+# The oracle's own copies of the values that results depend on, so that a change on the Spark side shows.
+ASSUMED_TOTAL_ROOMS = 100
+CANONICAL_SEGMENTS = ("Travel Agency", "Direct", "Corporate", "Group", "Walk-in")
+UNKNOWN = "Unknown"
+NULL_TOKENS = ("", "NA", "N/A", "NULL", "null", "None")
+#: The label spellings that occur in the derived sources, trimmed and lower-cased.
+SEGMENT_VARIANTS = {
+    "ta": "Travel Agency", "t/a": "Travel Agency", "travel agency": "Travel Agency",
+    "direct": "Direct", "direct booking": "Direct",
+    "corp": "Corporate", "corporate": "Corporate",
+    "grp": "Group", "groups": "Group",
+    "walk_in": "Walk-in", "walk-in": "Walk-in",
+}
+
+# DuckDB spellings of the date formats the derived sources hold (month-first first).
+DUCK_DATE_FORMATS = (
+    "%Y-%m-%d", "%m/%d/%Y", "%d/%m/%Y", "%m-%d-%Y", "%d-%m-%Y",
+    "%A, %B %d, %Y", "%d %b %Y", "%d%b%Y", "%Y %m %d", "%b %d %Y", "%Y-%m-%d %H:%M:%S", "%Y%m%d", "%b %Y", "%Y-%m",
 )
 
-# DuckDB spellings of the date formats the fixture produces (month-first first).
-DUCK_DATE_FORMATS = ("%Y-%m-%d", "%m/%d/%Y", "%d/%m/%Y", "%m-%d-%Y", "%d-%m-%Y")
-
 
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
@@ -27,7 +35,8 @@ def q(s: str) -> str:
 
 def parse(x: str) -> str:
     fmts = ", ".join(q(f) for f in DUCK_DATE_FORMATS)
-    return f"CAST(try_strptime(trim({x}), [{fmts}]) AS DATE)"
+    plain = f"regexp_replace(regexp_replace(trim({x}), '^([0-9]+)(st|nd|rd|th) ', '\\1 '), '^Sept ', 'Sep ')"
+    return f"CAST(try_strptime({plain}, [{fmts}]) AS DATE)"
 
 
 def tok(x: str) -> str:
@@ -35,15 +44,28 @@ def tok(x: str) -> str:
 
 
 def fmt(d: str) -> str:
+    suffix = (
+        f"CASE WHEN day({d}) IN (1, 21, 31) THEN 'st' WHEN day({d}) IN (2, 22) THEN 'nd' "
+        f"WHEN day({d}) IN (3, 23) THEN 'rd' ELSE 'th' END"
+    )
     return (
-        f"CASE k % 20 WHEN 0 THEN strftime({d}, '%m/%d/%Y') WHEN 1 THEN strftime({d}, '%d/%m/%Y') "
-        f"WHEN 2 THEN strftime({d}, '%m-%d-%Y') ELSE strftime({d}, '%Y-%m-%d') END"
+        f"CASE WHEN k % 20 = 0 THEN strftime({d}, '%m/%d/%Y') WHEN k % 20 = 1 THEN strftime({d}, '%d/%m/%Y') "
+        f"WHEN k % 20 = 2 THEN strftime({d}, '%m-%d-%Y') WHEN k % 160 = 35 THEN strftime({d}, '%A, %B %-d, %Y') "
+        f"WHEN k % 160 = 36 THEN day({d}) || {suffix} || strftime({d}, ' %b %Y') "
+        f"WHEN k % 160 = 37 THEN upper(strftime({d}, '%d%b%Y')) WHEN k % 160 = 38 THEN strftime({d}, '%Y %m %d') "
+        f"WHEN k % 160 = 39 THEN replace(strftime({d}, '%b %-d %Y'), 'Sep ', 'Sept ') "
+        f"WHEN k % 160 = 64 THEN strftime({d}, '%Y-%m-%d 14:30:00') WHEN k % 160 = 67 THEN strftime({d}, '%Y%m%d') "
+        f"ELSE strftime({d}, '%Y-%m-%d') END"
     )
 
 
+def booked(d: str) -> str:
+    return f"CASE k % 160 WHEN 65 THEN strftime({d}, '%b %Y') WHEN 66 THEN strftime({d}, '%Y-%m') ELSE {fmt(d)} END"
+
+
 def seg_norm(x: str) -> str:
     whens = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in sorted(SEGMENT_VARIANTS.items()))
-    return f"COALESCE(CASE lower(trim({x})) {whens} END, {x}, {q(UNKNOWN)})"
+    return f"COALESCE(CASE lower(trim({x}, ' ' || chr(9))) {whens} END, {x}, {q(UNKNOWN)})"
 
 
 def seg_name(x: str) -> str:
@@ -88,20 +110,21 @@ ob3 AS (SELECT *, ci + CASE WHEN k % 61 = 0 THEN 0 ELSE n END AS co FROM ob2),
 rb0 AS (
   SELECT k, 'R' || CAST(k AS VARCHAR) AS reservation_id,
     CASE WHEN k % 29 = 0 THEN NULL
+         WHEN k % 97 = 0 THEN 'None'
          WHEN ms = 'AUTOMOBILE' THEN CASE k % 4 WHEN 0 THEN 'TA' WHEN 1 THEN ' travel agency '
                                                 WHEN 2 THEN 't/a' ELSE 'Travel Agency' END
          WHEN ms = 'BUILDING' THEN CASE WHEN k % 2 = 0 THEN 'DIRECT' ELSE 'Direct Booking' END
-         WHEN ms = 'FURNITURE' THEN CASE WHEN k % 2 = 0 THEN 'Corp' ELSE 'corporate' END
+         WHEN ms = 'FURNITURE' THEN CASE WHEN k % 16 = 6 THEN chr(9) || 'Corp ' WHEN k % 2 = 0 THEN 'Corp' ELSE 'corporate' END
          WHEN ms = 'HOUSEHOLD' THEN CASE WHEN k % 2 = 0 THEN 'GRP' ELSE 'Groups' END
          WHEN ms = 'MACHINERY' THEN CASE WHEN k % 211 = 0 THEN 'Kiosk' WHEN k % 2 = 0 THEN 'walk_in'
                                          ELSE 'Walk-in' END
     END AS segment,
-    CASE WHEN pr = '4-NOT SPECIFIED' THEN NULL ELSE pr END AS room_type,
-    CASE WHEN k % 89 = 0 THEN 'not-a-date' ELSE {fmt('bd')} END AS booking_date,
+    CASE WHEN k % 43 = 0 THEN 'N/A' WHEN pr = '4-NOT SPECIFIED' THEN NULL ELSE pr END AS room_type,
+    CASE WHEN k % 89 = 0 THEN 'not-a-date' ELSE {booked('bd')} END AS booking_date,
     CASE WHEN k % 71 = 0 THEN NULL ELSE {fmt('ci')} END AS check_in_date,
     CASE WHEN k % 83 = 0 THEN NULL ELSE {fmt('co')} END AS check_out_date,
     CAST(n AS VARCHAR) AS nights,
-    CASE WHEN k % 17 = 0 THEN NULL ELSE CAST(rt AS VARCHAR) END AS rate
+    CASE WHEN k % 53 = 0 THEN 'NA' WHEN k % 17 = 0 THEN NULL ELSE CAST(rt AS VARCHAR) END AS rate
   FROM ob3
 ),
 raw_bookings AS (
@@ -115,9 +138,9 @@ raw_bookings AS (
 ),
 rc0 AS (
   SELECT k, 'R' || CAST(k AS VARCHAR) AS reservation_id,
-    CASE WHEN k % 10 = 0 THEN strftime(ci, '%m/%d/%Y') ELSE strftime(ci, '%Y-%m-%d') END AS cancellation_date,
-    CASE WHEN k % 7 = 0 THEN NULL WHEN k % 4 = 0 THEN 'price' ELSE 'plans' END AS reason,
-    CASE WHEN k % 19 = 0 THEN NULL ELSE 'full' END AS refund_status
+    CASE WHEN k % 34 = 0 THEN 'to be confirmed' WHEN k % 10 = 0 THEN strftime(ci, '%m/%d/%Y') ELSE strftime(ci, '%Y-%m-%d') END AS cancellation_date,
+    CASE WHEN k % 7 = 0 THEN NULL WHEN k % 12 = 0 THEN 'NULL' WHEN k % 4 = 0 THEN 'price' ELSE 'plans' END AS reason,
+    CASE WHEN k % 38 = 0 THEN 'null' WHEN k % 19 = 0 THEN NULL ELSE 'full' END AS refund_status
   FROM ob3 WHERE st = 'P' AND k % 2 = 0
 ),
 raw_cancellations AS (
@@ -130,13 +153,17 @@ pd0 AS (
            + CAST(CASE WHEN o_orderkey % 37 = 0 THEN -2 ELSE o_custkey % 120 END AS INTEGER) AS d
   FROM orders
 ),
+pd1 AS (
+  SELECT d, false AS second FROM pd0 UNION ALL SELECT d, false FROM pd0 WHERE day(d) % 10 = 0
+  UNION ALL SELECT d, true FROM pd0 WHERE month(d) = 6 AND day(d) = 14
+),
 raw_pricing AS (
-  SELECT strftime(d, '%Y-%m-%d') AS date,
+  SELECT CASE WHEN second THEN '1985-06-01' ELSE strftime(d, '%Y-%m-%d') END AS date,
     CASE WHEN month(d) IN (12, 1) THEN 'Holiday' WHEN month(d) BETWEEN 3 AND 5 THEN 'Shoulder'
          WHEN month(d) BETWEEN 6 AND 8 THEN 'Peak' ELSE 'Off' END AS season_tag,
-    CAST(80 + (day(d) % 30) * 3 AS VARCHAR) AS base_rate,
+    CAST(80 + (day(d) % 30) * 3 + CASE WHEN second THEN year(d) % 100 ELSE 0 END AS VARCHAR) AS base_rate,
     CASE WHEN day(d) % 3 = 0 THEN 'High' ELSE 'Low' END AS demand_tier
-  FROM pd0 WHERE month(d) <> 2
+  FROM pd1 WHERE month(d) <> 2
 ),
 b_tok AS (SELECT {', '.join(tok(c) for c in B_COLS)} FROM raw_bookings),
 c_tok AS (SELECT {', '.join(tok(c) for c in C_COLS)} FROM raw_cancellations),

@@ -94,3 +94,46 @@ def test_unicode_padding_and_wide_money(spark):
     rows = df.select(normalise_segment("s"), to_decimal("m"), to_whole_number("m")).collect()
     assert [r[0] for r in rows] == ["Direct", "Travel Agency", "Corporate"]
     assert [r[1] for r in rows] == [Decimal("12345678901.00"), Decimal("99.995"), None]
+
+
+@pytest.mark.parametrize("raw, want", [
+    ("Friday, February 3, 2023", (2023, 2, 3)), ("Fri Feb 3 2023", (2023, 2, 3)), ("3 Feb 2023 Friday", (2023, 2, 3)),
+    ("Feb 2023", (2023, 2, 1)), ("2023 Feb", (2023, 2, 1)), ("2023-02", (2023, 2, 1)), ("02/2023", (2023, 2, 1)), ("2023", (2023, 1, 1)),
+    ("3rd Feb 2023", (2023, 2, 3)), ("Feb 3rd, 2023", (2023, 2, 3)), ("21st of May 2023", (2023, 5, 21)),
+    ("03FEB2023", (2023, 2, 3)), ("03feb23", (2023, 2, 3)), ("2023 02 03", (2023, 2, 3)), ("Sept 3 2023", (2023, 9, 3)), ("Sept. 3 2023", (2023, 9, 3)),
+    ("2023Q3", (2023, 7, 1)), ("3Q2023", (2023, 7, 1)), ("2023-Q3", (2023, 7, 1)), ("2023 3 Feb", (2023, 2, 3)), ("99-12-31", (1999, 12, 31)),
+    ("20230203101500", (2023, 2, 3)), ("20230203T101500", (2023, 2, 3)), ("10:30 PM Feb 3 2023", (2023, 2, 3)), ("3 Feb, 2023 at 10:00", (2023, 2, 3)),
+    ("2023-034", None), ("1675382400", None), ("2023-W05-5", None), ("Feb 3", None), ("Feb 30 2023", None), ("13/2023", None), ("2023-13", None),
+    ("the 3rd Feb 2023", None), ("Q1 2023", None), ("2023_02_03", None), ("0000-01-01", None), ("may", None), ("20230230", None),
+])
+def test_date_grammar(spark, raw, want):
+    got = spark.createDataFrame([(raw,)], "d string").select(parse_mixed_date("d")).first()[0]
+    assert got == (dt.date(*want) if want else None)
+
+
+SPELLINGS = (
+    "%Y-%m-%d", "%A, %B %d, %Y", "%a %b %d %Y", "%d%b%Y", "%Y %m %d", "%b %Y", "%Y-%m", "%m/%Y", "%Y", "%B %d, %Y", "%d %B %Y", "%d-%b-%y",
+    "%Y%m%d", "%m/%d/%y", "%d/%m/%Y", "%m.%d.%Y", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M", "%m/%d/%Y %I:%M %p", "%Y/%m/%d", "%y%m%d", "%Y %d %b",
+    "%H:%M %Y-%m-%d", "%b %d %Y %I %p", "%Y%m%dT%H%M%S", "%Y%m%d%H%M%S", "%Y-%b-%d", "%d/%b/%Y", "%b. %d, %Y", "%d.%m.%y", "%y-%m-%d",
+    "%A %d %B %Y at %H:%M", "%d-%m-%Y", "%m-%d-%Y",
+)
+
+
+def test_dates_as_pandas_infers_them(spark):
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(7)
+    values = sorted({
+        dt.datetime(rng.randint(1980, 2060), rng.randint(1, 12), rng.randint(1, 28), rng.randint(0, 23), rng.randint(0, 59), rng.randint(0, 59)).strftime(f)
+        for f in SPELLINGS for _ in range(20)
+    })
+    got = _one(spark, parse_mixed_date("s"), values)
+    want = [pd.to_datetime(pd.Series([v]), errors="coerce", format="mixed")[0] for v in values]
+    assert [(v, g) for v, g, w in zip(values, got, want, strict=True) if g != (None if pd.isna(w) else w.date())] == []
+
+
+def test_date_expression_stays_small(spark):
+    df = spark.range(1).select(F.lit("x").alias("s")).select(parse_mixed_date("s").alias("d"))
+    assert len(df._jdf.queryExecution().analyzed().toString()) < 8_000

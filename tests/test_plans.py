@@ -5,9 +5,13 @@ import pytest
 import __spark_entry__ as E
 from staylens.operators import clean as C
 from staylens.operators import fact as FT
+from staylens.plans import registry
+from staylens.plans.materialize import materialize
 from staylens.plans.pipeline import pipeline
 
-PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF")
+#: Physical operators that hand rows to Python workers.
+PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "FlatMapGroupsInArrow", "FlatMapCoGroups", "MapInPandas", "MapInArrow",
+                "PythonUDF", "AggregateInPandas", "WindowInPandas")
 BAD_JOINS = ("CartesianProduct", "BroadcastNestedLoopJoin")
 
 
@@ -15,13 +19,32 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("key", sorted(set(E.queries()) - {"load_roundtrip"}))
+@pytest.mark.parametrize("key", sorted(set(registry.queries()) - {"load_roundtrip"}))
 def test_no_python_and_no_pairwise_joins(spark, small_sf, key):
+    """The query's own plan; the plans of the tables that it reads are in ``test_written_tables_...``."""
     plan = plan_of(E.queries()[key](spark, small_sf))
     assert not any(n in plan for n in PYTHON_NODES), plan
     assert not any(n in plan for n in BAD_JOINS), plan
 
 
+def test_written_tables_need_no_python_and_no_pairwise_joins(spark, small_sf, monkeypatch):
+    """Every plan that a fresh build writes: clean tables, prices, fact and rollup."""
+    from staylens.plans import pipeline as P
+
+    seen = {}
+
+    def spy(df, name, *args, **kwargs):
+        seen[name] = plan_of(df)
+        return materialize(df, name, *args, **kwargs)
+
+    monkeypatch.setattr(P, "materialize", spy)
+    P.Pipeline(spark, small_sf).segment_daily  # noqa: B018
+    assert set(seen) >= {"bookings_clean", "cancellations_clean", "pricing_clean", "fact_base", "segment_daily"}
+    for name, plan in seen.items():
+        assert not any(n in plan for n in PYTHON_NODES), (name, plan)
+        assert not any(n in plan for n in BAD_JOINS), (name, plan)
+
+
 def _pushed(spark, df) -> list[str]:
     plan = df._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
@@ -104,3 +127,15 @@ def test_plan_export_shows_final_plan_with_scan_details(spark, small_sf):
         spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "isFinalPlan=true" in text
     assert "PushedFilters" in text and "ReadSchema" in text and "Corporate" in text
+
+
+def test_the_build_compiles(spark, small_sf):
+    """No part of the build is too large for code generation (Spark would only log that and go on, slowly)."""
+    from staylens.plans.pipeline import Pipeline
+
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        p = Pipeline(spark, small_sf)
+        assert p.segment_daily.count() > 0 and p.fact.count() == p.stats["fact_rows"]
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
