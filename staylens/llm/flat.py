@@ -88,3 +88,10 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     got = sums[ends] - sums[starts]
     got *= powers(INVERSE, len(raw))[starts]
     return mix(got + (ends - starts).astype(np.uint64))
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All positions of spans, one span after another."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.arange(total) + np.repeat(starts - (ends - sizes), sizes)

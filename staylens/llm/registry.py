@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.llm import chat, html, langid, minhash, mixing, pivots, quality, shard, unigram, warc
+from staylens.llm import align, bytebpe, chat, html, langid, minhash, mixing, pivots, quality, shard, unigram, variants, warc
 from staylens.llm.common import table
 from staylens.llm.oracle import SQL
-from staylens.plans.materialize import scratch_path
+from staylens.plans.materialize import materialize, scratch_path
 
 N_SHARDS = 24
 
@@ -132,6 +132,40 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The vocabularies that op11 and op13 encode with.
+BYTE_RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def op11_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every document, and the text read back from ids and offsets."""
+    ranks = bytebpe.load(BYTE_RANKS)
+    encoded = bytebpe.encode(table(spark, sf_dir, "documents"), ranks, keep=["doc_id"])
+    ids = F.sha2("ids", 256).alias("ids_sha256")
+    back = bytebpe.decode(encoded.select("*", ids), ranks, keep=["doc_id", "n_tokens", "ids_sha256"])
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the corpus that is frequent enough, its near words and the spelling that it is a variant of."""
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of two tokenizers' tokens of every document, and how frequent its pairs of ids are in all documents."""
+    a, b = bytebpe.load(BYTE_MODEL), align.load_pieces(PIECE_MODEL)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    found = align.align(docs, a, b, keep=["doc_id", "row"])
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    narrow, _ = materialize(found.select("doc_id", "row", "n_a", "n_b", "n_groups", "n_links", digest, "pairs"), "aligned")
+    scores = align.link_scores(narrow, len(b.sizes), row_col="row")
+    none = F.lit(0).cast("long")
+    return narrow.drop("pairs").join(scores.hint("merge"), "row", "left").select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links",
+        F.coalesce("n_best", none).alias("n_best"), F.coalesce("count_sum", none).alias("count_sum"), "groups_sha256",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -144,6 +178,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html": op8_html,
         "op9_mixing": op9_mixing,
         "op10_shard": op10_shard,
+        "op11_bytebpe": op11_bytebpe,
+        "op12_variants": op12_variants,
+        "op13_align": op13_align,
     }
 
 

@@ -20,7 +20,7 @@ def test_query_matches_sql(spark, small_sf, duck, key):
 
 def test_entry_registers_every_operator_and_the_pipeline():
     names = E.queries()
-    assert {n for n in range(1, 11) if any(k.startswith(f"op{n}_") for k in names)} == set(range(1, 11))
+    assert {n for n in range(1, 14) if any(k.startswith(f"op{n}_") for k in names)} == set(range(1, 14))
     assert "pipeline" in names
 
 
