@@ -90,34 +90,6 @@ def invert_schedule(share: Column, knots: Sequence[tuple[float, float]]) -> Colu
     return out.otherwise(F.lit(float(knots[-1][0])))
 
 
-def _one_closing(rows: DataFrame, n_sources: int) -> DataFrame:
-    """``rows`` with ``__more`` (taken in the last, partial pass) and ``__cut``: a stretch and one closing document."""
-    w = F.col("size") * F.col("n_rows")
-    # the open rest of each source, and the one untaken document that fits it best
-    open_rest = rows.groupBy("source").agg(
-        (F.first("__rest") - F.coalesce(F.sum(F.when(F.col("__in"), w)), F.lit(0))).alias("__open")
-    )
-    gap = F.abs(w - F.col("__open"))
-    closing = (
-        rows.filter(~F.col("__in") & (F.col("size") > 0))
-        .join(bounded_broadcast(open_rest.withColumnRenamed("source", "__t"), BROADCAST_SOURCES, n_sources),
-              F.col("source").eqNullSafe(F.col("__t")))
-        .filter(gap < F.col("__open"))
-        .groupBy("source")
-        .agg(F.min(F.struct(gap.alias("g"), F.col("__end").alias("e"))).alias("c"))
-        .select(F.col("source").alias("__t"), F.col("c.e").alias("__close"))
-    )
-    closing, _ = materialize(closing, "mix-closing")
-    last = bounded_broadcast(closing, BROADCAST_SOURCES, n_sources)
-    closes = (F.col("__end") == F.col("__close")) & (F.col("size") > 0)
-    return (
-        rows.join(last, F.col("source").eqNullSafe(F.col("__t")), "left")
-        .withColumn("__more", F.col("__in") | F.coalesce(closes, F.lit(False)))
-        .withColumn("__cut", F.col("__rest"))
-        .drop("__t", "__close")
-    )
-
-
 def _fillings(rows: DataFrame, n_sources: int) -> DataFrame:
     """``rows`` with ``__more`` (taken in the last, partial pass) and ``__cut`` (the end of the plain stretch).
 
@@ -219,7 +191,6 @@ def mix_plan(
     total_ratio: float = 1.5,
     max_ratio: float = 2.0,
     seed: int = 0,
-    fill: bool = True,
 ) -> DataFrame:
     """One row per distinct (id, source, size): how often it is taken, and when.
 
@@ -229,9 +200,7 @@ def mix_plan(
     training position in [0, 1] per copy).  A source of ratio 1.3 is read
     through once, then 0.3 of its words again: a stretch of an order hashed
     from the id, then whatever untaken documents fill the open rest (see
-    ``_fillings``), until none fits.  Without ``fill`` the stretch ends at the
-    first document that does not fit, and the one untaken document whose size
-    fits the open rest best closes it.  No row is taken more than ``ceil(max_ratio)`` times.  Null text:
+    ``_fillings``), until none fits.  No row is taken more than ``ceil(max_ratio)`` times.  Null text:
     size 0.  Null source: a source of its own, ranked last.  Null id: allowed.
     An empty table gives no rows; further columns are ignored.
     """
@@ -277,12 +246,11 @@ def mix_plan(
         .withColumn("__end", F.col("__run") + F.col("__off"))
         .withColumn("__full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
         .withColumn("__rest", F.col("target") - F.col("__full") * F.col("source_size"))
-        .withColumn("__in", F.col("__end") <= F.col("__rest"))
         .drop("__s", "__p", "__t", "__run", "__off")
     )
     rows, _ = materialize(rows, "mix-order")
 
-    rows = (_fillings if fill else _one_closing)(rows, n_sources)
+    rows = _fillings(rows, n_sources)
     copies = F.col("__full") + F.when(F.col("__more"), 1).otherwise(0)
 
     # the k-th copy is consumed when the source has delivered k passes plus the words before it; in the last,
@@ -290,7 +258,7 @@ def mix_plan(
     mid = F.col("__end") - w / 2
     left = (F.col("__rest") - F.col("__cut")) / F.greatest(F.col("source_size") - F.col("__cut"), F.lit(1.0))
     last = F.when(mid > F.col("__cut"), F.col("__cut") + (mid - F.col("__cut")) * left).otherwise(mid)
-    at = lambda k: F.when(k < F.col("__full"), mid).otherwise(last) if fill else mid
+    at = lambda k: F.when(k < F.col("__full"), mid).otherwise(last)
     share = lambda k: F.when(F.col("target") > 0, F.least((k * F.col("source_size") + at(k)) / F.col("target"), F.lit(1.0))).otherwise(0.0)
     def when(u: Column) -> Column:
         out = None

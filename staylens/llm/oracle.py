@@ -119,17 +119,43 @@ WITH u AS (
     CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size)::BIGINT ELSE 0 END AS passes
   FROM u JOIN t ON t.source IS NOT DISTINCT FROM u.source
 ), i AS (
-  SELECT *, target - passes * source_size AS rest, e <= target - passes * source_size AS inside FROM o
-), g AS (
-  SELECT source, any_value(rest) - coalesce(sum(size * n) FILTER (inside), 0) AS room FROM i GROUP BY source
+  SELECT *, size * n AS w, target - passes * source_size AS rest FROM o
+), b AS (
+  -- of each source, size and share of the open rest that may be a plain stretch: documents after it, words inside it
+  SELECT source, w, share, any_value(rest) AS rest, any_value(target) AS target,
+    count(*) FILTER (e > rest * share) AS n, coalesce(sum(w) FILTER (e <= rest * share), 0) AS inside
+  FROM i, (VALUES (1.0::DOUBLE), (0.5::DOUBLE), (0.25::DOUBLE), (0.0::DOUBLE)) AS shares(share) WHERE w > 0 GROUP BY source, w, share
 ), c AS (
-  SELECT i.source, min({'a': abs(i.size * i.n - g.room), 'e': i.e}) AS best
-  FROM i JOIN g ON g.source IS NOT DISTINCT FROM i.source
-  WHERE NOT inside AND size > 0 AND abs(i.size * i.n - g.room) < g.room GROUP BY i.source
+  SELECT source, share, any_value(rest) AS rest, any_value(target) AS target, sum(inside) AS inside,
+    coalesce(list({'w': w::BIGINT, 'n': n::BIGINT, 'room': 0::DOUBLE, 'picks': []::STRUCT(w BIGINT, k BIGINT)[]} ORDER BY w DESC) FILTER (w <= 2 * rest), []) AS sizes
+  FROM b GROUP BY source, share
+), f AS (
+  -- the longest documents first, as many of each size as fit
+  SELECT *, list_reduce([{'w': 0::BIGINT, 'n': 0::BIGINT, 'room': (rest - inside)::DOUBLE, 'picks': []::STRUCT(w BIGINT, k BIGINT)[]}] || sizes,
+    lambda a, x: CASE WHEN least(x.n, floor(a.room / x.w)::BIGINT) > 0
+      THEN {'w': 0::BIGINT, 'n': 0::BIGINT, 'room': a.room - least(x.n, floor(a.room / x.w)::BIGINT) * x.w,
+            'picks': a.picks || [{'w': x.w, 'k': least(x.n, floor(a.room / x.w)::BIGINT)}]}
+      ELSE a END) AS got
+  FROM c
+), g AS (
+  -- one more document may close the gap from above
+  SELECT *, list_min([x.w FOR x IN sizes IF x.w > got.room AND x.w < 2 * got.room AND x.n > 0
+    AND len([p FOR p IN got.picks IF p.w = x.w AND p.k >= x.n]) = 0]) AS closing FROM f
+), h AS (
+  SELECT source, rest * share AS cut, got.picks || CASE WHEN closing IS NULL THEN [] ELSE [{'w': closing, 'k': 1::BIGINT}] END AS picks,
+    row_number() OVER (PARTITION BY source ORDER BY
+      CASE WHEN coalesce(closing - got.room, got.room) <= target * 0.01 THEN 0 ELSE coalesce(closing - got.room, got.room) END, share DESC) AS place
+  FROM g
+), p AS (
+  SELECT source, x.w AS w, sum(x.k) AS k FROM (SELECT source, unnest(picks) AS x FROM h WHERE place = 1) GROUP BY source, x.w
+), z AS (
+  SELECT i.*, coalesce(h.cut, i.rest) AS cut, coalesce(p.k, 0) AS k,
+    row_number() OVER (PARTITION BY i.source, i.w, i.e <= coalesce(h.cut, i.rest) ORDER BY i.e) AS nth
+  FROM i LEFT JOIN h ON h.source IS NOT DISTINCT FROM i.source AND h.place = 1
+    LEFT JOIN p ON p.source IS NOT DISTINCT FROM i.source AND p.w = i.w
 )
-SELECT doc_id, size, source_size, target,
-  (size * (passes + CASE WHEN inside OR coalesce(e = c.best.e AND size > 0, false) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM (SELECT *, unnest(range(0, n)) FROM i) i LEFT JOIN c ON c.source IS NOT DISTINCT FROM i.source
+SELECT doc_id, size, source_size, target, (size * (passes + CASE WHEN e <= cut OR nth <= k THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM (SELECT *, unnest(range(0, n)) FROM z)
 """
 
 VARIANTS = r"""

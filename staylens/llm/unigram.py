@@ -18,8 +18,9 @@ The bound of a node is its exact maximum, so each opening emits a sample.  The
 probabilities.
 
 No piece spans from a word into the next space, so lattices are built once for
-each distinct spaced word of a batch, all positions side by side in numpy; a
-text is a chain of such lattices.  Random numbers come from hashes of (row key,
+each distinct spaced word of a batch, all positions side by side in numpy, and
+those of words that come again in later batches are kept by the task; a text is
+a chain of such lattices.  Random numbers come from hashes of (row key,
 sample, word, step): results do not depend on batches, tasks or reruns.
 """
 
@@ -40,6 +41,8 @@ from staylens.llm import flat
 SPACE = "▁"
 #: Bytes of text whose lattices are held at once: about 150 bytes of memory for each.
 PIECE_BYTES = 3 << 18
+#: Bytes of units whose lattices a task keeps, and units whose hashes it remembers to find those that come again.
+SHARED_BYTES, MET_UNITS = 1 << 19, 1 << 19
 TABLE_BITS = 19
 M64 = (1 << 64) - 1
 GOLDEN = 0x9E3779B97F4A7C15
@@ -136,19 +139,18 @@ class Lattice:
     width: np.ndarray  # bytes of the edge
     logp: np.ndarray  # log-probability of the edge at its position
     cum: np.ndarray  # cumulated probability of a position's edges, the last above 1
-    log_rest: np.ndarray  # log(1 - probability)
 
 
 def lattice(v: Vocabulary, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Lattice:
     """All edges and their exact conditional probabilities, for units laid out one after another in ``raw``."""
-    limit = np.repeat(ends, ends - starts)
-    lead = np.flatnonzero((raw < 0x80) | (raw >= 0xC0))
+    limit = np.repeat(ends.astype(np.int32), ends - starts)
+    lead = np.flatnonzero((raw < 0x80) | (raw >= 0xC0)).astype(np.int32)
     # walk the trie from every character at once
     froms, tos, ids = [], [], []
     pos, state, depth = lead, np.zeros(len(lead), np.int32), 0
     single = np.zeros(len(raw), bool)  # a piece covers just this character
-    char_end = np.append(lead[1:], len(raw))
-    ends_char = np.zeros(len(raw) + 1, np.int64)
+    char_end = np.append(lead[1:], np.int32(len(raw)))
+    ends_char = np.zeros(len(raw) + 1, np.int32)
     ends_char[lead] = char_end
     while len(pos):
         state = _step(v, state, raw[pos + depth])
@@ -156,10 +158,11 @@ def lattice(v: Vocabulary, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray
         ok = state >= 0
         pos, state = pos[ok], state[ok]
         hit = v.final[state] >= 0
-        froms.append(pos[hit])
-        tos.append(pos[hit] + depth)
+        at = pos[hit]
+        froms.append(at)
+        tos.append(at + np.int32(depth))
         ids.append(v.final[state[hit]])
-        single[pos[hit][ends_char[pos[hit]] == pos[hit] + depth]] = True
+        single[at[ends_char[at] == tos[-1]]] = True
         ok = pos + depth < limit[pos]
         pos, state = pos[ok], state[ok]
     bare = lead[~single[lead]]
@@ -168,19 +171,19 @@ def lattice(v: Vocabulary, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray
     ids.append(np.full(len(bare), -1, np.int32))
     a, b, piece = np.concatenate(froms), np.concatenate(tos), np.concatenate(ids)
     # positions in order of their distance from the unit's end, so that sums run backwards
-    dist = limit - np.arange(len(raw))
-    order = np.argsort(dist[a] << 33 | a << 6 | 63 - (b - a))  # longest edge first: it is taken most often
+    dist = limit - np.arange(len(raw), dtype=np.int32)
+    order = np.argsort(dist[a].astype(np.int64) << 33 | a.astype(np.int64) << 6 | 63 - (b - a))  # longest edge first: it is taken most often
     a, b, piece = a[order], b[order], piece[order]
     w = np.where(piece >= 0, v.weights[piece], v.byte_weight * (b - a))
     new = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
     nodes = a[new]
     beta = np.full(len(raw) + 1, 0.0)
     stop = limit[a] == b
-    after = np.where(stop, len(raw), b)  # the unit's end counts as log 1
+    after = np.where(stop, np.int32(len(raw)), b)  # the unit's end counts as log 1
     steps = np.flatnonzero(np.concatenate([[True], np.diff(dist[nodes]) != 0])) if len(nodes) else np.zeros(0, np.int64)
     bounds = np.append(steps, len(nodes))
     edge_at = np.append(new, len(a))
-    logp = np.empty(len(a))
+    logp, cum = np.empty(len(a)), np.empty(len(a))
     for x, y in zip(bounds[:-1], bounds[1:], strict=True):
         lo, hi = edge_at[x], edge_at[y]
         value = w[lo:hi] + beta[after[lo:hi]]
@@ -188,20 +191,82 @@ def lattice(v: Vocabulary, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray
         n = np.diff(np.append(head, hi - lo))
         top = np.maximum.reduceat(value, head)
         value -= np.repeat(top, n)
-        total = np.log(np.add.reduceat(np.exp(value), head))
-        logp[lo:hi] = value - np.repeat(total, n)
+        share = np.exp(value)
+        total = np.add.reduceat(share, head)
+        np.divide(share, np.repeat(total, n), out=cum[lo:hi])
+        total = np.log(total)
+        np.subtract(value, np.repeat(total, n), out=logp[lo:hi])
         beta[nodes[x:y]] = top + total
     n = np.diff(edge_at)
-    p = np.exp(logp)
-    cum = np.cumsum(p)
+    for k in range(1, int(n.max(initial=1))):  # edge after edge of a position, so that no unit depends on its neighbours
+        more = new[n > k] + k
+        cum[more] += cum[more - 1]
     if len(new):
-        cum -= np.repeat(np.concatenate([[0.0], cum])[new], n)
         cum[edge_at[1:] - 1] = 2.0  # the last edge of a position takes the rest
     first = np.zeros(len(raw) + 1, np.int64)
     first[nodes] = new
-    with np.errstate(divide="ignore"):
-        log_rest = np.where(np.repeat(n, n) == 1, -np.inf, np.log(np.maximum(-np.expm1(np.minimum(logp, 0.0)), 0.0)))
-    return Lattice(raw, first, a, np.where(stop, -1, b), piece, b - a, logp, cum, log_rest)
+    return Lattice(raw, first, a, np.where(stop, np.int32(-1), b), piece, b - a, logp, cum)
+
+
+def joined(x: Lattice, y: Lattice) -> Lattice:
+    """Both lattices, the units of ``y`` after those of ``x``."""
+    bytes_x, edges_x = len(x.raw), len(x.source)
+    both = lambda name: np.concatenate([getattr(x, name), getattr(y, name)])
+    return Lattice(
+        both("raw"), np.concatenate([x.first[:-1], y.first + edges_x]), np.concatenate([x.source, y.source + np.int32(bytes_x)]),
+        np.concatenate([x.target, np.where(y.target < 0, np.int32(-1), y.target + np.int32(bytes_x))]), *map(both, ("piece", "width", "logp", "cum")),
+    )
+
+
+class Shared:
+    """Lattices of units that a task has met in several batches, up to ``SHARED_BYTES`` of them.
+
+    A batch builds lattices only for its other units; what is sampled does not depend on that.
+    """
+
+    def __init__(self, v: Vocabulary):
+        none = np.zeros(0, np.int64)
+        self.v, self.lat = v, lattice(v, np.zeros(0, np.uint8), none, none)
+        self.hashes, self.begin = np.zeros(0, np.uint64), none
+        self.met = self.hashes
+
+    def lattices(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[Lattice, np.ndarray]:
+        """(lattice, begin) of units that differ from each other, in order of their hashes; ``begin`` is where each lies in it."""
+        at = np.searchsorted(self.hashes, hashes)
+        known = np.zeros(len(hashes), bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == hashes[inside]
+        lat, own = self._own(raw, starts[~known], ends[~known])
+        begin = np.empty(len(hashes), np.int64)
+        begin[known], begin[~known] = self.begin[at[known]], own + len(self.lat.raw)
+        out = joined(self.lat, lat)
+        self._learn(raw, starts[~known], ends[~known], hashes[~known])
+        return out, begin
+
+    def _own(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[Lattice, np.ndarray]:
+        size = ends - starts
+        begin = np.cumsum(size) - size
+        return lattice(self.v, raw[flat.ranges(starts, size)], begin, begin + size), begin
+
+    def _learn(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
+        room = SHARED_BYTES - len(self.lat.raw)
+        if room <= 0:
+            self.met = self.met[:0]
+            return
+        if not len(hashes):
+            return
+        at = np.minimum(np.searchsorted(self.met, hashes), max(0, len(self.met) - 1))
+        old = self.met[at] == hashes if len(self.met) else np.zeros(len(hashes), bool)
+        again = np.flatnonzero(old)
+        again = again[np.cumsum((ends - starts)[again]) <= room]
+        self.met = np.sort(np.concatenate([self.met, hashes[~old]])) if len(self.met) < MET_UNITS else hashes
+        if len(again):
+            more, begin = self._own(raw, starts[again], ends[again])
+            all_begin = np.concatenate([self.begin, begin + len(self.lat.raw)])
+            self.lat = joined(self.lat, more)
+            hashes = np.concatenate([self.hashes, hashes[again]])
+            order = np.argsort(hashes)
+            self.hashes, self.begin = hashes[order], all_begin[order]
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
@@ -287,7 +352,7 @@ def _path(lat: Lattice, edges: np.ndarray, units: np.ndarray) -> Path:
         if n == len(edges) or before[-1] < NOTHING:
             break
         n = min(len(edges), n * 4)
-    leave = np.exp(before[:-1] + lat.log_rest[edges[:n]])
+    leave = np.exp(before[:-1]) * -np.expm1(np.minimum(logp[:n], 0.0))
     return Path(edges, units, before, leave, float(logp.sum()))
 
 
@@ -378,22 +443,18 @@ def units_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[keep], np.minimum(ends[keep], end[doc[keep]])
 
 
-def sample_texts(v: Vocabulary, texts: pa.Array, keys: np.ndarray, k: int) -> Iterator[tuple[list[tuple[Path, float]], float, Lattice]]:
+def sample_texts(v: Vocabulary, texts: pa.Array, keys: np.ndarray, k: int, shared: Shared | None = None) -> Iterator[tuple[list[tuple[Path, float]], float, Lattice]]:
     """``top_k`` of every text, with the lattice that its edges refer to."""
     raw, at = flat.spaced(texts)
     starts, ends = units_of(raw, at)
     doc = np.searchsorted(at - 1, starts, side="right") - 1
     hashes = flat.span_hashes(raw, starts, ends) if len(starts) else np.zeros(0, np.uint64)
-    _, some, which = np.unique(hashes, return_index=True, return_inverse=True)
-    # distinct units one after another
-    size = (ends - starts)[some]
-    begin = np.concatenate([[0], np.cumsum(size)])
-    own = raw[np.arange(begin[-1]) - np.repeat(begin[:-1] - starts[some], size)]
-    lat = lattice(v, own, begin[:-1], begin[1:])
+    own, some, which = np.unique(hashes, return_index=True, return_inverse=True)
+    lat, begin = (shared or Shared(v)).lattices(raw, starts[some], ends[some], own)
     bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
     index = (np.arange(len(starts)) - bounds[doc]).astype(np.uint64)
     row = keys[doc] + index * np.uint64(0xD1342543DE82EF95)
-    draws = [draw(lat, begin[:-1][which], flat.mix(row ^ np.uint64((s + 1) * 0xA24BAED4963EE407 & M64))) for s in range(k)]
+    draws = [draw(lat, begin[which], flat.mix(row ^ np.uint64((s + 1) * 0xA24BAED4963EE407 & M64))) for s in range(k)]
 
     for i in range(len(texts)):
         a, b = bounds[i], bounds[i + 1]
@@ -428,6 +489,29 @@ def decode(v: Vocabulary, ids) -> str:
     return b"".join([v.pieces[i] for i in ids])[1:].decode()
 
 
+class Decoder:
+    """Checks that piece sequences decode to texts, for many at once."""
+
+    def __init__(self, v: Vocabulary):
+        self.sizes = np.array([len(p) for p in v.pieces], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.blob = np.frombuffer(b"".join(v.pieces), np.uint8)
+
+    def __call__(self, ids: np.ndarray, stops: np.ndarray, owner: np.ndarray, texts: pa.Array) -> list[bool]:
+        """For each text whether all its sequences (``ids[stops[s]:stops[s + 1]]`` of text ``owner[s]``) are a space and the text."""
+        size = self.sizes[ids]
+        data = self.blob[flat.ranges(self.starts[ids], size)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(size)])[stops].tolist()
+        at = flat.offsets(texts)
+        raw = texts.buffers()[2].slice(int(at[0]), int(at[-1] - at[0])).to_pybytes() if len(texts) and at[-1] > at[0] else b""
+        at = (at - at[0]).tolist()
+        good = [True] * len(texts)
+        for s, i in enumerate(owner.tolist()):
+            x, y = ends[s], ends[s + 1]
+            good[i] &= data[x : x + 1] == b" " and data[x + 1 : y] == raw[at[i] : at[i + 1]]
+        return good
+
+
 SAMPLES = "array<struct<ids:array<int>,logprob:double,perturbed:double,log_inclusion:double>>"
 
 
@@ -448,6 +532,7 @@ def encode(docs: DataFrame, v: Vocabulary, *, k: int = 2, keep: list[str], id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
+        shared, decodes = Shared(v), Decoder(v)
         for batch in batches:
             texts = flat.strings(batch.column(batch.num_columns - 1))
             keys = batch.column(batch.num_columns - 2).to_numpy().view(np.uint64)
@@ -455,7 +540,7 @@ def encode(docs: DataFrame, v: Vocabulary, *, k: int = 2, keep: list[str], id_co
                 part = texts.slice(a, b - a)
                 edges, n_edges, rows, lat = [], [], [0], None
                 logp, perturbed, inclusion = [], [], []
-                for found, rest, lat in sample_texts(v, part, flat.mix(keys[a:b]), k):
+                for found, rest, lat in sample_texts(v, part, flat.mix(keys[a:b]), k, shared):
                     for path, value in found:
                         edges.append(path.edges)
                         n_edges.append(len(path.edges))
@@ -467,11 +552,7 @@ def encode(docs: DataFrame, v: Vocabulary, *, k: int = 2, keep: list[str], id_co
                 flat_edges = np.concatenate([*edges, np.zeros(0, np.int64)]).astype(np.int64)
                 ids, count = piece_ids(v, lat, flat_edges)
                 stops = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(n_edges)]).astype(np.int64)]
-                good = [True] * (b - a)
-                for i in range(b - a):
-                    whole = part[i].as_py() if rows[i + 1] > rows[i] else ""
-                    for s in range(rows[i], rows[i + 1]):
-                        good[i] &= decode(v, ids[stops[s] : stops[s + 1]].tolist()) == whole
+                good = decodes(ids, stops, np.repeat(np.arange(b - a), np.diff(rows)), part)
                 samples = pa.StructArray.from_arrays(
                     [pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(ids)), pa.array(logp, pa.float64()), pa.array(perturbed, pa.float64()), pa.array(inclusion, pa.float64())],
                     fields=list(sample_type),

@@ -424,6 +424,44 @@ def test_gradients():
         assert abs((up - down) / 2e-5 - g[k][at]) < 1e-6 + 1e-4 * abs(g[k][at])
 
 
+def test_shared_lattices_leave_samples_as_they_are(monkeypatch):
+    from staylens.llm.registry import PIECE_MODEL
+
+    v = unigram.load(PIECE_MODEL)
+    rng = random.Random(9)
+    pool = ["alpha", "beta", "gamma delta", "\n", "naïve", "漢字", "  two", "x" * 30, ""]
+    texts = [" ".join(rng.choices(pool, k=rng.randint(0, 12))) for _ in range(60)]
+    keys = unigram.flat.mix(np.arange(len(texts), dtype=np.uint64))
+
+    def samples(size, shared):
+        out = []
+        for i in range(0, len(texts), size):
+            part = pa.array(texts[i : i + size], pa.large_string())
+            for found, rest, lat in unigram.sample_texts(v, part, keys[i : i + size], 3, shared):
+                out.append(([(unigram.piece_ids(v, lat, p.edges)[0].tolist(), p.logp, x) for p, x in found], rest))
+        return out
+
+    whole = samples(len(texts), None)
+    assert samples(1, unigram.Shared(v)) == whole and samples(7, unigram.Shared(v)) == whole
+    monkeypatch.setattr(unigram, "SHARED_BYTES", 20)
+    small = unigram.Shared(v)
+    assert samples(4, small) == whole and len(small.lat.raw) <= 20
+
+
+def test_decoding_is_checked_byte_by_byte():
+    from staylens.llm.registry import PIECE_MODEL
+
+    v = unigram.load(PIECE_MODEL)
+    texts = pa.array(["ab c", "", "né"], pa.large_string())
+    spelled = [[v.pieces.index(c.encode()) if c.encode() in v.pieces else -1 for c in t] for t in (" ab c", " né")]
+    ids = np.array(spelled[0] + spelled[1])
+    assert (ids >= 0).all()
+    stops, owner = np.array([0, 5, 8]), np.array([0, 2])
+    check = unigram.Decoder(v)
+    assert check(ids, stops, owner, texts) == [True, True, True]
+    assert check(ids, stops, owner, pa.array(["ab d", "", "ne"], pa.large_string())) == [False, True, False]
+
+
 # --- mixing and shards ------------------------------------------------------------------------
 
 

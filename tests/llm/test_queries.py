@@ -101,3 +101,15 @@ def test_sampled_segmentations_decode_and_differ(spark, small_sf):
         ids = [tuple(s["ids"]) for s in r["samples"]]
         values = [s["perturbed"] for s in r["samples"]]
         assert r["round_trip"] and len(set(ids)) == len(ids) == 2 and values == sorted(values, reverse=True)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_mixed_sources_meet_their_targets(spark, small_sf, sf):
+    rows = registry.op9_mixing(spark, small_sf.replace("sf0.001", sf)).collect()
+    source = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{small_sf.replace('sf0.001', sf)}/documents.parquet").select("doc_id", "source").collect()}
+    taken, target = {}, {}
+    for r in rows:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        taken[source[r["doc_id"]]] = taken.get(source[r["doc_id"]], 0) + r["taken"]
+        target[source[r["doc_id"]]] = r["target"]
+    assert all(abs(taken[s] - t) <= 0.01 * t for s, t in target.items())
