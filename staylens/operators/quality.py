@@ -211,7 +211,7 @@ def dq_expectations(
     pipeline wrote its tables; the raw sources are then not read again.
 
     ``set_aside`` carries the rows that the scan left out per source
-    (``csv.read_all(..., counted=True)``); each source gets a rule that there are none.
+    (``csv.read_all(...)``); each source gets a rule that there are none.
 
     Passes without ``counts``: one read per raw source (the clean-bookings count comes
     out of the same dedup that reads raw bookings); in any case one wide

@@ -66,7 +66,7 @@ class Pipeline:
         missing: dict[str, list[str]] | None = None,
         set_aside: dict[str, int] | None = None,
     ) -> "Pipeline":
-        """Start from raw string frames, e.g. ``frames, missing, set_aside = csv.read_all(..., counted=True)``."""
+        """Start from raw string frames, e.g. ``frames, missing, set_aside = csv.read_all(...)``."""
         frames = {"bookings": bookings, "cancellations": cancellations, "pricing": pricing}
         report, left_out = dict(missing or {}), dict(set_aside or {})
         for known in (report, left_out):

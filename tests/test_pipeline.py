@@ -24,7 +24,7 @@ def test_pipeline_from_csv_matches_mapping(spark, small_sf):
         # header padding, as CSV exports do; nulls written as empty fields
         df = fn(spark, small_sf)
         df.toDF(*[f" {c} " for c in df.columns]).coalesce(2).write.option("header", True).csv(paths[name])
-    frames, missing = S.read_all(spark, paths)
+    frames, missing, _ = S.read_all(spark, paths)
     assert all(v == [] for v in missing.values())
     from_csv = Pipeline.from_frames(frames["bookings"], frames["cancellations"], frames["seasonal_pricing"])
     ref = pipeline(spark, small_sf)

@@ -121,12 +121,12 @@ def test_read_all_keeps_short_rows_and_counts_long_ones(spark, tmp_path):
                                   "B2,2023-01-02,late\nB1,2023-01-03,a,b,c\nB1,2023-01-03,a,b,,\n"),
         "seasonal_pricing": write_in(tmp_path / "p", "a.csv", "date,season_tag,base_rate,demand_tier\n2023-02-01,Peak,90\n"),
     }
-    frames, missing, aside = S.read_all(spark, paths, counted=True)
+    frames, missing, aside = S.read_all(spark, paths)
     assert aside == {"bookings": 1, "cancellations": 2, "seasonal_pricing": 0}
     got = {r["reservation_id"]: r for r in frames["bookings"].collect()}
     assert set(got) == {"B1", "B2"} and got["B2"]["room_type"] == "d, e" and got["B2"]["nights"] is None and got["B2"]["rate"] is None
     assert [tuple(r) for r in frames["cancellations"].collect()] == [("B2", "2023-01-02", "late", None)]
-    assert len(S.read_all(spark, paths)) == 2
+    assert S.read_all(spark, paths, counted=False)[2] == {}
     p = Pipeline.from_frames(frames["bookings"], frames["cancellations"], frames["seasonal_pricing"], missing=missing, set_aside=aside)
     counts = p.cleaning_counts()
     assert p.fact.count() == 2 and counts["bookings"]["set_aside"] == 1 and counts["pricing"] == {"set_aside": 0}
@@ -175,3 +175,90 @@ def test_write_fact_files_follow_the_data(spark, tmp_path):
                                     F.date_add(F.lit("2023-01-01").cast("date"), (F.col("id") % 365).cast("int")).alias("check_in_date")).repartition(8)
     assert sinks.write_fact(fact, str(tmp_path / "fact")) == 3000
     assert len(glob.glob(str(tmp_path / "fact" / "check_in_month=*" / "*.parquet"))) <= 12 + 8
+
+
+def reference_rows(spark, path):
+    """Spark's own reader, which reads a file with quoted newlines in one task."""
+    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def quoted_newlines(rng, n):
+    import csv
+    import io
+
+    pool = ["a", "", "two words", "line\nbreak", "\n", "\n\n", 'quote " inside', '""', '"\n"', "comma, here", "a\nb\nc\nd\ne\nf", "é\n漢", "x" * 50, "1,2\n3,\"4\""]
+    out = io.StringIO()
+    w = csv.writer(out, lineterminator="\n")
+    w.writerow(["reservation_id", "cancellation_date", "reason", "refund_status"])
+    for i in range(n):
+        w.writerow([f"R{i}", rng.choice(pool), rng.choice(pool), rng.choice(pool)])
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("slice_bytes", [64, 300, 1 << 20])
+def test_quoted_newlines_read_in_slices(spark, tmp_path, slice_bytes):
+    import random
+
+    rng = random.Random(slice_bytes)
+    folder = tmp_path / "many"
+    for name in ("a.csv", "b.csv"):
+        write_in(folder, name, quoted_newlines(rng, 120))
+    want = reference_rows(spark, str(folder))
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(slice_bytes))
+        spark.conf.set("spark.sql.files.openCostInBytes", "16")
+        df = S.scan_csv(spark, str(folder), multiline=True)
+        tasks = spark.read.option("lineSep", "\n").text(str(folder)).rdd.getNumPartitions()
+        got = sorted((tuple(r) for r in df.drop(S.REJECTED).collect()), key=str)
+        assert df.filter(df[S.REJECTED].isNotNull()).count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert len(want) == 240 and got == want
+    assert tasks > 20 if slice_bytes == 300 else tasks >= 1
+
+
+def test_read_all_with_quoted_newlines_and_windows_line_ends(spark, tmp_path):
+    paths = {
+        "bookings": write_in(tmp_path / "b", "a.csv", "reservation_id,segment,room_type,booking_date,check_in_date,check_out_date,nights,rate\r\n"
+                             'B1,Corporate,"two\r\nlines",2023-01-01,2023-02-01,2023-02-03,2,100\r\n\r\nB2,Direct,x,2023-01-01,2023-02-01\r\nB3,a,b,c,d,e,f,g,"h\r\n,i"\r\n'
+                             'B4,a,b,c,d,e,f,g,h,"i\r\nj"\r\n'),
+        "cancellations": write_in(tmp_path / "c", "a.csv", "reservation_id,cancellation_date,reason,refund_status\nB1,2023-01-02,late,full\n"),
+    }
+    frames, missing, aside = S.read_all(spark, paths, multiline={"bookings"})
+    rows = {r["reservation_id"]: r for r in frames["bookings"].collect()}
+    assert set(rows) == {"B1", "B2"} and rows["B1"]["room_type"] == "two\r\nlines" and rows["B2"]["nights"] is None
+    assert aside == {"bookings": 2, "cancellations": 0}
+    left = S.rejected(spark, paths["bookings"], multiline=True, keep_short=True).collect()
+    assert sorted(r["line"] for r in left) == ['B3,a,b,c,d,e,f,g,"h\r\n,i"', 'B4,a,b,c,d,e,f,g,h,"i\r\nj"']
+    assert frames["cancellations"].count() == 1
+
+
+def test_headers_of_many_files_in_one_job(spark, tmp_path):
+    folder = tmp_path / "small"
+    for i in range(300):
+        write_in(folder, f"{i}.csv", "" if i == 7 else "reservation_id, Reason ,reason,\nR%d,price,,x\n" % i)
+    spark.sparkContext.setJobGroup("headers", "headers")
+    try:
+        groups = S._header_groups(spark, str(folder))
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("headers")) <= 2  # a shuffle's map side may run as a job of its own
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    assert list(groups) == [("reservation_id", " Reason ", "reason", "_c3")] and groups[("reservation_id", " Reason ", "reason", "_c3")] == [str(folder)]
+    write_in(folder, "other.csv", "a,b\n")
+    groups = S._header_groups(spark, str(folder))
+    assert sorted(len(v) for v in groups.values()) == [1, 299]
+
+
+def test_headers_of_large_files(spark, tmp_path):
+    folder = tmp_path / "large"
+    for i in range(3):
+        write_in(folder, f"{i}.csv", "a,b\n" + "1,2\n" * 5000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        assert sorted(r["line"] for r in S._first_lines(spark, str(folder)).collect()) == ["a,b"] * 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
