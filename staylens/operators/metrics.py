@@ -256,27 +256,35 @@ def nightly_revenue(fs: DataFrame, start_date: str | None = None, end_date: str
 
     Needs the row-grain (segmented) fact, not the rollup.
 
-    Stays are expanded with ``explode(sequence(...))`` inside the scan stage and
-    partially aggregated in the same stage, so the expansion never reaches a
-    shuffle; only ``(segment, night)`` partial sums do.  With a date range,
-    stays that cannot have a night inside it (checking in after the end, or
-    leaving before the start) are dropped before the expansion; the
+    A stay adds its rate on its first night and takes it off after its last one,
+    so two rows of changes a stay, whatever its length, are partially aggregated
+    in the scan stage and shuffled; a running sum over the days on which
+    something changes gives the nights from each such day to the next.  That
+    window and the expansion to single nights run over segments x days.  With a
+    date range, stays are cut to it, and those outside it are dropped; the
     check-in bound reaches the Parquet scan.
     """
     active = fs.filter(~F.col("is_cancelled") & F.col("rate").isNotNull() & (F.col("room_nights") > 0))
+    first, behind = F.col("check_in_date"), F.date_add("check_in_date", F.col("room_nights"))
     if end_date is not None:
-        active = active.filter(F.col("check_in_date") <= F.to_date(F.lit(end_date)))
+        end = F.to_date(F.lit(end_date))
+        active = active.filter(first <= end)
+        behind = F.least(behind, F.date_add(end, 1))
     if start_date is not None:
-        last_night = F.date_add("check_in_date", F.col("room_nights") - 1)
-        active = active.filter(last_night >= F.to_date(F.lit(start_date)))
-    nights = active.select(
-        "segment_name",
-        "rate",
-        F.explode(
-            F.sequence(F.col("check_in_date"), F.date_add("check_in_date", F.col("room_nights") - 1))
-        ).alias("date"),
+        start = F.to_date(F.lit(start_date))
+        active = active.filter(behind > start)
+        first = F.greatest(first, start)
+    change = lambda day, sign: F.struct(day.alias("date"), (F.col("rate") * sign).alias("rate"), F.lit(sign).alias("stays"))
+    changes = (
+        active.select("segment_name", F.inline(F.array(change(first, 1), change(behind, -1))))
+        .groupBy("segment_name", "date").agg(F.sum("rate").alias("rate"), F.sum("stays").alias("stays"))
     )
-    return nights.groupBy("segment_name", "date").agg(F.sum("rate").alias("nightly_room_revenue"))
+    by_day = Window.partitionBy("segment_name").orderBy("date")
+    runs = changes.select(
+        "segment_name", "date", F.date_sub(F.lead("date").over(by_day), 1).alias("last"),
+        F.sum("rate").over(by_day).alias("revenue"), F.sum("stays").over(by_day).alias("stays"),
+    ).filter("stays > 0")
+    return runs.select("segment_name", F.explode(F.sequence("date", "last")).alias("date"), F.col("revenue").alias("nightly_room_revenue"))
 
 
 def m8_rvi_nightly(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, start_date: str | None = None,
@@ -287,12 +295,7 @@ def m8_rvi_nightly(fs: DataFrame, cfg: Config = DEFAULT_CONFIG, start_date: str
         fs = fs.filter(V.chosen_segments(segment))
     if seasons is not None:
         fs = fs.filter(F.col("season_tag").isin(list(seasons)))
-    series = nightly_revenue(fs, start_date, end_date)
-    if start_date is not None:
-        series = series.filter(F.col("date") >= F.to_date(F.lit(start_date)))
-    if end_date is not None:
-        series = series.filter(F.col("date") <= F.to_date(F.lit(end_date)))
-    return _rvi(series, "nightly_room_revenue")
+    return _rvi(nightly_revenue(fs, start_date, end_date), "nightly_room_revenue")
 
 
 # --- M9: combined summary -------------------------------------------------------

@@ -54,12 +54,18 @@ def materialize(
     *,
     sort_within: list[str] | None = None,
     partition_by: list[str] | None = None,
+    bucket_by: str | None = None,
 ) -> tuple[DataFrame, dict]:
     """Write ``df`` to the checkpoint folder and read it back.
 
     ``metrics`` are aggregate expressions evaluated during the write and
     returned as a dict.  ``sort_within`` sorts each output file (not a global
     sort) so Parquet min/max statistics prune row groups on that column.
+
+    ``bucket_by`` writes as many buckets of a column as the session has shuffle
+    partitions.  A frame that comes from an exchange on that column holds whole
+    buckets in each task, so every bucket is one file; joins and aggregates of
+    frames written that way need no exchange on the column.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
@@ -70,6 +76,13 @@ def materialize(
     writer = out.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if bucket_by:
+        buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
+        table = f"staylens_{uuid.uuid4().hex}"
+        writer.format("parquet").option("path", path).bucketBy(buckets, bucket_by).sortBy(bucket_by).saveAsTable(table)
+        back = spark.table(table)  # resolved to the files and their buckets
+        spark.sql(f"DROP TABLE {table}")  # an external table: the files stay
+        return back, (obs.get if obs else {})
     writer.parquet(path)
     if partition_by:  # partition columns come back from the directory names
         back = spark.read.parquet(path)

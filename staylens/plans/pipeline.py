@@ -107,7 +107,7 @@ class Pipeline:
             F.count_if(has_dates & C.valid_stay()).alias("valid_stay"),
         )
         df, _ = materialize(C.finish_bookings(parsed.drop("__rows"), self.cfg), "bookings_clean",
-                            {"rows": F.count(F.lit(1))})
+                            {"rows": F.count(F.lit(1))}, bucket_by="reservation_id")
         self.stats["cleaning_bookings"] = {k: int(v or 0) for k, v in obs.get.items()}
         return df
 
@@ -122,7 +122,7 @@ class Pipeline:
             F.count_if(F.col("__cancellation_date").isNotNull()).alias("dates_present"),
         )
         df, _ = materialize(C.finish_cancellations(dedup.drop("__rows"), self.cfg), "cancellations_clean",
-                            {"rows": F.count(F.lit(1))})
+                            {"rows": F.count(F.lit(1))}, bucket_by="reservation_id")
         self.stats["cleaning_cancellations"] = {k: int(v or 0) for k, v in obs.get.items()}
         return df
 
@@ -258,8 +258,8 @@ class Pipeline:
         }
         dim = D.dim_segment(self.spark, self.cfg)
         counts["dim_segment"] = sinks.write_table(dim, f"{base}/load/dim_segment")
-        version = sinks.publish(D.fact_typed(self.fact, dim, self.cfg), f"{base}/load/fact_bookings_enriched")
-        counts["loaded_fact"] = self.spark.read.parquet(version).count()
+        sinks.publish(D.fact_typed(self.fact, dim, self.cfg), f"{base}/load/fact_bookings_enriched")
+        counts["loaded_fact"] = sinks.read_published(self.spark, f"{base}/load/fact_bookings_enriched").count()
         return counts
 
 

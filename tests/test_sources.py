@@ -262,3 +262,75 @@ def test_headers_of_large_files(spark, tmp_path):
         assert sorted(r["line"] for r in S._first_lines(spark, str(folder)).collect()) == ["a,b"] * 3
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+LOAD_SCHEMA = "reservation_id string, booking_date date, check_in_date date, room_nights int, is_cancelled boolean, note string"
+
+
+def stays(rows):
+    import datetime as dt
+
+    return [(f"R{i}", dt.date(2022, 12, 1), dt.date(2023, month, 1 + i % 28), n, False, note) for i, (month, n, note) in enumerate(rows)]
+
+
+def nights_by_day(df):
+    from pyspark.sql import functions as F
+
+    return df.groupBy(F.col("check_in_date").alias("date")).agg(F.sum("room_nights").alias("nights"))
+
+
+def files_of(base):
+    return {os.path.join(d, f) for d, _, names in os.walk(base) for f in names if f.endswith(".parquet")}
+
+
+def test_a_second_load_writes_only_the_months_that_changed(spark, tmp_path):
+    base, derived = str(tmp_path / "load"), {"daily": (nights_by_day, "date")}
+    rows = [(1 + i % 3, 1 + i % 4, None if i % 5 else "x") for i in range(90)]
+    first = spark.createDataFrame(stays(rows), LOAD_SCHEMA)
+    sinks.publish(first, base, derived=derived)
+    before = files_of(f"{base}/data")
+    rows[4] = (2, 9, None)  # a stay of February
+    second = spark.createDataFrame(stays(rows)[::-1], LOAD_SCHEMA).repartition(3)  # in another order
+    version = sinks.publish(second, base, derived=derived)
+    new = files_of(f"{base}/data") - before
+    assert new and all(f"{version}/" in f and "__month=2023-02" in f for f in new) and {f.split("/")[-3] for f in new} == {"fact", "daily"}
+    got = sinks.read_published(spark, base)
+    assert got.schema == first.schema and sorted(map(str, got.collect())) == sorted(map(str, second.collect()))
+    assert sorted(map(str, sinks.read_published(spark, base, "daily").collect())) == sorted(map(str, nights_by_day(second).collect()))
+    removed = sinks.remove_old_versions(spark, base)
+    assert len(removed) == 3  # February of both tables, and the manifest
+    assert not any("__month=2023-02" in f and version not in f for f in files_of(f"{base}/data"))
+    assert sorted(map(str, sinks.read_published(spark, base).collect())) == sorted(map(str, second.collect()))
+    assert sinks.remove_old_versions(spark, base) == []
+
+
+def test_months_leave_and_tables_empty(spark, tmp_path):
+    base = str(tmp_path / "load")
+    full = spark.createDataFrame(stays([(1, 1, "a"), (2, 1, None)]), LOAD_SCHEMA)
+    sinks.publish(full, base)
+    sinks.publish(full.filter("month(check_in_date) = 2"), base)
+    assert [r["reservation_id"] for r in sinks.read_published(spark, base).collect()] == ["R1"]
+    sinks.publish(full.limit(0), base)
+    assert sinks.read_published(spark, base).count() == 0 and sinks.read_published(spark, base).schema == full.schema
+    wider = full.selectExpr("*", "1 AS extra")  # other columns: everything is written anew
+    sinks.publish(wider, base)
+    assert sinks.read_published(spark, base).columns[-1] == "extra" and sinks.read_published(spark, base).count() == 2
+
+
+def test_a_null_that_moves_changes_the_digest(spark):
+    a = spark.createDataFrame([("x", None)], "a string, b string")
+    b = spark.createDataFrame([(None, "x")], "a string, b string")
+    assert sinks.month_digests(a) != sinks.month_digests(b)
+
+
+def test_bucketed_tables_join_without_an_exchange(spark, small_sf):
+    from staylens.operators import fact as FT
+    from staylens.plans.pipeline import pipeline
+
+    p = pipeline(spark, small_sf)
+    joined = FT.join_cancellations(p.bookings_clean, p.cancellations_clean)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Bucketed: true" in plan, plan
+    assert joined.count() == p.bookings_clean.count()
+    per_key = p.bookings_clean.groupBy("reservation_id").count()
+    assert "Exchange" not in per_key._jdf.queryExecution().executedPlan().toString()
