@@ -81,18 +81,28 @@ def format_chats(
             )
         ).alias("pieces"),
     )
-    spans = F.aggregate(
-        "pieces",
-        F.struct(F.lit(len(BOS)).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["x"])).alias("at"),
-            F.when(
-                p["loss"],
-                F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), F.length(p["x"]).cast("long").alias("length")))),
-            ).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+    # appending to an array copies it, so pieces are taken in chunks: inside a chunk from the chunk's own start on
+    chunks = _chunks(F.col("pieces"))
+    sizes = F.transform(chunks, lambda ch: F.aggregate(ch, F.lit(0).cast("long"), lambda n, p: n + F.length(p["x"])))
+    begins = F.aggregate(
+        sizes, F.struct(F.lit(len(BOS)).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out")),
+        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def inside(ch: Column, begin: Column) -> Column:
+        return F.aggregate(
+            ch,
+            F.struct(begin.alias("at"), F.array().cast(SPANS).alias("spans")),
+            lambda acc, p: F.struct(
+                (acc["at"] + F.length(p["x"])).alias("at"),
+                F.when(
+                    p["loss"],
+                    F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), F.length(p["x"]).cast("long").alias("length")))),
+                ).otherwise(acc["spans"]).alias("spans"),
+            ),
+            lambda acc: acc["spans"],
+        )
+
+    spans = F.flatten(F.zip_with(chunks, begins, inside))
     return marked.select(
         conv_col,
         F.concat(F.lit(BOS), F.array_join(F.transform("pieces", lambda p: p["x"]), ""), F.lit(EOS)).alias("formatted"),
@@ -101,6 +111,17 @@ def format_chats(
     )
 
 
+#: Array entries that are handled at once where work per entry grows with the array.
+CHUNK = 256
+SPANS = "array<struct<start:bigint,length:bigint>>"
+
+
+def _chunks(array: Column) -> Column:
+    """An array as an array of arrays of ``CHUNK`` entries (none of an empty one)."""
+    n = F.ceil(F.size(array) / CHUNK).cast("int")
+    return F.transform(F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda c: c < n), lambda c: F.slice(array, c * CHUNK + 1, F.lit(CHUNK)))
+
+
 def _piece(x: Column, loss: Column) -> Column:
     return F.struct(x.alias("x"), loss.alias("loss"))
 
@@ -119,5 +140,10 @@ def read_chats(formatted: DataFrame, *, conv_col: str = "conv_id") -> DataFrame:
             ),
         )
     )
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    # a substring is searched from the start of its text, so spans are cut out of the stretch that their chunk covers
+    first, last = lambda ch: F.element_at(ch, 1)["start"], lambda ch: F.element_at(ch, -1)["start"] + F.element_at(ch, -1)["length"]
+    cut = lambda text, at, n: F.substring(text, (at + 1).cast("int"), n.cast("int"))
+    stretches = F.transform(_chunks(F.col("loss_spans")), lambda ch: F.struct(
+        ch.alias("spans"), first(ch).alias("at"), cut(F.col("formatted"), first(ch), last(ch) - first(ch)).alias("text")))
+    loss = F.array_join(F.flatten(F.transform(stretches, lambda c: F.transform(c["spans"], lambda s: unescape(cut(c["text"], s["start"] - c["at"], s["length"]))))), "")
     return formatted.select(conv_col, turns.alias("turns"), loss.alias("loss_text"), F.length("formatted").cast("long").alias("formatted_chars"), "n_blocks")

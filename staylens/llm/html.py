@@ -55,12 +55,35 @@ PATH_DIM, WORD_DIM, NUMBERS, HIDDEN_DIM = 24, 6, 6, 20
 SAMPLE_PAGES, LAYOUTS = 160, 8
 
 
+class Element:
+    """An open element: its tag and class words, and the element around it.
+
+    Blocks share the elements around them, so a page's paths need memory in proportion to its tags however deep they lie.
+    ``sums`` keeps what ``_path_sum`` adds up, for one table.
+    """
+
+    __slots__ = ("around", "names", "size", "sums")
+
+    def __init__(self, around: Element | None, names: tuple[str, ...]):
+        self.around, self.names, self.sums = around, names, None
+        self.size = len(names) + (around.size if around else 0)
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]  # tags and class words from the outermost element inwards
+    inside: Element | None  # the innermost element around the text
     text: str  # references decoded, white space collapsed
     linked: float  # share of the characters inside links
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        """Tags and class words from the outermost element inwards."""
+        parts, at = [], self.inside
+        while at:
+            parts.append(at.names)
+            at = at.around
+        return tuple(x for names in reversed(parts) for x in names)
+
 
 _TAGS: dict[str, tuple[str, ...]] = {}
 
@@ -81,7 +104,9 @@ def _names(name: str, rest: str) -> tuple[str, ...]:
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page that hold text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Element] = []
+    solid: list[int] = []  # places of block elements in the stack
+    opened: dict[str, int] = {}  # open elements by tag, so that end tags without a start cost nothing
     text: list[str] = []
     links = hidden = linked = 0
 
@@ -91,23 +116,26 @@ def blocks(page: str) -> list[Block]:
             raw = "".join(text)
             words = " ".join((htmllib.unescape(raw) if "&" in raw else raw).split())
             if words:
-                path = tuple(x for _, names in stack for x in names)
-                out.append(Block(path, words, min(1.0, linked / max(1, len(raw)))))
+                out.append(Block(stack[-1] if stack else None, words, min(1.0, linked / max(1, len(raw)))))
             text.clear()
         linked = 0
 
     def pop(n: int) -> None:
         nonlocal links, hidden
-        for name, _ in stack[n:]:
+        for e in stack[n:]:
+            name = e.names[0]
             links -= name == "a"
             hidden -= name in HIDDEN
+            opened[name] -= 1
         del stack[n:]
+        while solid and solid[-1] >= n:
+            solid.pop()
 
     pos, end = 0, len(page)
     while pos < end:
         m = TAG.search(page, pos)
         stop = m.start() if m else end
-        if stop > pos and hidden and stack[-1][0] == "head" and page[pos:stop].strip(" \t\n\f\r"):
+        if stop > pos and hidden and stack[-1].names[0] == "head" and page[pos:stop].strip(" \t\n\f\r"):
             pop(len(stack) - 1)
         if stop > pos and not hidden:
             text.append(page[pos:stop])
@@ -126,37 +154,34 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if name == "br":
                 text.append(" ")
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    pop(i)
-                    break
+            if opened.get(name):
+                i = len(stack) - 1
+                while stack[i].names[0] != name:
+                    i -= 1
+                pop(i)
             continue
         if hidden and stack:
-            if stack[-1][0] == "head":
+            if stack[-1].names[0] == "head":
                 if name == "head":
                     continue
                 if name not in IN_HEAD:
                     pop(len(stack) - 1)
-            elif name == "body":
-                for i, (tag, _) in enumerate(stack):
-                    if tag == "head":
-                        pop(i)
-                        break
+            elif name == "body" and opened.get("head"):
+                pop(next(i for i, e in enumerate(stack) if e.names[0] == "head"))
         if name in VOID:
             if name == "br" and not hidden:
                 text.append(" ")
             continue
         if name in BLOCK:
-            shut = CLOSES.get(name, ())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in shut or stack[i][0] == "p":
-                    pop(i)
-                    break
-                if stack[i][0] in BLOCK:
-                    break
+            nearest = stack[solid[-1]].names[0] if solid else ""
+            if nearest == "p" or nearest in CLOSES.get(name, ()):
+                pop(solid[-1])
         if m[3].endswith("/>") and name in HIDDEN:
             continue
-        stack.append((name, _names(name, m[3])))
+        if name in BLOCK:
+            solid.append(len(stack))
+        stack.append(Element(stack[-1] if stack else None, _names(name, m[3])))
+        opened[name] = opened.get(name, 0) + 1
         links += name == "a"
         hidden += name in HIDDEN
         if name in RAW:
@@ -175,7 +200,7 @@ def _hash(token: str, bits: int) -> int:
 
 @dataclass
 class Features:
-    path: np.ndarray  # token indices, block after block
+    path: np.ndarray  # token indices, block after block; for given vectors their means instead
     path_at: np.ndarray  # where each block's indices start, and the end
     word: np.ndarray
     word_at: np.ndarray
@@ -197,18 +222,58 @@ def _path_tokens(path: tuple[str, ...]) -> list[int]:
     return got
 
 
-def features(pages: list[list[Block]]) -> Features:
+_OWN: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _own(kind: str, names: tuple[str, ...], table: np.ndarray) -> np.ndarray:
+    """Sum of the vectors of an element's own tokens, or of the last tokens of a path."""
+    got = _OWN.get((kind, names))
+    if got is None or got[0] is not table:
+        if len(_OWN) > 20_000:
+            _OWN.clear()
+        got = _OWN[kind, names] = (table, table[[_hash(x, PATH_BITS) for x in names]].sum(axis=0))
+    return got[1]
+
+
+def _path_sum(e: Element, table: np.ndarray) -> np.ndarray:
+    """Sum of the vectors of all tokens from the outermost element to ``e``; each element adds to its parent's once."""
+    todo = []
+    while e and (e.sums is None or e.sums[0] is not table):
+        todo.append(e)
+        e = e.around
+    total = e.sums[1] if e else 0.0
+    for x in reversed(todo):
+        total = total + _own("", x.names, table)
+        x.sums = (table, total)
+    return total
+
+
+def _path_mean(e: Element | None, table: np.ndarray) -> np.ndarray:
+    """The mean vector of the tokens that ``_path_tokens`` gives for the path, without writing the path out."""
+    if e is None:
+        return _own("end", ("two ", "root"), table) / 2
+    tag = e.names[0]
+    two = "two " + (e.around.names[0] + " " + tag if e.around else tag)
+    return (_path_sum(e, table) + _own("end", ("leaf " + tag, two, "root"), table)) / (e.size + 3)
+
+
+def features(pages: list[list[Block]], table: np.ndarray | None = None) -> Features:
+    """Numbers of all blocks; with ``table`` (the paths' vectors) the mean vectors of the paths instead of their tokens."""
     path, word, path_at, word_at, numbers = [], [], [0], [0], []
     for page in pages:
         for i, b in enumerate(page):
-            path += _path_tokens(b.path)
-            path_at.append(len(path))
+            if table is None:
+                path += _path_tokens(b.path)
+                path_at.append(len(path))
+            else:
+                path.append(_path_mean(b.inside, table))
             ws = b.text.split()
             word += [zlib.crc32(w.encode("utf-8", "surrogatepass")) & ((1 << WORD_BITS) - 1) for w in ws]
             word_at.append(len(word))
             stops = sum(map(b.text.count, ".!?"))
             numbers.append((np.log1p(len(ws)) / 4, b.linked, min(1.0, stops / len(ws)), i / len(page), 1.0 / (1 + i), b.text[-1] in ".!?:"))
-    return Features(np.array(path, np.int64), np.array(path_at), np.array(word, np.int64), np.array(word_at), np.array(numbers, np.float64).reshape(-1, NUMBERS))
+    path = np.array(path, np.int64) if table is None else np.array(path).reshape(-1, PATH_DIM)
+    return Features(path, np.array(path_at), np.array(word, np.int64), np.array(word_at), np.array(numbers, np.float64).reshape(-1, NUMBERS))
 
 
 def _means(table: np.ndarray, index: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -297,7 +362,8 @@ def new_model(seed: int = 0) -> dict[str, np.ndarray]:
 
 
 def _inputs(m: dict, f: Features) -> np.ndarray:
-    return np.concatenate([_means(m["path"], f.path, f.path_at), _means(m["word"], f.word, f.word_at), f.numbers], axis=1)
+    path = f.path if f.path.ndim == 2 else _means(m["path"], f.path, f.path_at)
+    return np.concatenate([path, _means(m["word"], f.word, f.word_at), f.numbers], axis=1)
 
 
 def _score(m: dict, x: np.ndarray, p: Packed, keep: bool = False):
@@ -316,7 +382,7 @@ def predict(m: dict, pages: list[list[Block]]) -> list[np.ndarray]:
     some = [x for x in pages if x]
     if not some:
         return [np.zeros(0)] * len(pages)
-    f = features(some)
+    f = features(some, m["path"])
     got = _score(m, _inputs(m, f), pack([len(x) for x in some]))[0]
     return np.split(got, np.cumsum(lens)[:-1])
 
@@ -471,7 +537,7 @@ def layout(texts: list[str], r: random.Random) -> tuple[list[Block], np.ndarray]
     if r.random() < 0.4:
         page = f'<div class="{r.choice(("wrapper", "container", "page", "site", "row"))}">{page}</div>'
     found = blocks(f"<html><body>{page}</body></html>")
-    return [Block(b.path, t, b.linked) for b in found if (t := b.text.replace(main_mark, "").strip())], np.array([main_mark in b.text for b in found if b.text.replace(main_mark, "").strip()], bool)
+    return [Block(b.inside, t, b.linked) for b in found if (t := b.text.replace(main_mark, "").strip())], np.array([main_mark in b.text for b in found if b.text.replace(main_mark, "").strip()], bool)
 
 
 def train(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE_PAGES, seed: int = 0) -> dict[str, np.ndarray]:

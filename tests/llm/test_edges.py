@@ -462,6 +462,45 @@ def test_decoding_is_checked_byte_by_byte():
     assert check(ids, stops, owner, pa.array(["ab d", "", "ne"], pa.large_string())) == [False, True, False]
 
 
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    model = html.new_model(seed=3)
+    for deep in ("<div>word", "<b>word<p>x", "<div class=a>word</span>", "<b>", "<a><p>"):
+        page = deep * 50_000 + "<p>end</p>" * 50
+        t = time.perf_counter()
+        found = html.blocks(page)
+        assert html.predict(model, [found])[0].shape == (len(found),)
+        assert time.perf_counter() - t < 30, deep
+    found = html.blocks("<div>word" * 50_000)
+    assert len(found) == 50_000 and len(found[-1].path) == 50_000
+
+
+def test_path_means_equal_written_out_paths():
+    model = html.new_model(seed=4)
+    page = "bare<div class='a b'><p>one<p id=x>two<ul><li>three<li>four <a href=z>five</a></ul></div></div>six<table><tr><td>7<td>8</table>"
+    found = html.blocks(page)
+    written = html.features([found])
+    want = html._means(model["path"], written.path, written.path_at)
+    got = html.features([found], model["path"]).path
+    assert np.allclose(got, want, atol=1e-12) and [b.text for b in found] == ["bare", "one", "two", "three", "four five", "six", "7", "8"]
+
+
+def test_long_conversations(spark):
+    from pyspark.sql import functions as F
+
+    turns = spark.range(50_000).select(
+        F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"),
+        F.concat(F.lit("té </s> "), F.col("id").cast("string")).alias("text"))
+    import time
+
+    t = time.perf_counter()
+    row = chat.read_chats(chat.format_chats(turns)).first()
+    assert time.perf_counter() - t < 60
+    assert [(x["role"], x["text"]) for x in row["turns"]] == [("assistant" if i % 3 else "user", f"té </s> {i}") for i in range(50_000)]
+    assert row["loss_text"] == "".join(f"té </s> {i}" for i in range(50_000) if i % 3)
+
+
 # --- mixing and shards ------------------------------------------------------------------------
 
 
