@@ -94,18 +94,61 @@ def dedup_bookings(raw: DataFrame, cfg: Config = DEFAULT_CONFIG, *, keep_order:
                         keep_order=keep_order, count_as=count_as)
 
 
-def parse_booking_dates(df: DataFrame, cfg: Config = DEFAULT_CONFIG) -> DataFrame:
-    """Parse the three booking dates; a ``__booking_date`` column from the dedup is reused."""
+def parse_booking_dates(df: DataFrame, cfg: Config = DEFAULT_CONFIG, *, keep_raw: bool = False) -> DataFrame:
+    """Parse the three booking dates; a ``__booking_date`` column from the dedup is reused.
+
+    ``keep_raw`` keeps the strings as ``__raw_<column>``, for counting those that are no dates.
+    """
     parsed = {c: parse_mixed_date(c) for c in BOOKING_DATES}
     if "__booking_date" in df.columns:
         parsed["booking_date"] = F.col("__booking_date")
-        return df.withColumns(parsed).drop("__booking_date")
-    return df.withColumns(parsed)
+    raw = {f"__raw_{c}": F.col(c) for c in BOOKING_DATES} if keep_raw else {}
+    return df.withColumns(parsed | raw).drop("__booking_date")
 
 
-def dedup_parse_bookings(raw: DataFrame, cfg: Config = DEFAULT_CONFIG, *, count_as: str | None = None) -> DataFrame:
+def dedup_parse_bookings(raw: DataFrame, cfg: Config = DEFAULT_CONFIG, *, count_as: str | None = None, keep_raw: bool = False) -> DataFrame:
     """Key dedup then date parsing; the booking date parsed for the dedup is reused."""
-    return parse_booking_dates(dedup_bookings(raw, cfg, keep_order="__booking_date", count_as=count_as), cfg)
+    return parse_booking_dates(dedup_bookings(raw, cfg, keep_order="__booking_date", count_as=count_as), cfg, keep_raw=keep_raw)
+
+
+def booking_fills(cfg: Config = DEFAULT_CONFIG) -> dict[str, Column]:
+    """Counters over ``dedup_parse_bookings(keep_raw=True)`` of values that were unreadable, filled or taken from elsewhere.
+
+    Unreadable dates are counted over all deduplicated rows, the rest over the rows that cleaning keeps.
+    """
+    kept = F.col("check_in_date").isNotNull() & F.col("booking_date").isNotNull() & valid_stay()
+    nights, named = to_whole_number("nights"), normalise_segment("segment", cfg.segment_variants)
+    no_stay = F.datediff("check_out_date", "check_in_date").isNull()
+    return {f"{c}_unreadable": F.count_if(F.col(f"__raw_{c}").isNotNull() & F.col(c).isNull()) for c in BOOKING_DATES} | {
+        "room_type_filled": F.count_if(kept & F.col("room_type").isNull()),
+        "segment_filled": F.count_if(kept & F.col("segment").isNull()),
+        "segment_unmapped": F.count_if(kept & ~named.isin(list(cfg.dim_segments))),
+        "room_nights_from_nights": F.count_if(kept & no_stay & nights.isNotNull()),
+        "room_nights_unknown": F.count_if(kept & no_stay & nights.isNull()),
+        "rate_missing": F.count_if(kept & F.col("rate").isNull()),
+        "rate_unreadable": F.count_if(kept & F.col("rate").isNotNull() & to_decimal("rate").isNull()),
+    }
+
+
+def cancellation_fills() -> dict[str, Column]:
+    """The same over ``dedup_cancellations``."""
+    dated = F.col("__cancellation_date").isNotNull()
+    return {
+        "cancellation_date_unreadable": F.count_if(F.col("cancellation_date").isNotNull() & ~dated),
+        "reason_filled": F.count_if(dated & F.col("reason").isNull()),
+        "refund_status_filled": F.count_if(dated & F.col("refund_status").isNull()),
+    }
+
+
+def cleaning_fills(raw_bookings: DataFrame, raw_cancellations: DataFrame, cfg: Config = DEFAULT_CONFIG) -> DataFrame:
+    """``(source, counter, n_rows)``: values that cleaning could not read, filled or took from elsewhere."""
+    def counted(df: DataFrame, source: str, counters: dict[str, Column]) -> DataFrame:
+        one = df.agg(*[v.alias(k) for k, v in counters.items()])
+        rows = F.array(*[F.struct(F.lit(k).alias("counter"), F.col(k).alias("n_rows")) for k in counters])
+        return one.select(F.lit(source).alias("source"), F.inline(rows))
+
+    return counted(dedup_parse_bookings(raw_bookings, cfg, keep_raw=True), "bookings", booking_fills(cfg)).unionByName(
+        counted(dedup_cancellations(raw_cancellations, cfg), "cancellations", cancellation_fills()))
 
 
 def valid_stay(ci: Column | str = "check_in_date", co: Column | str = "check_out_date") -> Column:
@@ -232,57 +275,44 @@ def cleaning_report(
 ) -> DataFrame:
     """Rows kept after each cleaning step, per source: ``(source, step, step_no, n_rows)``.
 
-    Each raw source is read once: grouping on all columns gives the raw and
-    exact-dedup counts, and the key dedup then runs on those distinct rows
-    (``max`` ignores repeats, so it picks the same row as on the raw rows)
-    with every later step counted conditionally in one aggregate.
+    Exact duplicates are found by row hashes (``repeats.surplus``), so 8 bytes
+    a row go through that exchange instead of all columns; the key dedup runs
+    on the raw rows with every later step counted in one aggregate.
     """
+    from staylens.operators.repeats import surplus
 
     def step(name: str, no: int, col: str) -> Column:
         return F.struct(F.lit(name).alias("step"), F.lit(no).alias("step_no"), F.col(col).alias("n_rows"))
 
-    def distinct_rows(df: DataFrame) -> DataFrame:
-        return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__copies"))
+    def steps(df: DataFrame, source: str, *found: Column) -> DataFrame:
+        return df.select(F.lit(source).alias("source"), F.explode(F.array(*found)).alias("s"))
 
-    def exact_counts(g: DataFrame, source: str) -> DataFrame:
-        return g.agg(F.sum("__copies").alias("raw"), F.count(F.lit(1)).alias("exact_dedup")).select(
-            F.lit(source).alias("source"),
-            F.explode(F.array(step("raw", 0, "raw"), step("exact_dedup", 1, "exact_dedup"))).alias("s"),
-        )
+    def exact_counts(df: DataFrame, source: str) -> DataFrame:
+        both = df.agg(F.count(F.lit(1)).alias("raw")).select("raw", F.lit(0).cast("bigint").alias("extra")).unionByName(
+            surplus(df, df.columns, cfg).select(F.lit(0).cast("bigint").alias("raw"), "extra"))
+        total = both.agg(F.sum("raw").alias("raw"), (F.sum("raw") - F.sum("extra")).alias("exact_dedup"))
+        return steps(total, source, step("raw", 0, "raw"), step("exact_dedup", 1, "exact_dedup"))
 
-    gb = distinct_rows(raw_bookings)
-    parsed_b = dedup_parse_bookings(gb.drop("__copies"), cfg)
     has_dates = F.col("check_in_date").isNotNull() & F.col("booking_date").isNotNull()
-    b_steps = parsed_b.agg(
-        F.count(F.lit(1)).alias("key_dedup"),
-        F.count_if(has_dates).alias("dates_present"),
-        F.count_if(has_dates & valid_stay()).alias("valid_stay"),
-    ).select(
-        F.lit("bookings").alias("source"),
-        F.explode(F.array(step("key_dedup", 2, "key_dedup"), step("dates_present", 3, "dates_present"),
-                          step("valid_stay", 4, "valid_stay"))).alias("s"),
-    )
-    gc = distinct_rows(raw_cancellations)
-    dedup_c = dedup_latest(gc.drop("__copies"), "reservation_id",
-                           parse_mixed_date("cancellation_date"), cfg, keep_order="__parsed")
-    c_steps = dedup_c.agg(
-        F.count(F.lit(1)).alias("key_dedup"),
-        F.count_if(F.col("__parsed").isNotNull()).alias("dates_present"),
-    ).select(
-        F.lit("cancellations").alias("source"),
-        F.explode(F.array(step("key_dedup", 2, "key_dedup"), step("dates_present", 3, "dates_present"))).alias("s"),
-    )
-    gp = distinct_rows(raw_pricing)
-    p_steps = gp.agg(
-        F.count_if(parse_mixed_date("date").isNotNull()).alias("dates_present")
-    ).select(
-        F.lit("pricing").alias("source"),
-        F.explode(F.array(step("dates_present", 3, "dates_present"))).alias("s"),
-    )
+    b_steps = steps(
+        dedup_parse_bookings(raw_bookings, cfg).agg(
+            F.count(F.lit(1)).alias("key_dedup"),
+            F.count_if(has_dates).alias("dates_present"),
+            F.count_if(has_dates & valid_stay()).alias("valid_stay"),
+        ),
+        "bookings", step("key_dedup", 2, "key_dedup"), step("dates_present", 3, "dates_present"), step("valid_stay", 4, "valid_stay"))
+    c_steps = steps(
+        dedup_cancellations(raw_cancellations, cfg).agg(
+            F.count(F.lit(1)).alias("key_dedup"),
+            F.count_if(F.col("__cancellation_date").isNotNull()).alias("dates_present"),
+        ),
+        "cancellations", step("key_dedup", 2, "key_dedup"), step("dates_present", 3, "dates_present"))
+    p_steps = steps(clean_pricing(raw_pricing, cfg).agg(F.count(F.lit(1)).alias("dates_present")), "pricing",
+                    step("dates_present", 3, "dates_present"))
     parts = [
-        exact_counts(gb, "bookings"), b_steps,
-        exact_counts(gc, "cancellations"), c_steps,
-        exact_counts(gp, "pricing"), p_steps,
+        exact_counts(raw_bookings, "bookings"), b_steps,
+        exact_counts(raw_cancellations, "cancellations"), c_steps,
+        exact_counts(raw_pricing, "pricing"), p_steps,
     ]
     out = parts[0]
     for p in parts[1:]:

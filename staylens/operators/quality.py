@@ -26,6 +26,7 @@ from staylens.config import (
     Config,
 )
 from staylens.functions import parse_mixed_date, ratio
+from staylens.operators.repeats import surplus
 
 
 def _union(frames: Sequence[DataFrame]) -> DataFrame:
@@ -55,26 +56,20 @@ def profile_nulls(sources: Mapping[str, DataFrame]) -> DataFrame:
     return out.withColumn("null_pct", F.round(ratio(F.col("null_count"), F.col("n_rows")) * 100.0, 2))
 
 
-def profile_dupes(sources: Mapping[str, tuple[DataFrame, str | None]]) -> DataFrame:
+def profile_dupes(sources: Mapping[str, tuple[DataFrame, str | None]], cfg: Config = DEFAULT_CONFIG) -> DataFrame:
     """D2p: ``(source, n_rows, exact_duplicate_rows, key_duplicates)``; nulls compare equal.
 
-    One read per source: rows are grouped on all columns (copies counted),
-    and the key groups are formed from those distinct rows.
+    Repeats are found by their hashes (``repeats.surplus``): one job per source
+    for the rows and one for the keys, 8 bytes a row through the exchange.
     """
+    none = F.lit(None).cast("bigint")
     frames = []
     for name, (df, key) in sources.items():
-        g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("c"))
-        exact = g.agg(F.sum("c").alias("n_rows"), F.sum(F.col("c") - 1).alias("exact_duplicate_rows"))
+        part = lambda rows, exact, keys, name=name: [F.lit(name).alias("source"), rows.alias("n_rows"), exact.alias("exact_duplicate_rows"), keys.alias("key_duplicates")]
+        frames.append(df.agg(F.count(F.lit(1)).alias("n")).select(*part(F.col("n"), none, none)))
+        frames.append(surplus(df, df.columns, cfg).select(*part(none, F.col("extra"), none)))
         if key:
-            keys = g.groupBy(key).agg(F.sum("c").alias("c")).agg(F.sum(F.col("c") - 1).alias("key_duplicates"))
-            kind = F.lit("key")
-            frames.append(keys.select(F.lit(name).alias("source"), kind.alias("kind"),
-                                      F.lit(None).cast("bigint").alias("n_rows"),
-                                      F.lit(None).cast("bigint").alias("exact_duplicate_rows"),
-                                      F.col("key_duplicates").cast("bigint")))
-        frames.append(exact.select(F.lit(name).alias("source"), F.lit("exact").alias("kind"),
-                                   F.col("n_rows").cast("bigint"), F.col("exact_duplicate_rows").cast("bigint"),
-                                   F.lit(None).cast("bigint").alias("key_duplicates")))
+            frames.append(surplus(df, [key], cfg).select(*part(none, none, F.col("extra"))))
     return _union(frames).groupBy("source").agg(
         F.max("n_rows").alias("n_rows"),
         F.max("exact_duplicate_rows").alias("exact_duplicate_rows"),
@@ -114,6 +109,16 @@ def profile_segments(raw_bookings: DataFrame) -> DataFrame:
     return raw_bookings.groupBy("segment").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def profile_segment_kinds(raw_bookings: DataFrame) -> DataFrame:
+    """D4p: ``(n_rows, n_missing, n_distinct)`` of the raw segment labels, from their counts."""
+    counts = raw_bookings.groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
+        F.coalesce(F.sum(F.when(F.col("segment").isNull(), F.col("n"))), F.lit(0)).alias("n_missing"),
+        F.count("segment").alias("n_distinct"),
+    )
+
+
 def profile_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """D5p: count / mean / stddev / min / max per numeric column (4 decimals); quartiles: ``profile_quartiles``."""
     aggs = []
@@ -142,14 +147,36 @@ def _melted_counts(df: DataFrame, cols: Sequence[str], dtype: str) -> DataFrame:
     )
 
 
-def profile_text(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """D5p for text columns: non-null count, distinct values, the most frequent value (ties: first by name) and its count."""
-    return _melted_counts(df, cols, "string").groupBy("column_name").agg(
-        F.sum("n").alias("n"),
-        F.count(F.lit(1)).alias("unique"),
-        F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("top"),
-        F.max("n").alias("freq"),
+def profile_text(df: DataFrame, cols: Sequence[str], cfg: Config = DEFAULT_CONFIG) -> DataFrame:
+    """D5p for text columns: non-null count, distinct values, the most frequent value (ties: first by name) and its count.
+
+    Values are counted by two 64-bit hashes, so a column of unique ids sends 16
+    bytes a row through the exchange, whatever its values' length; a table of
+    these counts gives ``unique`` and ``freq``.  Only values whose hashes reach
+    their column's ``freq`` are read again, counted as they are and compared.
+    Where nothing repeats, the first value by name is the top.  Two values of
+    one column with both hashes equal would be counted as one in ``unique``.
+    """
+    from staylens.plans.materialize import bounded_broadcast, materialize
+
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in cols])
+    values = df.select(F.explode(pairs).alias("x")).select("x.*").filter(F.col("v").isNotNull())
+    hashed = values.withColumns({"__h": F.xxhash64("v"), "__g": F.xxhash64(F.lit(1), "v")})
+    key = ["column_name", "__h", "__g"]
+    counts, _ = materialize(hashed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), "text-counts")
+    per_column = counts.groupBy("column_name").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("unique"), F.max("n").alias("freq"))
+    per_column, _ = materialize(per_column, "text-columns")  # a row a column
+    top, seen = materialize(
+        counts.withColumnRenamed("n", "__n").join(F.broadcast(per_column.select("column_name", "freq")), "column_name")
+        .filter((F.col("__n") == F.col("freq")) & (F.col("freq") > 1)).select(*key),
+        "text-tops", {"n": F.count(F.lit(1))},
     )
+    again = hashed.join(bounded_broadcast(top, cfg.broadcast_max_rows, int(seen["n"] or 0)), key, "left_semi")
+    frequent = again.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("m")).groupBy("column_name").agg(
+        F.min_by("v", F.struct(-F.col("m"), F.col("v"))).alias("v"))
+    unique = values.join(F.broadcast(per_column.filter("freq = 1").select("column_name")), "column_name").groupBy("column_name").agg(F.min("v").alias("v"))
+    tops = frequent.unionByName(unique).withColumnRenamed("v", "top")
+    return per_column.join(F.broadcast(tops), "column_name").select("column_name", "n", "unique", "top", "freq")
 
 
 def profile_quartiles(df: DataFrame, cols: Sequence[str], quantiles: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
@@ -215,7 +242,7 @@ def dq_expectations(
 
     Passes without ``counts``: one read per raw source (the clean-bookings count comes
     out of the same dedup that reads raw bookings); in any case one wide
-    aggregate over the fact and one key-duplicate aggregate.
+    aggregate over the fact, and its key's hashes, which a job counts.
     """
     rule_fields = ("rule", "observed", "threshold", "op")
 
@@ -299,10 +326,8 @@ def dq_expectations(
     part2 = wide.select(F.explode(F.array(*fact_rules)).alias("r")).select("r.*")
 
     # Q6: primary key unique.
-    dup = fact.groupBy("reservation_id").agg(F.count(F.lit(1)).alias("c")).agg(
-        F.count_if(F.col("c") > 1).alias("__dup"))
-    part3 = dup.select(F.explode(F.array(rule("duplicate_reservation_ids", F.col("__dup"), 0, "<="))).alias("r")
-                       ).select("r.*")
+    part3 = surplus(fact, ["reservation_id"], cfg).select(
+        F.explode(F.array(rule("duplicate_reservation_ids", F.col("repeats"), 0, "<="))).alias("r")).select("r.*")
 
     out = _union([part1, part2, part3]).select(*rule_fields)
     passed = F.when(F.col("op") == ">=", F.col("observed") >= F.col("threshold")).otherwise(

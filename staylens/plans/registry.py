@@ -701,7 +701,7 @@ def _pivot(p: Pipeline) -> DataFrame:
     return K.occupancy_pivot(p.segment_daily, p.cfg)
 
 
-TEXT_RAW_COLUMNS = ("reservation_id", "segment", "room_type", "rate")
+TEXT_RAW_COLUMNS = ("reservation_id", "segment", "room_type", "booking_date", "check_in_date", "check_out_date", "nights", "rate")
 
 
 @register("profile_text", W(body=" UNION ALL ".join(f"""
@@ -710,7 +710,7 @@ SELECT {Q_(c)} AS column_name, CAST(SUM(n) AS BIGINT) AS n, COUNT(*) AS "unique"
        MAX(n) AS freq
 FROM (SELECT {c} AS v, COUNT(*) AS n FROM b_tok WHERE {c} IS NOT NULL GROUP BY 1)""" for c in TEXT_RAW_COLUMNS)))
 def _profile_text(p: Pipeline) -> DataFrame:
-    """D5p: text columns of the raw bookings."""
+    """D5p: every column of the raw bookings, as text."""
     return Q.profile_text(p.raw_bookings, TEXT_RAW_COLUMNS)
 
 
@@ -844,6 +844,41 @@ def _profile_segments(p: Pipeline) -> DataFrame:
     return Q.profile_segments(p.raw_bookings)
 
 
+@register("profile_segment_kinds", W(body="""
+SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (WHERE segment IS NULL) AS n_missing, COUNT(DISTINCT segment) AS n_distinct FROM b_tok"""))
+def _profile_segment_kinds(p: Pipeline) -> DataFrame:
+    """D4p: how many raw segment labels there are."""
+    return Q.profile_segment_kinds(p.raw_bookings)
+
+
+@register("cleaning_fills", W(body="""
+, k AS (
+  SELECT d.*, p.booking_date AS bd, p.check_in_date AS ci, p.check_out_date AS co,
+    p.check_in_date IS NOT NULL AND p.booking_date IS NOT NULL AND (p.check_out_date IS NULL OR p.check_out_date > p.check_in_date) AS kept
+  FROM b_dedup d JOIN b_parsed p ON d.reservation_id = p.reservation_id
+), b AS (
+  SELECT 'booking_date_unreadable' AS counter, COUNT(*) AS n_rows FROM k WHERE booking_date IS NOT NULL AND bd IS NULL
+  UNION ALL SELECT 'check_in_date_unreadable', COUNT(*) FROM k WHERE check_in_date IS NOT NULL AND ci IS NULL
+  UNION ALL SELECT 'check_out_date_unreadable', COUNT(*) FROM k WHERE check_out_date IS NOT NULL AND co IS NULL
+  UNION ALL SELECT 'room_type_filled', COUNT(*) FROM k WHERE kept AND room_type IS NULL
+  UNION ALL SELECT 'segment_filled', COUNT(*) FROM k WHERE kept AND segment IS NULL
+  UNION ALL SELECT 'segment_unmapped', COUNT(*) FROM bookings_clean WHERE segment NOT IN (""" + ", ".join(Q_(x) for x in DIM) + """)
+  UNION ALL SELECT 'room_nights_from_nights', COUNT(*) FROM bookings_clean WHERE check_out_date IS NULL AND room_nights IS NOT NULL
+  UNION ALL SELECT 'room_nights_unknown', COUNT(*) FROM bookings_clean WHERE room_nights IS NULL
+  UNION ALL SELECT 'rate_missing', COUNT(*) FROM k WHERE kept AND rate IS NULL
+  UNION ALL SELECT 'rate_unreadable', COUNT(*) FROM k WHERE kept AND rate IS NOT NULL AND TRY_CAST(trim(rate) AS DECIMAL(24,6)) IS NULL
+), c AS (
+  SELECT 'cancellation_date_unreadable' AS counter,
+    (SELECT COUNT(*) FROM c_dedup WHERE cancellation_date IS NOT NULL) - (SELECT COUNT(*) FROM cancellations_clean) AS n_rows
+  UNION ALL SELECT 'reason_filled', COUNT(*) FROM cancellations_clean WHERE reason = 'Unknown'
+  UNION ALL SELECT 'refund_status_filled', COUNT(*) FROM cancellations_clean WHERE refund_status = 'Unknown'
+)
+SELECT 'bookings' AS source, * FROM b UNION ALL SELECT 'cancellations', * FROM c"""))
+def _cleaning_fills(p: Pipeline) -> DataFrame:
+    """Values that cleaning could not read, filled or took from elsewhere."""
+    return C.cleaning_fills(p.raw_bookings, p.raw_cancellations, p.cfg)
+
+
 @register("profile_numeric", W(body=" UNION ALL ".join(
     f"SELECT {Q_(c)} AS column_name, COUNT({c}) AS n, ROUND(AVG(CAST({c} AS DOUBLE)), 4) AS mean, "
     f"ROUND(stddev_samp(CAST({c} AS DOUBLE)), 4) AS stddev, MIN(CAST({c} AS DOUBLE)) AS min, "

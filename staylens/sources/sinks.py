@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from staylens.operators.repeats import surplus
+
 #: Columns that a loaded row must have; a missing check-out or stated nights survives cleaning and is reported by the rules.
 LOAD_REQUIRED = ("reservation_id", "booking_date", "check_in_date", "room_nights", "is_cancelled")
 
@@ -45,14 +47,9 @@ def by_month(fact: DataFrame) -> DataFrame:
 def load_violations(typed_fact: DataFrame) -> dict[str, int]:
     """What the loaded table's schema forbids: repeated reservation ids and nulls in required columns, by count."""
     required = [c for c in LOAD_REQUIRED if c in typed_fact.columns]
-    per_key = typed_fact.groupBy("reservation_id").agg(
-        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in required if c != "reservation_id"])
-    row = per_key.agg(
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated_reservation_id"),
-        F.count_if(F.col("reservation_id").isNull()).alias("null_reservation_id"),
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(f"null_{c}") for c in required if c != "reservation_id"],
-    ).first()
-    return {k: int(v) for k, v in row.asDict().items()}
+    nulls = typed_fact.agg(*[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in required]).first()
+    extra = surplus(typed_fact, ["reservation_id"]).first()["extra"]  # by hashes of the ids
+    return {"repeated_reservation_id": int(extra)} | {k: int(v) for k, v in nulls.asDict().items()}
 
 
 #: The rows of a version's manifest: where each month of each table lies.
