@@ -196,11 +196,41 @@ SELECT f.word, f.form, walk.at AS root, f.n, f.n_near, f.form_n
 FROM f JOIN walk ON walk.word = f.word JOIN f AS z ON z.word = walk.at AND z.form IS NULL
 """
 
+SHARD = r"""
+WITH poly AS (
+  SELECT list(list_reduce([b] || range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY b) AS t
+  FROM (SELECT unnest(range(256)) AS b)
+), s AS (
+  SELECT doc_id, coalesce(md5(text), '') AS h, (octet_length(encode(coalesce(text, ''))) + 8)::BIGINT AS size,
+    xor(4294967295, list_reduce([4294967295] || [('0x' || x)::BIGINT FOR x IN regexp_extract_all(hex(encode(coalesce(text, ''))), '..')],
+      lambda c, b: xor(c // 256, t[1 + xor(c % 256, b)]))) AS text_crc32
+  FROM documents, poly
+), o AS (
+  -- the order by digest and id, with running bytes
+  SELECT *, sum(size) OVER w AS e, row_number() OVER w - 1 AS r, sum(size) OVER () AS total
+  FROM s WINDOW w AS (ORDER BY h, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING)
+), c AS (
+  SELECT *, least(floor(((2 * e - size) * 24)::DOUBLE / (2 * total)::DOUBLE), 23)::INT AS cut FROM o
+), ends AS (
+  SELECT cut, unnest(list_distinct([min(h), max(h)])) AS h FROM c GROUP BY cut
+), moved AS (
+  -- groups of equal texts across a cut move whole unless they are large
+  SELECT h, least(floor(((min(e - size) + max(e)) * 24)::DOUBLE / (2 * any_value(total))::DOUBLE), 23)::INT AS whole
+  FROM c WHERE h IN (SELECT h FROM ends GROUP BY h HAVING count(*) > 1)
+  GROUP BY h HAVING (max(e) - min(e - size)) * 24 <= any_value(total) * 0.02::DOUBLE
+), p AS (
+  SELECT c.*, coalesce(whole, cut)::INT AS shard FROM c LEFT JOIN moved ON moved.h = c.h
+)
+SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard, (r - min(r) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INT AS grown_shard
+FROM p
+"""
+
 SQL = {
     "op1_warc": WARC,
     "op2_chat": CHAT,
     "op4_embeddings": EMBEDDINGS,
     "op6_quality": QUALITY,
     "op9_mixing": MIXING,
+    "op10_shard": SHARD,
     "op12_variants": VARIANTS,
 }
