@@ -6,7 +6,6 @@ import json
 import uuid
 from collections.abc import Callable, Mapping
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -83,14 +82,22 @@ def _write_months(df: DataFrame, date_col: str, folder: str) -> dict[str, str]:
     return {r["m"]: f"{folder}/__month={r['m']}" for r in back}
 
 
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) as the cluster's storage layer names them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _folder(spark, path)
+    return fs.exists(at)
+
+
 def _manifest(spark: SparkSession, base: str) -> tuple[str | None, list[Row]]:
     """(version, rows) of the latest manifest; (None, []) before the first load."""
-    try:
-        version = spark.read.parquet(f"{base}/current").agg(F.max_by("version", "published_at")).first()[0]
-    except AnalysisException as exc:
-        if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
-            return None, []
-        raise
+    if not _exists(spark, f"{base}/current"):
+        return None, []
+    version = spark.read.parquet(f"{base}/current").agg(F.max_by("version", "published_at")).first()[0]
     return version, spark.read.parquet(f"{base}/manifests/{version}").collect()  # tables x months
 
 
@@ -158,20 +165,19 @@ def remove_old_versions(spark: SparkSession, base: str, keep: int = 1) -> list[s
     base = base.rstrip("/")
     versions = [r["version"] for r in spark.read.parquet(f"{base}/current").orderBy(F.col("published_at").desc()).collect()]
     kept = {r["folder"] for v in versions[:keep] for r in spark.read.parquet(f"{base}/manifests/{v}").collect()}
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(base).getFileSystem(spark._jsc.hadoopConfiguration())
     removed = []
 
     def remove(path: str) -> None:
-        fs.delete(fs_path(path), True)
+        fs, at = _folder(spark, path)
+        fs.delete(at, True)
         removed.append(path)
 
     for v in versions[keep:]:
-        if not fs.exists(fs_path(f"{base}/manifests/{v}")):
+        if not _exists(spark, f"{base}/manifests/{v}"):
             continue
         own = {r["folder"] for r in spark.read.parquet(f"{base}/manifests/{v}").collect() if r["folder"]}
         for folder in sorted(own - kept):
-            if fs.exists(fs_path(folder)):
+            if _exists(spark, folder):
                 remove(folder)
         remove(f"{base}/manifests/{v}")
     return removed
