@@ -128,8 +128,19 @@ def write_archive(pages: DataFrame, path: str, **options) -> None:
         .groupBy("payload_key")
         .agg(F.first("payload").alias("payload"))
     )
-    payloads.write.mode("overwrite").parquet(f"{path}/payloads")
-    warc_records(pages, **options).write.mode("overwrite").parquet(f"{path}/records")
+    for table, name in ((payloads, "payloads"), (warc_records(pages, **options), "records")):
+        table.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
+
+
+def payload_of(archive: DataFrame) -> Column:
+    """The payload as the rebuilt records of ``read_archive`` hold it: the bytes of the record behind both its headers.
+
+    A revisit's record ends with its headers; its payload is the one that the join brought.
+    """
+    record = archive["record"]
+    head = F.octet_length(archive["warc_header"]) + F.octet_length(archive["http_header"])
+    body = F.substring(record, head + 1, F.octet_length(record) - head - len(CRLF * 2))
+    return F.when(archive["record_type"] == "revisit", archive["payload"]).otherwise(body)
 
 
 def _field(header: Column, name: str) -> Column:
