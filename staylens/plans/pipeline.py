@@ -270,6 +270,18 @@ class Pipeline:
         counts["loaded_fact"] = sinks.read_published(self.spark, f"{base}/load/fact_bookings_enriched").count()
         return counts
 
+    def publish(self, base: str) -> str:
+        """The segmented fact and its rollup as one gated version under ``base``; later builds write only the months that changed.
+
+        Readers take ``sinks.read_published(spark, base)`` and its table
+        ``segment_daily``, which every view and metric accepts.  A day's
+        occupancy is a column of the fact, so a booking changes only its own
+        check-in month.
+        """
+        from staylens.sources import sinks
+
+        return sinks.publish(self.fact_segmented, base, derived={"segment_daily": (V.segment_daily, "date")})
+
 
 _PIPELINES: dict[tuple[str, str, str], Pipeline] = {}
 

@@ -161,3 +161,35 @@ def test_write_outputs(spark, small_sf):
     assert counts["dim_segment"] == 6
     assert spark.read.parquet(f"{base}/processed/fact_bookings_enriched").count() == p.stats["fact_rows"]
     assert any(d.startswith("check_in_month=") for d in os.listdir(f"{base}/processed/fact_bookings_enriched"))
+
+
+def test_a_later_build_publishes_only_the_months_that_changed(spark, tmp_path):
+    import os
+
+    from staylens.operators import metrics as M
+    from staylens.plans.pipeline import Pipeline
+    from staylens.sources import sinks
+    from tests.conftest import BOOKING_SCHEMA, CANCEL_SCHEMA, PRICING_SCHEMA
+
+    base = str(tmp_path / "published")
+    rows = [(f"R{i}", ("Direct", "Corp", "TA")[i % 3], "x", "2023-01-01", f"2023-0{2 + i % 4}-{10 + i % 7}", "", str(1 + i % 3), str(100 + i)) for i in range(60)]
+
+    def build(rows):
+        return Pipeline.from_frames(
+            spark.createDataFrame(rows, BOOKING_SCHEMA),
+            spark.createDataFrame([("R1", "2023-01-20", "plans", "full")], CANCEL_SCHEMA),
+            spark.createDataFrame([("2023-02-10", "Peak", "90", "High")], PRICING_SCHEMA))
+
+    def files():
+        return {os.path.join(d, f) for d, _, names in os.walk(f"{base}/data") for f in names if f.endswith(".parquet")}
+
+    build(rows).publish(base)
+    before = files()
+    rows[2] = (*rows[2][:6], "9", rows[2][7])  # a longer stay in April
+    later = build(rows)
+    later.publish(base)
+    new = files() - before
+    assert {f.split("/")[-3] for f in new} == {"fact", "segment_daily"} and all("__month=2023-04" in f for f in new)
+    daily = sinks.read_published(spark, base, "segment_daily")
+    assert M.m6_contribution(daily).collect() == M.m6_contribution(later.segment_daily).collect()
+    assert M.m8_rvi_nightly(sinks.read_published(spark, base)).collect() == M.m8_rvi_nightly(later.fact_segmented).collect()
