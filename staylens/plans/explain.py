@@ -49,7 +49,7 @@ def main(sf_dir: str = "/root/testdata/sf0.01") -> None:
     p = pipeline(spark, sf_dir)
     p.pricing_clean  # noqa: B018
     sections = [
-        ("fact build (J1, J2, F1/F2/F4 over the key dedups)",
+        ("fact build (J1, J2, F1/F2/F4 over the bucketed clean tables)",
          FT.fact_base(p.bookings_clean, p.cancellations_clean, p.pricing_clean,
                       broadcast_pricing=p.stats["pricing_rows"] <= p.cfg.broadcast_max_rows)),
         ("day-level rollup over the written fact", V.segment_daily(p.fact_segmented)),
