@@ -113,3 +113,79 @@ def test_mixed_sources_meet_their_targets(spark, small_sf, sf):
         taken[source[r["doc_id"]]] = taken.get(source[r["doc_id"]], 0) + r["taken"]
         target[source[r["doc_id"]]] = r["target"]
     assert all(abs(taken[s] - t) <= 0.01 * t for s, t in target.items())
+
+
+def plain_language(model, text, penalty=12.0):
+    """(language, share of letters, spans) of one text: dynamic programming over its words, one by one."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from staylens.llm import flat, langid
+
+    if not any(map(str.isalpha, text)):
+        return langid.UND, 0.0, 0
+    raw, _ = flat.spaced(pc.utf8_lower(pa.array([text], pa.large_string())))
+    _, _, letters, scores, _ = langid.word_scores(model, raw, raw)
+    value, came = [0.0] * len(model.langs), []
+    for s in scores.astype(np.float64).tolist():
+        best = max(range(len(value)), key=lambda k: value[k])
+        back = [k if value[k] >= value[best] - penalty else best for k in range(len(value))]
+        value = [max(value[k], value[best] - penalty) + s[k] for k in range(len(value))]
+        came.append(back)
+    label, labels = max(range(len(value)), key=lambda k: value[k]), []
+    for back in reversed(came):
+        labels.append(label)
+        label = back[label]
+    labels.reverse()
+    held = [sum(n for n, x in zip(letters.tolist(), labels, strict=True) if x == k) for k in range(len(value))]
+    spans = sum(i == 0 or labels[i] != labels[i - 1] for i in range(len(labels)))
+    top = max(range(len(held)), key=lambda k: held[k]) if sum(held) else model.prior
+    return model.langs[top], held[top] / max(1, sum(held)), spans
+
+
+def test_langid_query_equals_plain_dynamic_programming(spark, small_sf):
+    from staylens.llm import langid
+
+    docs = spark.read.parquet(f"{small_sf}/documents.parquet")
+    model = langid.train(docs.filter(~registry.held_out()))
+    got = {r["doc_id"]: (r["lang_pred"], round(r["score"], 9), r["n_spans"]) for r in registry.op5_langid(spark, small_sf).collect()}
+    for r in docs.collect():
+        lang, score, spans = plain_language(model, r["text"] or "")
+        assert got[r["doc_id"]] == (lang, round(score, 9), spans), r["doc_id"]
+    assert len(got) == docs.count()
+
+
+def test_language_stage_keeps_what_the_query_would(spark, small_sf):
+    import corpus_pipeline
+    from staylens.llm import langid
+
+    docs = spark.read.parquet(f"{small_sf}/documents.parquet")
+    model = langid.train(docs.filter(~registry.held_out()))
+    fits = {r["doc_id"]: r for r in langid.identify(docs, model, keep=["doc_id"]).collect()}
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, small_sf).collect()}
+    assert kept == {i for i, r in fits.items() if plain_language(model, text_of(docs, i))[0] != langid.UND and r["lang_fit"] >= corpus_pipeline.MIN_LANG_FIT}
+
+
+def text_of(docs, doc_id, _texts={}):  # noqa: B006
+    if not _texts:
+        _texts.update({r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()})
+    return _texts[doc_id]
+
+
+def test_quality_stage_keeps_what_its_sql_keeps(spark, small_sf, duck):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{small_sf}/documents.parquet")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.quality_rules(spark, docs, small_sf).collect())
+    want = duck.sql(f"SELECT doc_id FROM ({registry.oracle_sql()['op6_quality']}) WHERE kept ORDER BY doc_id").fetchall()
+    assert kept == [r[0] for r in want]
+
+
+def test_mixing_stage_repeats_what_its_sql_takes(spark, small_sf, duck):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{small_sf}/documents.parquet")
+    rows = corpus_pipeline.mix_sources(spark, docs, small_sf).groupBy("doc_id").count().collect()
+    want = duck.sql(f"SELECT doc_id, size, taken FROM ({registry.oracle_sql()['op9_mixing']})").fetchall()
+    got = {r["doc_id"]: r["count"] for r in rows}
+    assert all(got.get(i, 0) * size == taken for i, size, taken in want)
