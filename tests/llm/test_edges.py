@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from staylens.llm import chat, html, langid, minhash, mixing, pivots, quality, shard, unigram, warc
 from staylens.llm.components import components
@@ -192,9 +193,10 @@ def embeddings_brute(rows):
     return [(i, sum(k in p for p in links), comp[i], comp[i] == i) for k, (i, _, _) in enumerate(rows)]
 
 
-@pytest.mark.parametrize("chunk", [8, 256])
-def test_embeddings_equal_all_pairs(spark, monkeypatch, chunk):
-    monkeypatch.setattr(pivots, "CHUNK", chunk)
+@pytest.mark.parametrize(("block", "chunk", "broadcast"), [(4, 3, 0), (16, 8, 500_000), (1024, 512, 500_000)])
+def test_embeddings_equal_all_pairs(spark, monkeypatch, block, chunk, broadcast):
+    for name, value in {"BLOCK": block, "CHUNK": chunk, "BROADCAST_ROWS": broadcast}.items():
+        monkeypatch.setattr(pivots, name, value)
     r = np.random.default_rng(0)
     rows, base = [], r.normal(size=(6, 32))
     for i in range(600):
@@ -205,7 +207,32 @@ def test_embeddings_equal_all_pairs(spark, monkeypatch, chunk):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = sorted(tuple(x) for x in pivots.near_embeddings(df).collect())
     assert got == sorted(embeddings_brute(rows))
+    if block < 1024:
+        return
     assert pivots.near_embeddings(df.limit(0)).count() == 0
+    assert sorted(tuple(x) for x in pivots.near_embeddings(df.withColumn("embedding", F.col("embedding").cast("array<float>"))).collect() if x[0] < 1000) == [
+        x for x in got if x[0] < 1000]
+    with pytest.raises(ValueError):
+        pivots.near_embeddings(df, shared_pivots=2)
+
+
+def test_embedding_postings_meet_once_at_any_block_size(spark, monkeypatch):
+    """Every pair that shares enough pivots meets in exactly one block, however lists are cut."""
+    r = np.random.default_rng(1)
+    lists = [sorted(r.choice(12, size=7, replace=False).tolist()) for _ in range(80)] + [[0, 1, 2, 3, 4, 5, 6]] * 20
+    df = spark.createDataFrame([(i, i % 2, x) for i, x in enumerate(lists)], "rep long, group long, pivots array<smallint>")
+    want = sorted((i, j) for i in range(100) for j in range(i) if i % 2 == j % 2 and len(set(lists[i]) & set(lists[j])) >= 4)
+    for block, chunk in ((2, 2), (10, 5), (1000, 500)):
+        monkeypatch.setattr(pivots, "BLOCK", block)
+        monkeypatch.setattr(pivots, "CHUNK", chunk)
+        rows = pivots._postings(df, 4).toPandas()
+        found = []
+        for key, t in rows.groupby(pivots.KEY):
+            side = (t["chunk"] != key[4]).to_numpy() if key[4] != key[5] else None
+            pairs = pivots.meeting(np.array(key[1:4]), side, np.stack(t["pivots"].to_numpy()), 4)
+            reps = t["rep"].to_numpy()
+            found += [(max(reps[x], reps[y]), min(reps[x], reps[y])) for x, y in zip(*np.nonzero(np.triu(pairs)))]
+        assert sorted(found) == want
 
 
 # --- languages ------------------------------------------------------------------------------
