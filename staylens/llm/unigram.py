@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from staylens.llm import flat
 
 SPACE = "▁"
-#: Bytes of text whose lattices are held at once: about 150 bytes of memory for each.
-PIECE_BYTES = 3 << 18
+#: Bytes of text whose lattices are held at once, and bytes of units whose lattices are computed at once.
+PIECE_BYTES, BUILD_BYTES = 1 << 17, 1 << 15
 #: Bytes of units whose lattices a task keeps, and units whose hashes it remembers to find those that come again.
 SHARED_BYTES, MET_UNITS = 1 << 19, 1 << 19
 TABLE_BITS = 19
@@ -208,48 +208,96 @@ def lattice(v: Vocabulary, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray
     return Lattice(raw, first, a, np.where(stop, np.int32(-1), b), piece, b - a, logp, cum)
 
 
-def joined(x: Lattice, y: Lattice) -> Lattice:
-    """Both lattices, the units of ``y`` after those of ``x``."""
-    bytes_x, edges_x = len(x.raw), len(x.source)
-    both = lambda name: np.concatenate([getattr(x, name), getattr(y, name)])
-    return Lattice(
-        both("raw"), np.concatenate([x.first[:-1], y.first + edges_x]), np.concatenate([x.source, y.source + np.int32(bytes_x)]),
-        np.concatenate([x.target, np.where(y.target < 0, np.int32(-1), y.target + np.int32(bytes_x))]), *map(both, ("piece", "width", "logp", "cum")),
-    )
+class Store:
+    """A lattice that grows: its arrays have room behind them, so that adding units copies only these.
+
+    ``back`` gives up the units behind an earlier ``mark`` (bytes and edges); what is added next overwrites them.
+    """
+
+    ROOM = 1 << 19  # entries kept behind a mark, beside half of what is before it
+
+    def __init__(self):
+        self.columns = {k: np.zeros(0, kind) for k, kind in (("raw", np.uint8), ("first", np.int64))}
+        self.columns |= {k: np.zeros(0, kind) for k, kind in (("source", np.int32), ("target", np.int32), ("piece", np.int32), ("width", np.int32), ("logp", np.float64), ("cum", np.float64))}
+        self.mark = 0, 0
+
+    def _size(self, name: str) -> int:
+        return self.mark[0] if name in ("raw", "first") else self.mark[1]
+
+    def lattice(self) -> Lattice:
+        return Lattice(**{k: c[: self._size(k)] for k, c in self.columns.items()})
+
+    def back(self, mark: tuple[int, int]) -> None:
+        self.mark = mark
+        for k, c in self.columns.items():
+            if len(c) > self._size(k) * 3 // 2 + self.ROOM:  # a very long unit was there
+                self.columns[k] = c[: self._size(k)].copy()
+
+    def add(self, lat: Lattice) -> None:
+        n_bytes, n_edges = self.mark
+        more = {k: getattr(lat, k) for k in self.columns}
+        more |= {"first": lat.first[:-1] + n_edges, "source": lat.source + np.int32(n_bytes), "target": np.where(lat.target < 0, np.int32(-1), lat.target + np.int32(n_bytes))}
+        for k, values in more.items():
+            at = self._size(k)
+            if at + len(values) > len(self.columns[k]):  # one array after another, so that only one is there twice
+                wider = np.empty(at + len(values) + at // 4, self.columns[k].dtype)
+                wider[:at] = self.columns[k][:at]
+                self.columns[k] = wider
+            self.columns[k][at : at + len(values)] = values
+        self.mark = n_bytes + len(lat.raw), n_edges + len(lat.source)
 
 
 class Shared:
     """Lattices of units that a task has met in several batches, up to ``SHARED_BYTES`` of them.
 
-    A batch builds lattices only for its other units; what is sampled does not depend on that.
+    A batch builds lattices only for its other units, behind the shared ones; what is sampled does not depend on that.
     """
 
     def __init__(self, v: Vocabulary):
         none = np.zeros(0, np.int64)
-        self.v, self.lat = v, lattice(v, np.zeros(0, np.uint8), none, none)
+        self.v, self.store = v, Store()
+        self.kept = self.store.mark
         self.hashes, self.begin = np.zeros(0, np.uint64), none
         self.met = self.hashes
 
+    @property
+    def lat(self) -> Lattice:
+        self.store.back(self.kept)
+        return self.store.lattice()
+
     def lattices(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[Lattice, np.ndarray]:
-        """(lattice, begin) of units that differ from each other, in order of their hashes; ``begin`` is where each lies in it."""
+        """(lattice, begin) of units that differ from each other, in order of their hashes; ``begin`` is where each lies in it.
+
+        The lattice holds until the next call.
+        """
+        self.store.back(self.kept)
+        known, _ = self._find(hashes)
+        self._learn(raw, starts[~known], ends[~known], hashes[~known])
+        known, at = self._find(hashes)
+        begin = np.empty(len(hashes), np.int64)
+        begin[known], begin[~known] = self.begin[at[known]], self._add(raw, starts[~known], ends[~known])
+        return self.store.lattice(), begin
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(known, places) among the shared units."""
         at = np.searchsorted(self.hashes, hashes)
         known = np.zeros(len(hashes), bool)
         inside = at < len(self.hashes)
         known[inside] = self.hashes[at[inside]] == hashes[inside]
-        lat, own = self._own(raw, starts[~known], ends[~known])
-        begin = np.empty(len(hashes), np.int64)
-        begin[known], begin[~known] = self.begin[at[known]], own + len(self.lat.raw)
-        out = joined(self.lat, lat)
-        self._learn(raw, starts[~known], ends[~known], hashes[~known])
-        return out, begin
+        return known, at
 
-    def _own(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[Lattice, np.ndarray]:
-        size = ends - starts
+    def _add(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Adds the lattices of units, ``BUILD_BYTES`` at a time (one unit at least); where each begins."""
+        size, base = ends - starts, self.store.mark[0]
         begin = np.cumsum(size) - size
-        return lattice(self.v, raw[flat.ranges(starts, size)], begin, begin + size), begin
+        bounds = [*np.flatnonzero(np.diff(begin // BUILD_BYTES, prepend=-1)).tolist(), len(begin)]
+        for x, y in zip(bounds[:-1], bounds[1:], strict=True):
+            own = begin[x:y] - begin[x]
+            self.store.add(lattice(self.v, raw[flat.ranges(starts[x:y], size[x:y])], own, own + size[x:y]))
+        return begin + base
 
     def _learn(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
-        room = SHARED_BYTES - len(self.lat.raw)
+        room = SHARED_BYTES - self.kept[0]
         if room <= 0:
             self.met = self.met[:0]
             return
@@ -261,9 +309,8 @@ class Shared:
         again = again[np.cumsum((ends - starts)[again]) <= room]
         self.met = np.sort(np.concatenate([self.met, hashes[~old]])) if len(self.met) < MET_UNITS else hashes
         if len(again):
-            more, begin = self._own(raw, starts[again], ends[again])
-            all_begin = np.concatenate([self.begin, begin + len(self.lat.raw)])
-            self.lat = joined(self.lat, more)
+            all_begin = np.concatenate([self.begin, self._add(raw, starts[again], ends[again])])
+            self.kept = self.store.mark
             hashes = np.concatenate([self.hashes, hashes[again]])
             order = np.argsort(hashes)
             self.hashes, self.begin = hashes[order], all_begin[order]
@@ -532,6 +579,7 @@ def encode(docs: DataFrame, v: Vocabulary, *, k: int = 2, keep: list[str], id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
+        flat.release()  # what earlier tasks of this worker have left
         shared, decodes = Shared(v), Decoder(v)
         for batch in batches:
             texts = flat.strings(batch.column(batch.num_columns - 1))
@@ -562,6 +610,7 @@ def encode(docs: DataFrame, v: Vocabulary, *, k: int = 2, keep: list[str], id_co
                     [*kept, pa.ListArray.from_arrays(pa.array(rows, pa.int32()), samples), pa.array(good)],
                     names=[*schema.names, "samples", "round_trip"],
                 )
+            flat.release()
 
     key = F.coalesce(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), F.lit(0).cast("long"))
     return docs.select(*keep, key.alias("__key"), F.col(text_col).alias("__text")).mapInArrow(run, out)

@@ -475,6 +475,51 @@ def test_shared_lattices_leave_samples_as_they_are(monkeypatch):
     assert samples(4, small) == whole and len(small.lat.raw) <= 20
 
 
+def test_sampling_keeps_its_memory():
+    import tracemalloc
+
+    from staylens.llm.registry import PIECE_MODEL
+
+    v = unigram.load(PIECE_MODEL)
+    rng = random.Random(4)
+    pool = ["".join(rng.choices("etaoinshrdlu", k=9)) for _ in range(80_000)]  # more than a task keeps
+    texts = pa.array([" ".join(rng.choices(pool, k=1000)) for _ in range(300)], pa.large_string())
+    keys = unigram.flat.mix(np.arange(len(texts), dtype=np.uint64))
+    tracemalloc.start()
+    shared = unigram.Shared(v)
+    for a, b in unigram.flat.pieces(texts, unigram.PIECE_BYTES):
+        assert all(len(found) == 2 for found, _, _ in unigram.sample_texts(v, texts.slice(a, b - a), keys[a:b], 2, shared))
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(shared.lat.raw) > unigram.SHARED_BYTES - 100
+    assert peak < 100e6, (held, peak)
+
+
+def test_units_are_added_behind_the_shared_ones():
+    from staylens.llm.registry import PIECE_MODEL
+
+    v = unigram.load(PIECE_MODEL)
+    raw = np.frombuffer(" naïve 漢字 alpha\n".encode(), np.uint8)
+    ends = np.array([7, 14, 20, 21])
+    starts = np.append(0, ends[:-1])
+    whole, store = unigram.lattice(v, raw, starts, ends), unigram.Store()
+    store.add(unigram.lattice(v, raw[:7], starts[:1], ends[:1]))
+    mark = store.mark
+    for _ in range(2):  # what lies behind the mark is given up
+        store.back(mark)
+        for a, b in zip(starts[1:], ends[1:]):
+            store.add(unigram.lattice(v, raw[a:b], np.array([0]), np.array([b - a])))
+        got = store.lattice()
+        assert bytes(got.raw) == bytes(raw) and len(got.source) == len(whole.source)
+        edges = lambda lat: sorted(zip(lat.source.tolist(), lat.target.tolist(), lat.piece.tolist(), lat.width.tolist(), lat.logp.tolist(), lat.cum.tolist()))
+        assert edges(got) == edges(whole)
+        assert all(got.source[got.first[p]] == p for p in set(got.source.tolist()))
+    long = np.full(400_000, ord("e"), np.uint8)
+    store.add(unigram.lattice(v, long, np.array([0]), np.array([len(long)])))
+    store.back(mark)
+    assert bytes(store.lattice().raw) == bytes(raw[:7]) and sum(c.nbytes for c in store.columns.values()) < 20e6
+
+
 def test_decoding_is_checked_byte_by_byte():
     from staylens.llm.registry import PIECE_MODEL
 
